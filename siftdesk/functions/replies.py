@@ -53,22 +53,26 @@ def unfenced(raw: Column) -> Column:
     return strip(F.regexp_replace(opened, f"{FENCE}\\z", ""))
 
 
-def reply_record(body: Column) -> Column:
-    """The reply's fields if ``body`` is exactly one JSON object, else null.
+def marked_list(body: Column) -> Column:
+    """``body`` as the first element of a JSON list that must have two.
 
-    The parser stops at the end of the first value it was asked for, so text
-    after the object would go unseen. The body is therefore read as the first
-    element of a list that must have two, the second holding the body's hash.
+    A JSON parser stops at the end of the value it was asked for, so text
+    after an object would go unseen. The second element, the body's hash, is
+    found in its place only if the body is exactly one value.
     """
-    mark = F.xxhash64(body)
-    listed = F.concat(F.lit("["), body, F.lit(',{"mark":'), mark.cast("string"), F.lit("}]"))
-    parsed = F.from_json(listed, f"array<struct<{_RECORD}>>", _STRICT)
-    whole = (
-        body.startswith("{")
-        & (F.size(parsed) == 2)
-        & (F.get(parsed, F.lit(1)).getField("mark") == mark)
-    )
-    return F.when(whole, F.get(parsed, F.lit(0)))
+    mark = F.xxhash64(body).cast("string")
+    return F.concat(F.lit("["), body, F.lit(',{"mark":'), mark, F.lit("}]"))
+
+
+def read_list(listed: Column) -> Column:
+    return F.from_json(listed, f"array<struct<{_RECORD}>>", _STRICT)
+
+
+def reply_record(body: Column, elements: Column) -> Column:
+    """The reply's fields if ``body`` is exactly one JSON object, else null."""
+    marked = F.get(elements, F.lit(1)).getField("mark") == F.xxhash64(body)
+    whole = body.startswith("{") & (F.size(elements) == 2) & marked
+    return F.when(whole, F.get(elements, F.lit(0)))
 
 
 def _kind(field: Column) -> Column:

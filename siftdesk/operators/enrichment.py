@@ -39,8 +39,12 @@ def parse_responses(
     ``parse_error`` is null on a usable reply; on others the labels, texts,
     confidence and cost are null.
     """
-    body = replies.unfenced(F.col("raw_text"))
-    read = raw.withColumn("_reply", replies.reply_record(body))
+    read = raw.withColumn("_body", replies.unfenced(F.col("raw_text")))
+    read = read.withColumn("_listed", replies.marked_list(F.col("_body")))
+    # Exploding a list of one keeps the parsed text a column of its own:
+    # otherwise a filter on the outcome would repeat the parsing per condition.
+    read = read.select("*", F.explode(F.array(replies.read_list(F.col("_listed")))).alias("_elements"))
+    read = read.withColumn("_reply", replies.reply_record(F.col("_body"), F.col("_elements")))
     reply = F.col("_reply")
     cost = replies.token_cost(F.col("tokens_in"), F.col("tokens_out"), prices)
     error = (

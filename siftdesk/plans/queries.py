@@ -189,7 +189,9 @@ def list_page_record(spark, sf_dir):
     page = _page(spark, sf_dir, after=CURSOR, limit=10, **PAGE_FILTERS)
     record = listing.page_envelope(page)
     ids = F.transform("tickets", lambda t: t["id"].cast("string"))
-    return record.withColumn("tickets", F.array_join(ids, ","))
+    return record.withColumns(
+        {"tickets": F.array_join(ids, ","), "next_cursor": F.col("next_cursor").cast("string")}
+    )
 
 
 @query
@@ -217,7 +219,8 @@ def ticket_detail(spark, sf_dir):
     record = detail.schema["enrichment"].dataType
     flat = [F.col(f"enrichment.{n}").alias(f"enrichment_{n}") for n in record.fieldNames()]
     flat_detail = detail.select(*[c for c in detail.columns if c != "enrichment"], *flat)
-    return _doubles(flat_detail, "enrichment_confidence", "enrichment_estimated_cost")
+    numbers = ("id", "confidence", "tokens_in", "tokens_out", "estimated_cost")
+    return _doubles(flat_detail, *[f"enrichment_{name}" for name in numbers])
 
 
 @query
@@ -263,7 +266,8 @@ def display_columns(spark, sf_dir):
     items = listing.list_items(_tickets(spark, sf_dir), _enrichments(spark, sf_dir))
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     shown = items.withColumns(display.display_columns(as_of))
-    return shown.select("id", *display.display_columns(as_of))
+    shown = shown.select("id", *display.display_columns(as_of))
+    return _doubles(shown, "confidence_percent")
 
 
 @query
