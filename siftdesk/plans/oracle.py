@@ -223,7 +223,7 @@ _sql(
     "list_page_record",
     _BOTH,
     """
-SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at DESC, id DESC) FILTER (n <= 10) AS tickets,
+SELECT coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at DESC, id DESC) FILTER (n <= 10), '') AS tickets,
   CASE WHEN count(*) > 10 THEN CAST(max(id) FILTER (n = 10) AS VARCHAR) END AS next_cursor,
   count(*) > 10 AS has_more, (SELECT count(*) FROM matching) AS total
 FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM rest) x
