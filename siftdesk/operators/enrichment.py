@@ -81,37 +81,36 @@ def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(usable).drop("parse_error"), parsed.where(~usable)
 
 
-def _error_rows(batch: pd.DataFrame, error: Exception) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "ticket_id": batch["ticket_id"],
-            "raw_text": None,
-            "tokens_in": 0,
-            "tokens_out": 0,
-            "call_error": f"{type(error).__name__}: {error}",
-        }
-    )
+def _batch_runner(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The function that scores a task's batches.
 
+    All it needs is nested in here, so it travels to the workers by value and
+    they need not have this package.
+    """
 
-def _call(scorer: Scorer, batch: pd.DataFrame) -> pd.DataFrame:
-    """Score a batch; if that raises, score its rows one by one to find the bad ones."""
-    try:
-        return scorer(batch).assign(call_error=None)
-    except Exception as error:  # noqa: BLE001 - any failure of the scorer is a failed attempt
-        if len(batch) == 1:
-            return _error_rows(batch, error)
-        return pd.concat([_call(scorer, batch.iloc[[i]]) for i in range(len(batch))])
+    def failed(batch: pd.DataFrame, error: Exception) -> pd.DataFrame:
+        rows = batch[["ticket_id"]].assign(raw_text=None, tokens_in=0, tokens_out=0)
+        return rows.assign(call_error=f"{type(error).__name__}: {error}")
 
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        """Score a batch; if that raises, score its rows one by one to find the bad ones."""
+        try:
+            return scorer(batch).assign(call_error=None)
+        except Exception as error:  # noqa: BLE001 - any failure of the scorer is a failed attempt
+            if len(batch) == 1:
+                return failed(batch, error)
+            return pd.concat([call(batch.iloc[[i]]) for i in range(len(batch))])
 
-def _attempt(tickets: DataFrame, scorer: Scorer, attempt: int) -> DataFrame:
-    key = tickets.schema["id"].dataType.simpleString()
-    columns = ["ticket_id", "raw_text", "tokens_in", "tokens_out", "call_error"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         for batch in batches:
             if len(batch):
-                yield _call(scorer, batch)[columns]
+                yield call(batch)[["ticket_id", "raw_text", "tokens_in", "tokens_out", "call_error"]]
+
+    return run
+
 
+def _attempt(tickets: DataFrame, scorer: Scorer, attempt: int) -> DataFrame:
+    key = tickets.schema["id"].dataType.simpleString()
     given = tickets.select(
         F.col("id").alias("ticket_id"),
         "title",
@@ -120,7 +119,8 @@ def _attempt(tickets: DataFrame, scorer: Scorer, attempt: int) -> DataFrame:
         F.lit(attempt).alias("attempt"),
     )
     return given.mapInPandas(
-        run, f"ticket_id {key}, raw_text string, tokens_in int, tokens_out int, call_error string"
+        _batch_runner(scorer),
+        f"ticket_id {key}, raw_text string, tokens_in int, tokens_out int, call_error string",
     )
 
 

@@ -350,36 +350,37 @@ def response_cost(spark, sf_dir):
     return _enrichments(spark, sf_dir).select("ticket_id", cost.cast("double").alias("cost"))
 
 
-def rule_scorer(batch: pd.DataFrame) -> pd.DataFrame:
+def length_scorer() -> enrichment.Scorer:
     """A scorer that reads nothing but lengths; some calls fail, some only at first."""
-    titles, texts = batch["title"].str.len(), batch["description"].str.len()
-    if (texts % 50 == 0).any():
-        raise ValueError("unreadable ticket")
-    replies = [
-        "try again"
-        if attempt <= title % 4
-        else json.dumps(
+
+    def reply(attempt: int, title: str, description: str) -> str:
+        a, b = len(title), len(description)
+        if attempt <= a % 4:
+            return "try again"
+        fields = {
+            "severity": ["critical", "high", "medium", "low"][b % 4],
+            "category": ["billing", "general", "bug_report"][a % 3],
+            "summary": f"{a} and {b} characters",
+            "suggested_response": description,
+            "confidence": (b % 100) / 100,
+        }
+        return json.dumps(fields, ensure_ascii=False)
+
+    def score(batch: pd.DataFrame) -> pd.DataFrame:
+        sizes = batch["description"].str.len()
+        if (sizes % 50 == 0).any():
+            raise ValueError("unreadable ticket")
+        given = zip(batch["attempt"], batch["title"], batch["description"])
+        return pd.DataFrame(
             {
-                "severity": ["critical", "high", "medium", "low"][text % 4],
-                "category": ["billing", "general", "bug_report"][title % 3],
-                "summary": f"{title} and {text} characters",
-                "suggested_response": description,
-                "confidence": (text % 100) / 100,
-            },
-            ensure_ascii=False,
-        )
-        for attempt, title, text, description in zip(
-            batch["attempt"], titles, texts, batch["description"]
+                "ticket_id": batch["ticket_id"],
+                "raw_text": [reply(*row) for row in given],
+                "tokens_in": sizes + batch["title"].str.len(),
+                "tokens_out": 10 * batch["attempt"],
+            }
         )
-    ]
-    return pd.DataFrame(
-        {
-            "ticket_id": batch["ticket_id"],
-            "raw_text": replies,
-            "tokens_in": texts + titles,
-            "tokens_out": 10 * batch["attempt"],
-        }
-    )
+
+    return score
 
 
 def _submitted(spark, sf_dir):
@@ -402,7 +403,7 @@ _SCORED = [
 
 @query
 def score_batches(spark, sf_dir):
-    scored = enrichment.score(_submitted(spark, sf_dir), rule_scorer, PRICES, MODEL)
+    scored = enrichment.score(_submitted(spark, sf_dir), length_scorer(), PRICES, MODEL)
     return _doubles(scored, "confidence", "estimated_cost").select(*_SCORED, "attempts", "last_error")
 
 
@@ -510,7 +511,7 @@ def stream_enrich(spark, sf_dir):
     out = work_dir(spark, "enrich")
     checked = jobs.checked_intake(_submission_stream(spark, sf_dir), external=True)
     tickets = checked.where(F.col("side") == jobs.TICKET_SIDE).drop("side", "errors")
-    _finish(jobs.stream_enrich(tickets, f"{out}/rows", f"{out}/state", rule_scorer, PRICES, MODEL))
+    _finish(jobs.stream_enrich(tickets, f"{out}/rows", f"{out}/state", length_scorer(), PRICES, MODEL))
     done = jobs.read_enriched(spark, f"{out}/rows")
     return _doubles(done, "confidence", "estimated_cost").select(*_SCORED)
 

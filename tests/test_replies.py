@@ -192,27 +192,30 @@ def test_rounds_like_a_float(spark, values, places):
         assert row.y == round(row.x, places), row.x
 
 
-def _flaky(batch):
+def flaky():
     import pandas as pd
 
-    if (batch["title"] == "bad").any():
-        raise ValueError("no")
-    good = [a >= int(t) for a, t in zip(batch["attempt"], batch["title"])]
-    return pd.DataFrame(
-        {
-            "ticket_id": batch["ticket_id"],
-            "raw_text": ['{"severity":"low"}' if g else "sorry" for g in good],
-            "tokens_in": 10,
-            "tokens_out": batch["attempt"],
-        }
-    )
+    def score_batch(batch):
+        if (batch["title"] == "bad").any():
+            raise ValueError("no")
+        good = [a >= int(t) for a, t in zip(batch["attempt"], batch["title"])]
+        return pd.DataFrame(
+            {
+                "ticket_id": batch["ticket_id"],
+                "raw_text": ['{"severity":"low"}' if g else "sorry" for g in good],
+                "tokens_in": 10,
+                "tokens_out": batch["attempt"],
+            }
+        )
+
+    return score_batch
 
 
 def test_scoring_retries(tickets):
     from conftest import ticket
 
     rows = [ticket("a", title="1"), ticket("b", title="3"), ticket("c", title="4"), ticket("d", title="bad")]
-    found = {r.ticket_id: r for r in score(tickets(*rows), _flaky, PRICES, "m").collect()}
+    found = {r.ticket_id: r for r in score(tickets(*rows), flaky(), PRICES, "m").collect()}
     assert {k: (r.attempts, r.severity) for k, r in found.items()} == {
         "a": (1, "low"),
         "b": (3, "low"),
@@ -225,4 +228,4 @@ def test_scoring_retries(tickets):
 
 
 def test_scoring_nothing(tickets):
-    assert score(tickets(), _flaky, PRICES, "m").count() == 0
+    assert score(tickets(), flaky(), PRICES, "m").count() == 0

@@ -2,7 +2,6 @@
 
 from decimal import Decimal
 
-import pandas as pd
 import pytest
 from conftest import ticket
 
@@ -14,9 +13,14 @@ from siftdesk.streaming import jobs
 PRICES = Prices(Decimal(3), Decimal(15))
 
 
-def scorer(batch):
-    replies = ["{}" if "ok" in t else "no" for t in batch["title"]]
-    return pd.DataFrame({"ticket_id": batch["ticket_id"], "raw_text": replies, "tokens_in": 1, "tokens_out": 1})
+def scorer():
+    import pandas as pd
+
+    def score_batch(batch):
+        replies = ["{}" if "ok" in t else "no" for t in batch["title"]]
+        return pd.DataFrame({"ticket_id": batch["ticket_id"], "raw_text": replies, "tokens_in": 1, "tokens_out": 1})
+
+    return score_batch
 
 
 @pytest.fixture
@@ -62,7 +66,7 @@ def test_enrich_once(spark, tmp_path, inbox):
 
     def go():
         rows = jobs.read_stream(spark, folder, schemas.TICKETS)
-        run(jobs.stream_enrich(rows, out, state, scorer, PRICES, "m"))
+        run(jobs.stream_enrich(rows, out, state, scorer(), PRICES, "m"))
 
     go()
     # A repeat, an old ticket that arrives late, and the failed one again.
@@ -78,7 +82,7 @@ def test_enrich_once(spark, tmp_path, inbox):
 def test_batch_run_again_adds_nothing(spark, tmp_path, tickets):
     out = str(tmp_path / "out")
     batch = tickets(ticket("a", title="ok"), ticket("b", title="ok"))
-    options = {"out": out, "scorer": scorer, "prices": PRICES, "model": "m"}
+    options = {"out": out, "scorer": scorer(), "prices": PRICES, "model": "m"}
     jobs.enrich_batch(batch, 0, **options)
     jobs.enrich_batch(batch, 0, **options)
     assert sorted(r.ticket_id for r in jobs.read_enriched(spark, out).collect()) == ["a", "b"]
