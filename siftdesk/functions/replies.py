@@ -49,8 +49,14 @@ def unfenced(raw: Column) -> Column:
 
     An opening fence takes the rest of its line with it, if a line follows.
     """
-    opened = F.regexp_replace(strip(raw), f"^{FENCE}[^\\n]*\\n|^{FENCE}", "")
-    return strip(F.regexp_replace(opened, f"{FENCE}\\z", ""))
+    text = strip(raw)
+    opened = F.when(
+        text.startswith(FENCE), F.regexp_replace(text, f"^{FENCE}[^\\n]*\\n|^{FENCE}", "")
+    ).otherwise(text)
+    closed = F.when(
+        opened.endswith(FENCE), F.left(opened, F.char_length(opened) - len(FENCE))
+    ).otherwise(opened)
+    return strip(closed)
 
 
 def marked_list(body: Column) -> Column:

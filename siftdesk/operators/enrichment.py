@@ -88,23 +88,27 @@ def _batch_runner(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator
     they need not have this package.
     """
 
+    columns = ["ticket_id", "raw_text", "tokens_in", "tokens_out", "error"]
+
     def failed(batch: pd.DataFrame, error: Exception) -> pd.DataFrame:
         rows = batch[["ticket_id"]].assign(raw_text=None, tokens_in=0, tokens_out=0)
-        return rows.assign(call_error=f"{type(error).__name__}: {error}")
+        return rows.assign(error=f"{type(error).__name__}: {error}")
 
     def call(batch: pd.DataFrame) -> pd.DataFrame:
-        """Score a batch; if that raises, score its rows one by one to find the bad ones."""
+        """Score a batch; if that raises, halve it until the bad rows stand alone."""
         try:
-            return scorer(batch).assign(call_error=None)
+            replied = scorer(batch)
         except Exception as error:  # noqa: BLE001 - any failure of the scorer is a failed attempt
             if len(batch) == 1:
                 return failed(batch, error)
-            return pd.concat([call(batch.iloc[[i]]) for i in range(len(batch))])
+            middle = len(batch) // 2
+            return pd.concat([call(batch.iloc[:middle]), call(batch.iloc[middle:])])
+        return (replied if "error" in replied else replied.assign(error=None))[columns]
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                yield call(batch)[["ticket_id", "raw_text", "tokens_in", "tokens_out", "call_error"]]
+                yield call(batch)
 
     return run
 
@@ -120,7 +124,7 @@ def _attempt(tickets: DataFrame, scorer: Scorer, attempt: int) -> DataFrame:
     )
     return given.mapInPandas(
         _batch_runner(scorer),
-        f"ticket_id {key}, raw_text string, tokens_in int, tokens_out int, call_error string",
+        f"ticket_id {key}, raw_text string, tokens_in int, tokens_out int, error string",
     )
 
 
@@ -131,20 +135,24 @@ def score(
     model: str,
     prompt_version: str = DEFAULT_PROMPT_VERSION,
     max_attempts: int = MAX_ATTEMPTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Score tickets, up to ``max_attempts`` times until the reply is usable.
 
     The scorer gets pandas batches (ticket_id, title, description, input,
-    attempt) and returns (ticket_id, raw_text, tokens_in, tokens_out). Every
-    pass is written to the shared folder before its replies are judged: a
+    attempt) and returns (ticket_id, raw_text, tokens_in, tokens_out), and for
+    calls that failed an ``error``; if it raises, its batch is halved and tried
+    again. ``tasks`` spreads every pass over that many tasks. Every pass is
+    written to the shared folder before its replies are judged: a
     lost executor then costs no second call. Later passes score only what
     failed. The result has the columns of ``parse_responses``, ``attempts``
     and ``last_error``; a ticket that failed every time has its last reply.
     """
     pending, passes = tickets, []
     for attempt in range(1, max_attempts + 1):
-        replied = pinned(_attempt(pending, scorer, attempt))
-        noted = replied.withColumns({"attempts": F.lit(attempt), "last_error": F.col("call_error")})
+        spread = pending if tasks is None else pending.repartition(tasks, "id")
+        replied = pinned(_attempt(spread, scorer, attempt))
+        noted = replied.withColumns({"attempts": F.lit(attempt), "last_error": F.col("error")})
         parsed = parse_responses(noted, prices, model, prompt_version)
         parsed = parsed.withColumn("last_error", F.coalesce("last_error", "parse_error"))
         usable = F.col("parse_error").isNull()

@@ -443,7 +443,7 @@ SELECT ticket_id,
   CASE WHEN fine THEN CAST(CAST(((a + b) * 3 + 10 * tries * 15) / 1000000.0 AS DECIMAL(10,6)) AS DOUBLE) END
     AS estimated_cost,
   CAST(CASE WHEN raised THEN 3 ELSE tries END AS INT) AS attempts,
-  CASE WHEN raised THEN 'ValueError: unreadable ticket' WHEN NOT fine THEN 'not_an_object' END AS last_error
+  CASE WHEN raised THEN 'unreadable ticket' WHEN NOT fine THEN 'not_an_object' END AS last_error
 FROM scored
 """
 _SCORING = {"checked": _EXTERNAL, "accepted": _ACCEPTED, "scored": _SCORED, "outcome": _OUTCOME}

@@ -368,15 +368,16 @@ def length_scorer() -> enrichment.Scorer:
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         sizes = batch["description"].str.len()
-        if (sizes % 50 == 0).any():
-            raise ValueError("unreadable ticket")
+        readable = sizes % 50 != 0
         given = zip(batch["attempt"], batch["title"], batch["description"])
+        replies = pd.Series([reply(*row) for row in given], index=batch.index, dtype="object")
         return pd.DataFrame(
             {
                 "ticket_id": batch["ticket_id"],
-                "raw_text": [reply(*row) for row in given],
-                "tokens_in": sizes + batch["title"].str.len(),
-                "tokens_out": 10 * batch["attempt"],
+                "raw_text": replies.where(readable, None),
+                "tokens_in": (sizes + batch["title"].str.len()).where(readable, 0),
+                "tokens_out": (10 * batch["attempt"]).where(readable, 0),
+                "error": readable.map({True: None, False: "unreadable ticket"}),
             }
         )
 
@@ -403,7 +404,8 @@ _SCORED = [
 
 @query
 def score_batches(spark, sf_dir):
-    scored = enrichment.score(_submitted(spark, sf_dir), length_scorer(), PRICES, MODEL)
+    tasks = spark.sparkContext.defaultParallelism
+    scored = enrichment.score(_submitted(spark, sf_dir), length_scorer(), PRICES, MODEL, tasks=tasks)
     return _doubles(scored, "confidence", "estimated_cost").select(*_SCORED, "attempts", "last_error")
 
 
