@@ -81,68 +81,70 @@ def reply_record(body: Column, elements: Column) -> Column:
     return F.when(whole, F.get(elements, F.lit(0)))
 
 
-def _kind(field: Column) -> Column:
+def kind(field: Column) -> Column:
     """Type name of a variant: null if the key is missing, VOID for a JSON null."""
     return F.schema_of_variant(field)
 
 
-def _text(field: Column) -> Column:
+def variant_text(field: Column) -> Column:
     return F.try_variant_get(field, "$", "string")
 
 
-def is_label(field: Column) -> Column:
+def is_label(field_kind: Column) -> Column:
     """Whether a label can be read: the key is missing or holds a string."""
-    return field.isNull() | (_kind(field) == "STRING")
+    return F.coalesce(field_kind, F.lit("STRING")) == "STRING"
 
 
-def label(field: Column, domain: tuple[str, ...], default: str) -> Column:
-    cleaned = strip(F.lower(_text(field)))
+def cleaned_label(field: Column) -> Column:
+    return strip(F.lower(variant_text(field)))
+
+
+def known_label(cleaned: Column, domain: tuple[str, ...], default: str) -> Column:
     return F.when(cleaned.isin(*domain), cleaned).otherwise(F.lit(default))
 
 
-def severity(field: Column) -> Column:
-    return label(field, SEVERITIES, DEFAULT_SEVERITY)
+def severity(cleaned: Column) -> Column:
+    return known_label(cleaned, SEVERITIES, DEFAULT_SEVERITY)
+
 
+def category(cleaned: Column) -> Column:
+    return known_label(cleaned, CATEGORIES, DEFAULT_CATEGORY)
 
-def category(field: Column) -> Column:
-    return label(field, CATEGORIES, DEFAULT_CATEGORY)
 
+def _is_number(field_kind: Column) -> Column:
+    return field_kind.isin("BIGINT", "DOUBLE", "FLOAT") | field_kind.startswith("DECIMAL")
 
-def free_text(field: Column, default: str) -> Column:
+
+def free_text(field: Column, field_kind: Column, default: str) -> Column:
     """Any JSON value as text; lists and objects stay JSON."""
-    kind = _kind(field)
-    truth = F.try_variant_get(field, "$", "boolean")
-    number = F.try_variant_get(field, "$", "double")
+    fraction = field_kind.startswith("DECIMAL") & ~field_kind.endswith(",0)")
     return (
-        F.when(field.isNull(), F.lit(default))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.when(truth, F.lit("True")).otherwise(F.lit("False")))
-        .when(kind.startswith("DECIMAL") & ~kind.endswith(",0)"), number.cast("string"))
-        .otherwise(_text(field))
+        F.when(field_kind.isNull(), F.lit(default))
+        .when(field_kind == "VOID", F.lit("None"))
+        .when(field_kind == "BOOLEAN", F.initcap(variant_text(field)))
+        .when(fraction, F.try_variant_get(field, "$", "double").cast("string"))
+        .otherwise(variant_text(field))
     )
 
 
-def summary(field: Column) -> Column:
-    return free_text(field, DEFAULT_SUMMARY)
+def summary(field: Column, field_kind: Column) -> Column:
+    return free_text(field, field_kind, DEFAULT_SUMMARY)
 
 
-def suggested_response(field: Column) -> Column:
-    return free_text(field, DEFAULT_RESPONSE)
+def suggested_response(field: Column, field_kind: Column) -> Column:
+    return free_text(field, field_kind, DEFAULT_RESPONSE)
 
 
-def confidence(field: Column) -> Column:
+def clamped_number(field: Column, field_kind: Column) -> Column:
     """Numbers and booleans clamped to 0..1; anything else is the default."""
-    kind = _kind(field)
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
-    number = F.when(
-        numeric,
-        F.coalesce(
-            F.try_variant_get(field, "$", "double"),
-            F.try_variant_get(field, "$", "boolean").cast("double"),
-        ),
+    number = F.when(_is_number(field_kind), F.try_variant_get(field, "$", "double")).when(
+        field_kind == "BOOLEAN", F.try_variant_get(field, "$", "boolean").cast("double")
     )
     known = F.coalesce(number, F.lit(DEFAULT_CONFIDENCE))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), known))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), known))
+
+
+def confidence(clamped: Column) -> Column:
     return round_float(clamped, 3).cast(CONFIDENCE)
 
 

@@ -4,7 +4,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftdesk.constants import DEFAULT_PROMPT_VERSION, MAX_ATTEMPTS
@@ -15,6 +15,8 @@ from siftdesk.session import pinned
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+REPLY_FIELDS = ("severity", "category", "summary", "suggested_response", "confidence")
+
 ENRICHED_COLUMNS = [
     "ticket_id",
     "severity",
@@ -45,24 +47,41 @@ def parse_responses(
     # otherwise a filter on the outcome would repeat the parsing per condition.
     read = read.select("*", F.explode(F.array(replies.read_list(F.col("_listed")))).alias("_elements"))
     read = read.withColumn("_reply", replies.reply_record(F.col("_body"), F.col("_elements")))
-    reply = F.col("_reply")
-    cost = replies.token_cost(F.col("tokens_in"), F.col("tokens_out"), prices)
+
+    # What several results need is a column first: repeated in every
+    # expression, the generated code outgrows what the JVM compiles.
+    def field(name: str) -> Column:
+        return F.col("_reply").getField(name)
+
+    def kind(name: str) -> Column:
+        return F.col(f"_{name}_kind")
+
+    read = read.withColumns({f"_{name}_kind": replies.kind(field(name)) for name in REPLY_FIELDS})
     error = (
-        F.when(reply.isNull(), "not_an_object")
-        .when(~replies.is_label(reply["severity"]), "severity_not_text")
-        .when(~replies.is_label(reply["category"]), "category_not_text")
-        .when(cost.isNull(), "cost_out_of_range")
+        F.when(F.col("_reply").isNull(), "not_an_object")
+        .when(~replies.is_label(kind("severity")), "severity_not_text")
+        .when(~replies.is_label(kind("category")), "category_not_text")
+        .when(F.col("_cost").isNull(), "cost_out_of_range")
     )
-    read = read.withColumn("parse_error", error)
-    usable = F.col("parse_error").isNull()
+    read = read.withColumns(
+        {
+            "_severity": replies.cleaned_label(field("severity")),
+            "_category": replies.cleaned_label(field("category")),
+            "_number": replies.clamped_number(field("confidence"), kind("confidence")),
+            "_cost": replies.token_cost(F.col("tokens_in"), F.col("tokens_out"), prices),
+        }
+    ).withColumn("parse_error", error)
     values = {
-        "severity": replies.severity(reply["severity"]),
-        "category": replies.category(reply["category"]),
-        "summary": replies.summary(reply["summary"]),
-        "suggested_response": replies.suggested_response(reply["suggested_response"]),
-        "confidence": replies.confidence(reply["confidence"]),
-        "estimated_cost": cost,
+        "severity": replies.severity(F.col("_severity")),
+        "category": replies.category(F.col("_category")),
+        "summary": replies.summary(field("summary"), kind("summary")),
+        "suggested_response": replies.suggested_response(
+            field("suggested_response"), kind("suggested_response")
+        ),
+        "confidence": replies.confidence(F.col("_number")),
+        "estimated_cost": F.col("_cost"),
     }
+    usable = F.col("parse_error").isNull()
     read = read.withColumns({name: F.when(usable, value) for name, value in values.items()})
     read = read.withColumns(
         {
@@ -143,18 +162,19 @@ def score(
     attempt) and returns (ticket_id, raw_text, tokens_in, tokens_out), and for
     calls that failed an ``error``; if it raises, its batch is halved and tried
     again. ``tasks`` spreads every pass over that many tasks. Every pass is
-    written to the shared folder before its replies are judged: a
-    lost executor then costs no second call. Later passes score only what
-    failed. The result has the columns of ``parse_responses``, ``attempts``
-    and ``last_error``; a ticket that failed every time has its last reply.
+    written to the shared folder, so no later step calls the scorer a second
+    time. Later passes score only what failed. The result has the columns of
+    ``parse_responses``, ``attempts`` and ``last_error``; a ticket that failed
+    every time has its last reply.
     """
     pending, passes = tickets, []
     for attempt in range(1, max_attempts + 1):
         spread = pending if tasks is None else pending.repartition(tasks, "id")
-        replied = pinned(_attempt(spread, scorer, attempt))
-        noted = replied.withColumns({"attempts": F.lit(attempt), "last_error": F.col("error")})
-        parsed = parse_responses(noted, prices, model, prompt_version)
-        parsed = parsed.withColumn("last_error", F.coalesce("last_error", "parse_error"))
+        replied = _attempt(spread, scorer, attempt).withColumns(
+            {"attempts": F.lit(attempt), "last_error": F.col("error")}
+        )
+        parsed = parse_responses(replied, prices, model, prompt_version)
+        parsed = pinned(parsed.withColumn("last_error", F.coalesce("last_error", "parse_error")))
         usable = F.col("parse_error").isNull()
         if attempt == max_attempts:
             passes.append(parsed)

@@ -139,7 +139,8 @@ def list_page(
         first, last = (shown[0][0], shown[-1][0]) if is_ascending(order) else (shown[-1][0], shown[0][0])
         in_span = F.col("created_at").between(F.lit(first).cast(kind), F.lit(last).cast(kind))
         mine = tickets.where(in_span & F.col("id").isin(ids))
-        theirs = enrichments.where(F.col("ticket_id").isin(ids))
+        # At most one enrichment for each of the page's ids.
+        theirs = F.broadcast(enrichments.where(F.col("ticket_id").isin(ids)))
         items = order_tickets(list_items(mine, theirs), order)
     else:
         items = list_items(tickets.limit(0), enrichments.limit(0))
@@ -165,6 +166,7 @@ def latest(tickets: DataFrame, enrichments: DataFrame, n: int = 5) -> DataFrame:
     The newest are picked before the join, so it has ``n`` rows on the left;
     the enrichments are narrowed down to them without a shuffle.
     """
+    check_limit(n)
     newest = order_tickets(tickets.select("id", "title", "status", "created_at")).limit(n)
     ids = newest.select(F.col("id").alias("_id"))
     mine = enrichments.join(F.broadcast(ids), enrichments["ticket_id"] == ids["_id"], "left_semi")

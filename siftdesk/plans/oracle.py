@@ -35,6 +35,7 @@ def _count_by(name: str, view: str, column: str) -> None:
 
 
 _count_by("tickets_by_status", "tickets", "status")
+_count_by("status_distribution", "tickets", "status")
 _count_by("enrichments_by_severity", "ai_enrichments", "severity")
 _count_by("enrichments_by_category", "ai_enrichments", "category")
 _count_by("actions_by_type", "agent_actions", "action_type")
@@ -447,6 +448,14 @@ SELECT ticket_id,
 FROM scored
 """
 _SCORING = {"checked": _EXTERNAL, "accepted": _ACCEPTED, "scored": _SCORED, "outcome": _OUTCOME}
+_sql(
+    "scorer_input",
+    "submissions",
+    """SELECT id, concat('Ticket title: ', title, chr(10), chr(10), 'Ticket description: ', description) AS input
+    FROM accepted""",
+    checked=_EXTERNAL,
+    accepted=_ACCEPTED,
+)
 _sql(
     "score_batches",
     "submissions",

@@ -67,6 +67,11 @@ def tickets_by_status(spark, sf_dir):
     return metrics.tickets_by_status(_tickets(spark, sf_dir))
 
 
+@query
+def status_distribution(spark, sf_dir):
+    return metrics.order_by_count(metrics.count_by(_tickets(spark, sf_dir), "status"))
+
+
 @query
 def enrichments_by_severity(spark, sf_dir):
     return metrics.enrichments_by_severity(_enrichments(spark, sf_dir))
@@ -350,6 +355,12 @@ def response_cost(spark, sf_dir):
     return _enrichments(spark, sf_dir).select("ticket_id", cost.cast("double").alias("cost"))
 
 
+@query
+def scorer_input(spark, sf_dir):
+    submitted = _submitted(spark, sf_dir)
+    return submitted.select("id", text.scorer_input(F.col("title"), F.col("description")).alias("input"))
+
+
 def length_scorer() -> enrichment.Scorer:
     """A scorer that reads nothing but lengths; some calls fail, some only at first."""
 
@@ -513,7 +524,12 @@ def stream_enrich(spark, sf_dir):
     out = work_dir(spark, "enrich")
     checked = jobs.checked_intake(_submission_stream(spark, sf_dir), external=True)
     tickets = checked.where(F.col("side") == jobs.TICKET_SIDE).drop("side", "errors")
-    _finish(jobs.stream_enrich(tickets, f"{out}/rows", f"{out}/state", length_scorer(), PRICES, MODEL))
+    tasks = spark.sparkContext.defaultParallelism
+    _finish(
+        jobs.stream_enrich(
+            tickets, f"{out}/rows", f"{out}/state", length_scorer(), PRICES, MODEL, tasks=tasks
+        )
+    )
     done = jobs.read_enriched(spark, f"{out}/rows")
     return _doubles(done, "confidence", "estimated_cost").select(*_SCORED)
 

@@ -24,6 +24,13 @@ def read_actions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return read_table(spark, path, schemas.ACTIONS, fmt)
 
 
+def register_views(tickets: DataFrame, enrichments: DataFrame, actions: DataFrame) -> None:
+    """Make the tables available to ``spark.sql`` under their own names."""
+    tickets.createOrReplaceTempView("tickets")
+    enrichments.createOrReplaceTempView("ai_enrichments")
+    actions.createOrReplaceTempView("agent_actions")
+
+
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 

@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from siftdesk.constants import DEFAULT_PROMPT_VERSION, ENRICHED_STATUS
+from siftdesk.constants import DEFAULT_PROMPT_VERSION, ENRICHED_STATUS, MAX_ATTEMPTS
 from siftdesk.functions.replies import Prices
 from siftdesk.operators.enrichment import ENRICHED_COLUMNS, Scorer, score
-from siftdesk.operators.relations import earliest_per
 from siftdesk.operators.intake import as_tickets, check_submissions, external_source, form_source
+from siftdesk.operators.relations import earliest_per
+from siftdesk.session import pinned
 
 # Batches with at most this many tickets, counted beforehand, are broadcast.
 BROADCAST_ROWS = 100_000
@@ -77,16 +78,24 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _already_enriched(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Ids of the batch among the known enrichments.
+def _unseen(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Tickets of the batch that are not among the known enrichments.
 
-    A batch is small against all enrichments: with its ids broadcast the
-    enrichments are filtered where they are read, and only matches move on.
+    Enrichments lie in folders of their ticket's day, so only the days of the
+    batch are read. The batch is small against them: with its ids broadcast
+    they are filtered where they are read, and only matches move on.
     """
+    days = [row[0] for row in batch.select(_ticket_day()).distinct().collect()]
     ids = batch.select(F.col("id").alias("_id"))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return known.select("ticket_id").join(ids, F.col("ticket_id") == F.col("_id"), "left_semi").distinct()
+    theirs = known.where(F.col("ticket_day").isin(days)).select("ticket_id")
+    seen = theirs.join(ids, F.col("ticket_id") == F.col("_id"), "left_semi").distinct()
+    return batch.join(seen, batch["id"] == seen["ticket_id"], "left_anti")
+
+
+def _ticket_day():
+    return F.to_date("created_at")
 
 
 def enrich_batch(
@@ -98,22 +107,21 @@ def enrich_batch(
     prices: Prices,
     model: str,
     prompt_version: str = DEFAULT_PROMPT_VERSION,
-    max_attempts: int = 3,
+    max_attempts: int = MAX_ATTEMPTS,
+    tasks: int | None = None,
 ) -> None:
     """Enrich one micro-batch into folders of its own.
 
     A batch that is run again replaces its own folders and sees the
     enrichments of all other batches, so no ticket is enriched twice and none
-    is lost. ``batch_id`` is the partition column of every folder.
+    is lost. A ticket's ``created_at`` must not change between its triggers.
     """
     spark = batch.sparkSession
-    fresh = earliest_per(batch, "id", ["created_at", "title", "description"])
+    fresh = pinned(earliest_per(batch, "id", ["created_at", "title", "description"]))
     known = _existing(spark, f"{out}/enrichments")
     if known is not None:
-        others = known.where(F.col("batch_id") != batch_id)
-        seen = _already_enriched(fresh, others)
-        fresh = fresh.join(seen, fresh["id"] == seen["ticket_id"], "left_anti")
-    scored = score(fresh, scorer, prices, model, prompt_version, max_attempts)
+        fresh = pinned(_unseen(fresh, known.where(F.col("batch_id") != batch_id)))
+    scored = score(fresh, scorer, prices, model, prompt_version, max_attempts, tasks)
     target = f"{out}/{{}}/batch_id={batch_id}"
     usable = F.col("parse_error").isNull()
     scored.where(~usable).write.mode("overwrite").parquet(target.format("failures"))
@@ -126,8 +134,10 @@ def enrich_batch(
         F.lit(0).cast("long").alias("seq"),
     )
     status.write.mode("overwrite").parquet(target.format("status_changes"))
+    days = fresh.select(F.col("id").alias("ticket_id"), _ticket_day().alias("ticket_day"))
+    dated = done.join(days, "ticket_id").write.mode("overwrite").partitionBy("ticket_day")
     # Written last: a batch counts as enriched only when all of it is there.
-    done.write.mode("overwrite").parquet(target.format("enrichments"))
+    dated.option("partitionOverwriteMode", "static").parquet(target.format("enrichments"))
 
 
 def stream_enrich(
@@ -138,7 +148,8 @@ def stream_enrich(
     prices: Prices,
     model: str,
     prompt_version: str = DEFAULT_PROMPT_VERSION,
-    max_attempts: int = 3,
+    max_attempts: int = MAX_ATTEMPTS,
+    tasks: int | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
     """Enrich each arriving ticket once.
@@ -154,6 +165,7 @@ def stream_enrich(
         model=model,
         prompt_version=prompt_version,
         max_attempts=max_attempts,
+        tasks=tasks,
     )
     writer = tickets.writeStream.foreachBatch(lambda df, n: run(df, n))
     return _start(writer, checkpoint, every)
@@ -161,7 +173,7 @@ def stream_enrich(
 
 def read_enriched(spark: SparkSession, out: str, part: str = "enrichments") -> DataFrame:
     """``enrichments``, ``failures`` or ``status_changes`` of all batches."""
-    return spark.read.parquet(f"{out}/{part}").drop("batch_id")
+    return spark.read.parquet(f"{out}/{part}").drop("batch_id", "ticket_day")
 
 
 def _replace_counts(df: DataFrame, batch_id: int, out: str) -> None:
