@@ -235,9 +235,18 @@ def apply_status_changes(
     )
 
 
-def apply_enrichments(tickets: DataFrame, new_enrichments: DataFrame) -> DataFrame:
-    """Tickets after enrichment: triaged whatever they were before, with no audit row."""
+def apply_enrichments(
+    tickets: DataFrame, new_enrichments: DataFrame, at: Column | None = None
+) -> DataFrame:
+    """Tickets after enrichment: triaged whatever they were before, with no audit row.
+
+    ``at`` is when the change is dated, by default now.
+    """
+    at = F.localtimestamp() if at is None else at
     done = new_enrichments.select("ticket_id").distinct().withColumn("_done", F.lit(True))
     joined = tickets.join(done, tickets["id"] == done["ticket_id"], "left").drop("ticket_id")
-    status = F.when(F.col("_done"), F.lit(ENRICHED_STATUS)).otherwise(F.col("status"))
-    return joined.withColumn("status", status).select(*tickets.columns)
+    moved = F.col("_done") & (F.col("status") != ENRICHED_STATUS)
+    values = {"status": F.when(F.col("_done"), F.lit(ENRICHED_STATUS)).otherwise(F.col("status"))}
+    if "updated_at" in tickets.columns:
+        values["updated_at"] = F.when(moved, at).otherwise(F.col("updated_at"))
+    return joined.select(*[values.get(name, F.col(name)).alias(name) for name in tickets.columns])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from siftdesk.constants import DEFAULT_PROMPT_VERSION, MAX_ATTEMPTS
 from siftdesk.functions import replies
 from siftdesk.functions.replies import Prices
-from siftdesk.functions.text import scorer_input
+from siftdesk.functions.text import key_from, scorer_input
+from siftdesk.schemas import ENRICHMENTS
 from siftdesk.session import pinned
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -100,6 +101,19 @@ def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(usable).drop("parse_error"), parsed.where(~usable)
 
 
+def as_enrichments(parsed: DataFrame, at: Column | None = None) -> DataFrame:
+    """Usable replies in the shape of the enrichments table.
+
+    The key follows from the ticket, which has one enrichment; ``at`` is the
+    time of creation, by default now.
+    """
+    at = F.localtimestamp() if at is None else at
+    usable, _ = split_parsed(parsed)
+    keyed = usable.withColumn("id", key_from(F.lit("enrichment"), F.col("ticket_id")))
+    dated = keyed.withColumns({"created_at": at, "updated_at": at})
+    return dated.select(*ENRICHMENTS.fieldNames())
+
+
 def _batch_runner(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The function that scores a task's batches.
 

@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from siftdesk.constants import DEFAULT_PROMPT_VERSION, ENRICHED_STATUS, MAX_ATTEMPTS
 from siftdesk.functions.replies import Prices
-from siftdesk.operators.enrichment import ENRICHED_COLUMNS, Scorer, score
+from siftdesk.operators.enrichment import Scorer, as_enrichments, score
 from siftdesk.operators.intake import as_tickets, check_submissions, external_source, form_source
 from siftdesk.operators.relations import earliest_per
 from siftdesk.session import pinned
@@ -125,7 +125,7 @@ def enrich_batch(
     target = f"{out}/{{}}/batch_id={batch_id}"
     usable = F.col("parse_error").isNull()
     scored.where(~usable).write.mode("overwrite").parquet(target.format("failures"))
-    done = scored.where(usable).select(*ENRICHED_COLUMNS)
+    done = as_enrichments(scored)
     status = done.select(
         "ticket_id",
         F.lit("status").alias("field"),

@@ -211,9 +211,13 @@ def test_audit_keys_are_stable_and_distinct(frame, tickets, enrichments, random_
 
 
 def test_enrichment_moves_any_status_to_triaged(tickets, enrichments):
-    table = tickets(ticket("a", "closed"), ticket("b", "new"))
-    done = changes.apply_enrichments(table, enrichments(enrichment("a"), enrichment("a")))
-    assert {r.id: r.status for r in done.collect()} == {"a": "triaged", "b": "new"}
+    from pyspark.sql import functions as F
+
+    table = tickets(ticket("a", "closed"), ticket("b", "new"), ticket("c", "triaged"))
+    new = enrichments(enrichment("a"), enrichment("a"), enrichment("c"))
+    done = changes.apply_enrichments(table, new, F.lit(minute(5)).cast("timestamp_ntz"))
+    found = {r.id: (r.status, r.updated_at) for r in done.collect()}
+    assert found == {"a": ("triaged", minute(5)), "b": ("new", minute(0)), "c": ("triaged", minute(0))}
 
 
 @pytest.mark.parametrize("hot_rows", [3, 1_000_000])

@@ -11,7 +11,7 @@ from siftdesk import schemas
 from siftdesk.functions import replies
 from siftdesk.functions.numbers import round_float
 from siftdesk.functions.replies import Prices
-from siftdesk.operators.enrichment import parse_responses, score, split_parsed
+from siftdesk.operators.enrichment import as_enrichments, parse_responses, score, split_parsed
 
 PRICES = Prices(Decimal("3.00"), Decimal("15.00"))
 
@@ -146,6 +146,16 @@ def test_unknown_labels_and_case_of_keys(parse):
     assert two.severity == "medium"
 
 
+def test_rows_of_the_enrichments_table(frame):
+    rows = [
+        {"ticket_id": str(i), "raw_text": t, "tokens_in": 1, "tokens_out": 1} for i, t in enumerate(["{}", "{"])
+    ]
+    made = as_enrichments(parse_responses(frame(schemas.REPLIES, rows), PRICES, "m"))
+    assert [(f.name, f.dataType) for f in made.schema] == [(f.name, f.dataType) for f in schemas.ENRICHMENTS]
+    (row,) = made.collect()
+    assert row.ticket_id == "0" and row.id == made.first().id and len(row.id) == 36
+
+
 def test_split(frame):
     rows = [
         {"ticket_id": "1", "raw_text": "{}", "tokens_in": 1, "tokens_out": 1},

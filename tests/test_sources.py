@@ -57,12 +57,33 @@ def test_jdbc_needs_bounds(spark):
         jdbc.read_jdbc(spark, "jdbc:postgresql://host/db", "tickets", split_on="id")
 
 
-def test_shared_dir_follows_the_setting(spark, tmp_path):
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    except Exception:
-        pytest.skip("the setting cannot be changed in a running session")
-    try:
-        assert session.work_dir(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_views_take_the_ad_hoc_queries(spark, tickets, enrichments, actions):
+    tables.register_views(
+        tickets(ticket("a"), ticket("b", created=1)), enrichments(enrichment("a")), actions(action("1", "a"))
+    )
+    newest = spark.sql(
+        "SELECT t.id, e.severity FROM tickets t LEFT JOIN ai_enrichments e ON t.id = e.ticket_id "
+        "ORDER BY t.created_at DESC LIMIT 5"
+    )
+    assert [tuple(r) for r in newest.collect()] == [("b", None), ("a", "low")]
+    kinds = spark.sql("SELECT action_type, COUNT(*) AS count FROM agent_actions GROUP BY action_type")
+    assert [tuple(r) for r in kinds.collect()] == [("override", 1)]
+
+
+def test_shared_dir_follows_the_setting(monkeypatch, tmp_path):
+    class Conf:
+        def get(self, key, default=None):
+            assert key == "spark.checkpoint.dir"
+            return self.folder or default
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://somewhere", "app-1"
+
+        conf = Conf()
+
+    Conf.folder = str(tmp_path)
+    assert session.work_dir(Session, "x").startswith(str(tmp_path))
+    Conf.folder = None
+    with pytest.raises(RuntimeError):
+        session.work_dir(Session, "x")
