@@ -38,8 +38,7 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet", by_day: str | None = None) -> None:
     """Write ``df`` as the whole table, in folders of one day each if ``by_day`` names a timestamp.
 
-    Pages and histories are read by ``created_at``; day folders let those
-    reads skip the rest of the table.
+    Reads that name the days they need (column ``day``) skip the other folders.
     """
     if by_day is None:
         df.write.mode("overwrite").format(fmt).save(path)
