@@ -56,7 +56,8 @@ def unfenced(raw: Column) -> Column:
     closed = F.when(
         opened.endswith(FENCE), F.left(opened, F.char_length(opened) - len(FENCE))
     ).otherwise(opened)
-    return strip(closed)
+    # Trimming walks the whole text, so only a text with a fence is trimmed twice.
+    return F.when(text.startswith(FENCE) | text.endswith(FENCE), strip(closed)).otherwise(text)
 
 
 def marked_list(body: Column) -> Column:

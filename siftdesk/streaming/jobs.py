@@ -126,14 +126,6 @@ def enrich_batch(
     usable = F.col("parse_error").isNull()
     scored.where(~usable).write.mode("overwrite").parquet(target.format("failures"))
     done = as_enrichments(scored)
-    status = done.select(
-        "ticket_id",
-        F.lit("status").alias("field"),
-        F.lit(ENRICHED_STATUS).alias("new_value"),
-        F.localtimestamp().alias("requested_at"),
-        F.lit(0).cast("long").alias("seq"),
-    )
-    status.write.mode("overwrite").parquet(target.format("status_changes"))
     days = fresh.select(F.col("id").alias("ticket_id"), _ticket_day().alias("ticket_day"))
     dated = done.join(days, "ticket_id").write.mode("overwrite").partitionBy("ticket_day")
     # Written last: a batch counts as enriched only when all of it is there.
@@ -172,10 +164,21 @@ def stream_enrich(
 
 
 def read_enriched(spark: SparkSession, out: str, part: str = "enrichments") -> DataFrame:
-    """``enrichments``, ``failures`` or ``status_changes`` of all batches."""
+    """``enrichments`` or ``failures`` of all batches."""
     return spark.read.parquet(f"{out}/{part}").drop("batch_id", "ticket_day")
 
 
+def status_changes(enrichments: DataFrame) -> DataFrame:
+    """What the enrichments did to their tickets, as a log for ``current_state``."""
+    return enrichments.select(
+        "ticket_id",
+        F.lit("status").alias("field"),
+        F.lit(ENRICHED_STATUS).alias("new_value"),
+        F.col("created_at").alias("requested_at"),
+        F.lit(0).cast("long").alias("seq"),
+    )
+
+
 def _replace_counts(df: DataFrame, batch_id: int, out: str) -> None:
     df.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
