@@ -18,6 +18,8 @@ from siftdesk.session import pinned
 # Batches with at most this many tickets, counted beforehand, are broadcast.
 BROADCAST_ROWS = 100_000
 
+MAX_DAYS = 1000
+
 TICKET_SIDE = "accepted"
 REJECT_SIDE = "rejected"
 
@@ -85,11 +87,13 @@ def _unseen(batch: DataFrame, known: DataFrame) -> DataFrame:
     batch are read. The batch is small against them: with its ids broadcast
     they are filtered where they are read, and only matches move on.
     """
-    days = [row[0] for row in batch.select(_ticket_day()).distinct().collect()]
+    days = [row[0] for row in batch.select(_ticket_day()).distinct().limit(MAX_DAYS + 1).collect()]
     ids = batch.select(F.col("id").alias("_id"))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    theirs = known.where(F.col("ticket_day").isin(days)).select("ticket_id")
+    # A batch of more days is rare; it searches all folders.
+    theirs = known if len(days) > MAX_DAYS else known.where(F.col("ticket_day").isin(days))
+    theirs = theirs.select("ticket_id")
     seen = theirs.join(ids, F.col("ticket_id") == F.col("_id"), "left_semi").distinct()
     return batch.join(seen, batch["id"] == seen["ticket_id"], "left_anti")
 

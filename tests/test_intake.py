@@ -107,7 +107,9 @@ def test_form_rules(spark, change, errors):
     assert row.errors == errors
 
 
-@pytest.mark.parametrize("text, short", [("", False), ("x" * 19, True), ("x" * 20, False), (" ", True), ("😀" * 10, False)])
+@pytest.mark.parametrize(
+    "text, short", [("", False), ("x" * 19, True), ("x" * 20, False), (" ", True), ("😀" * 10, False)]
+)
 def test_short_description(spark, text, short):
     (row,) = intake.check_forms(spark.createDataFrame([form(description=text)], FORM)).collect()
     assert row.short_description is short

@@ -90,7 +90,9 @@ def test_page_record(data):
     assert row.tickets[0].severity is None and row.tickets[1].severity == "high"
 
 
-@pytest.mark.parametrize("count, size, ranges", [(0, 45, []), (4, 2, [(1, 2), (3, 4)]), (5, 2, [(1, 2), (3, 4), (5, 5)])])
+@pytest.mark.parametrize(
+    "count, size, ranges", [(0, 45, []), (4, 2, [(1, 2), (3, 4)]), (5, 2, [(1, 2), (3, 4), (5, 5)])]
+)
 def test_page_ranges(spark, count, size, ranges):
     rows = listing.page_ranges(spark.range(count), size).orderBy("page").collect()
     assert [(r.range_start, r.range_end) for r in rows] == ranges

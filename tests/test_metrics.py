@@ -132,7 +132,8 @@ def test_confidence_display(spark, confidence, percent, band):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([("waiting_on_customer", "high", "", "web_form"), ("odd", None, "odd", "api")], "a string, b string, c string, d string")
+    rows = [("waiting_on_customer", "high", "", "web_form"), ("odd", None, "odd", "api")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
     c = F.col
     rows = df.select(
         display.status_label(c("a")), display.severity_label(c("b")), display.category_label(c("c")),
@@ -141,7 +142,10 @@ def test_labels(spark):
     assert [tuple(r) for r in rows] == [("Waiting", "High", None, "Form"), ("odd", None, "odd", "api")]
 
 
-@pytest.mark.parametrize("minutes, bucket", [(0, "seconds"), (59, "minutes"), (60, "hours"), (1440, "days"), (50000, "months"), (600000, "years")])
+@pytest.mark.parametrize(
+    "minutes, bucket",
+    [(0, "seconds"), (59, "minutes"), (60, "hours"), (1440, "days"), (50000, "months"), (600000, "years")],
+)
 def test_age(spark, minutes, bucket):
     df = spark.createDataFrame([(minute(0), minute(minutes))], "a timestamp_ntz, b timestamp_ntz")
     row = df.select(display.age_seconds(F.col("a"), F.col("b")), display.age_bucket(F.col("a"), F.col("b"))).first()

@@ -1,20 +1,11 @@
 """Physical plans: what is pushed down, what is not joined, and how hot keys are split."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from siftdesk.operators import listing, metrics, relations
 from siftdesk.operators.sequences import find_hot, lookup
 
-SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-# Those that call a scorer, which is Python, or run a stream while they are built.
-WITH_PYTHON = {"score_batches", "stream_enrich", "stream_intake", "stream_counts"}
-
-
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -36,14 +27,6 @@ def stored(spark, tmp_path):
     return spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "e"))
 
 
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WITH_PYTHON])
-def test_no_pairwise_joins_and_no_python(spark, name):
-    plan = plan_of(QUERIES[name](spark, SF_DIR))
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
-        assert word not in plan
-
-
 def test_cursor_reaches_the_scan(stored):
     tickets, _ = stored
     after = listing.after_cursor(tickets, F.expr("timestamp_ntz'2024-01-02'"), F.lit("7"))

@@ -24,9 +24,13 @@ def duck():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    mine = rows_of(QUERIES[name](spark, SF_DIR).toPandas())
+    df = QUERIES[name](spark, SF_DIR)
+    mine = rows_of(df.toPandas())
     theirs = rows_of(duck.execute(ORACLE[name]).df())
     assert mine == theirs
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
+        assert word not in plan
 
 
 def test_every_query_has_an_oracle():

@@ -19,7 +19,8 @@ def test_round_trip_and_clear(spark, tmp_path, tickets, enrichments, actions):
     assert tables.read_enrichments(spark, paths["ai_enrichments"]).first().ticket_id == "a"
     assert tables.read_actions(spark, paths["agent_actions"]).first().new_value == "high"
     tables.clear_tables(spark, paths)
-    assert [tables.read_tickets(spark, paths["tickets"]).count(), spark.read.parquet(paths["agent_actions"]).count()] == [0, 0]
+    assert tables.read_tickets(spark, paths["tickets"]).count() == 0
+    assert spark.read.parquet(paths["agent_actions"]).count() == 0
 
 
 def test_day_folders(spark, tmp_path, tickets):
@@ -43,7 +44,8 @@ def test_evolution(enrichments):
     assert set(rows.columns) - set(old.columns) == set(schemas.ADDED_ENRICHMENT_COLUMNS)
     up = evolution.upgrade_enrichments(old)
     row = up.first()
-    assert (row.prompt_version, row.tokens_in, row.tokens_out, row.estimated_cost, row.raw_response) == ("v1.0", 0, 0, 0, None)
+    assert (row.prompt_version, row.tokens_in, row.tokens_out) == ("v1.0", 0, 0)
+    assert (row.estimated_cost, row.raw_response) == (0, None)
     assert {f.name: f.dataType for f in up.schema} == {f.name: f.dataType for f in rows.schema}
     assert evolution.union_versions(old, rows).count() == 2
 
