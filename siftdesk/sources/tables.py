@@ -47,6 +47,18 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet", by_day: str |
     dated.write.mode("overwrite").partitionBy("day").format(fmt).save(path)
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Write ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Tickets bucketed by ``id`` and their enrichments and actions bucketed by
+    ``ticket_id`` into as many buckets are joined without a shuffle.
+    """
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def clear_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> None:
     """Empty the tables, children before parents."""
     for name, schema in (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftdesk.operators import listing, metrics, relations
 from siftdesk.operators.sequences import find_hot, lookup
+from siftdesk.sources import tables
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -63,6 +64,21 @@ def test_counts_read_one_column(stored):
     assert "ReadSchema: struct<status:string>" in plan and "partial_count" in plan
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, stored, tmp_path):
+    tickets, enrichments = stored
+    expected = listing.list_items(tickets, enrichments).count()
+    tables.save_bucketed(tickets, "bucketed_t", "id", 4, str(tmp_path / "bt"))
+    tables.save_bucketed(enrichments, "bucketed_e", "ticket_id", 4, str(tmp_path / "be"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = listing.list_items(spark.table("bucketed_t"), spark.table("bucketed_e"))
+        assert "Exchange" not in plan_of(items) and items.count() == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("bucketed_t", "bucketed_e"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 @pytest.fixture
 def skewed(spark):
     """Joins by shuffle, with partitions called skewed early."""
