@@ -2,10 +2,20 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftdesk.llm import line_dedup, packing, simhash
+from siftdesk.llm import line_dedup, packing, quality_rules, simhash, toxicity
 from siftdesk.llm.common import pinned, read_table
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the learned rules and the base rules accept."""
+    return quality_rules.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that are not predicted toxic."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without the lines that repeat elsewhere."""
     left = line_dedup.dedup_documents(docs).drop("n_lines", "n_dropped")
@@ -28,6 +38,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality_rules", keep_good_quality),
+    ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", keep_one_of_near_copies),
     ("packing", pack_sequences),

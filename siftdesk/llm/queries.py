@@ -4,7 +4,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, simhash
+from . import (
+    bpe,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_lists,
+    warc,
+)
 from .common import read_table
 
 
@@ -19,12 +30,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     left = line_dedup.dedup_documents(docs)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select(
@@ -32,6 +53,46 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries over the hosts of ``pages``, dated by a hash of the host.
+
+    The tables have no URL lists; these cover hosts, parent domains and paths,
+    removals and repeated additions.
+    """
+    hosts = pages.select(url_lists.url_host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    n = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int")
+    start = F.lit("2024-01-01").cast("date")
+
+    def entry(wanted: Column, name: str, pattern: Column, action: str, after: Column) -> Column:
+        return F.when(
+            wanted,
+            F.struct(
+                F.lit(name).alias("list"),
+                pattern.alias("pattern"),
+                F.lit(action).alias("action"),
+                F.date_add(start, after).alias("dated_on"),
+            ),
+        )
+
+    host, parent = F.col("host"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
+    made = F.array(
+        entry(n % 4 == 0, "spam", host, "add", n % 200),
+        entry((n % 4 == 0) & (n % 3 == 0), "spam", host, "remove", n % 200 + 60),
+        entry((n % 4 == 0) & (n % 9 == 0), "spam", host, "add", n % 200 + 120),
+        entry(n % 5 == 0, "paths", F.concat(host, F.lit("/en/")), "add", n % 300),
+        entry((n % 7 == 0) & (parent != ""), "domains", parent, "add", n % 250),
+        entry((n % 7 == 0) & (parent != ""), "domains", parent, "remove", n % 250 + 30),
+    )
+    return hosts.select(F.inline(F.filter(made, lambda e: e.isNotNull())))
+
+
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    found = url_lists.evaluate(pages.withColumn("fetched_on", day), dated_entries(pages))
+    return found.withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read_table(spark, sf_dir, "documents"), length=4096, end_id=2)
     return packed.select(
@@ -45,15 +106,41 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = quality_rules.decide(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+    return decided.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read_table(spark, sf_dir, "pages"), min_payload=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_url_lists": op6_url_lists,
     "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
@@ -61,6 +148,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
+
+
+def _license_sql() -> str:
+    """Phrases word by word; every line against every template by brute force."""
+    phrases = ", ".join(
+        f"({phrase.split()!r}, '{label}')" for phrase, label in license_scan.PHRASES.items()
+    )
+    templates = ", ".join(
+        f"({license_scan.template_words(text)!r}, '{label}')"
+        for label, text in license_scan.TEMPLATES.items()
+    )
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+        WITH phrases(p, label) AS (VALUES {phrases}),
+        templates(t, label) AS (VALUES {templates}),
+        d AS (SELECT doc_id, {_LOWER} AS low FROM documents),
+        w AS (SELECT doc_id, low, regexp_extract_all(low, '{pattern}') AS words FROM d),
+        places AS (
+          SELECT doc_id, label, unnest(list_filter(range(1, len(words) + 1),
+            lambda i: list_slice(words, i, i + len(p) - 1) = p)) - 1 AS place
+          FROM w, phrases WHERE contains(low, p[1])),
+        based AS (
+          SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word
+          FROM places GROUP BY doc_id),
+        lines AS (
+          SELECT doc_id, list_distinct(regexp_extract_all(line, '{pattern}')) AS ws
+          FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+        matched AS (
+          SELECT doc_id, label, len(list_intersect(t, ws)) / len(t) AS share
+          FROM lines, templates WHERE len(list_intersect(t, ws)) >= 0.8 * len(t)),
+        shares AS (SELECT doc_id, max(share) AS share FROM matched GROUP BY doc_id),
+        own AS (
+          SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+          FROM places GROUP BY doc_id),
+        every AS (
+          SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+          FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM matched)
+          GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word,
+          coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+          CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+        FROM w LEFT JOIN based USING (doc_id) LEFT JOIN shares USING (doc_id)
+          LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents)
@@ -85,4 +217,58 @@ ORACLE: dict[str, str] = {
           sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), ''))
             AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op4_license_scan": _license_sql(),
+    "op6_url_lists": """
+        WITH hosts AS (
+          SELECT DISTINCT rtrim(lower(regexp_extract(url,
+            '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host FROM pages),
+        numbered AS (
+          SELECT host, ('0x' || substr(md5(host), 1, 6))::INT AS n,
+            regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS parent
+          FROM hosts WHERE host <> ''),
+        entries AS (
+          SELECT 'spam' AS list, host AS k, 'add' AS action, n % 200 AS after
+            FROM numbered WHERE n % 4 = 0
+          UNION ALL SELECT 'spam', host, 'remove', n % 200 + 60 FROM numbered WHERE n % 12 = 0
+          UNION ALL SELECT 'spam', host, 'add', n % 200 + 120 FROM numbered WHERE n % 36 = 0
+          UNION ALL SELECT 'paths', host || '/en', 'add', n % 300 FROM numbered WHERE n % 5 = 0
+          UNION ALL SELECT 'domains', parent, 'add', n % 250
+            FROM numbered WHERE n % 7 = 0 AND parent <> ''
+          UNION ALL SELECT 'domains', parent, 'remove', n % 250 + 30
+            FROM numbered WHERE n % 7 = 0 AND parent <> ''),
+        days AS (
+          SELECT list, k, DATE '2024-01-01' + after::INT AS since, max(action) AS action
+          FROM entries GROUP BY ALL),
+        intervals AS (
+          SELECT list, k, action, since,
+            lead(since) OVER (PARTITION BY list, k ORDER BY since) AS until FROM days),
+        captures AS (
+          SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INT AS fetched_on,
+            rtrim(lower(regexp_extract(url,
+              '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+            regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) || '/' AS path
+          FROM pages),
+        hits AS (
+          SELECT c.page_id, i.list FROM captures c JOIN intervals i
+            ON i.action = 'add' AND c.fetched_on >= i.since
+            AND (i.until IS NULL OR c.fetched_on < i.until)
+            AND CASE WHEN i.list = 'paths' THEN starts_with(c.host || c.path, i.k || '/')
+              ELSE c.host = i.k OR ends_with(c.host, '.' || i.k) END)
+        SELECT page_id, url, CAST(fetched_on AS VARCHAR) AS fetched_on,
+          coalesce(h.n, 0) AS n_active, coalesce(h.lists, '') AS lists,
+          coalesce(h.n, 0) > 0 AS blocked
+        FROM captures LEFT JOIN (
+          SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+          FROM hits GROUP BY page_id) h USING (page_id)""",
+    "op9_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substr(d, (i // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31)
+              + 1)::INT, 1)), '') AS payload_digest,
+          CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM w""",
 }
