@@ -182,9 +182,10 @@ def dedup_documents(
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = plain.select(F.col(key).alias("doc_id"), F.col(f"c{at}").alias("text"))
     drops = pinned(dropped_lines(own, **options).withColumnRenamed("doc_id", "in_doc"))
-    joined = plain.join(drops, plain[key].eqNullSafe(drops["in_doc"]), "left").select(
-        *plain.columns, "drops"
-    )
+    # Texts and drops meet by shuffle at every size: the drops grow with the input.
+    joined = plain.join(
+        drops.hint("merge"), plain[key].eqNullSafe(drops["in_doc"]), "left"
+    ).select(*plain.columns, "drops")
 
     def work(rows):
         for *row, drop in rows:
