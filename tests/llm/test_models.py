@@ -1,0 +1,179 @@
+"""Operators 2 and 8: brute-force statistics, held-out accuracy, edge cases."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftdesk.llm import quality_rules as rules
+from siftdesk.llm import toxicity
+from siftdesk.llm.common import read_table
+from siftdesk.llm.tokens import Cache
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def brute_counts(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    windows = {}
+    for i in range(len(words) - 4):
+        windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+    inside = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    seen, dups = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dups += line in seen
+            seen.add(line)
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        dups,
+        len(inside),
+    )
+
+
+def wild_texts():
+    rng = random.Random(7)
+    pool = ["a", "b", "é", "x|y", "#1", "\n", "\n", "  ", "\t", "\x1c", " ", "<b>", "WORD", "漢"]
+    made = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    return [*made, None, "", " \n ", "a b c d e a b c d e", "a a a a a a", "a " * 60_000]
+
+
+def test_counts_against_brute_force(spark):
+    texts = wild_texts()
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, counts int")
+    got = {r.doc_id: tuple(r)[1:6] for r in rules.measure(docs).collect()}
+    assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
+
+
+def test_rules_are_learned_and_pruned():
+    rng = np.random.default_rng(8)
+    n = 3000
+    values = {"x": rng.random(n), "y": rng.random(n), "z": rng.random(n)}
+    bad = ((values["x"] > 0.8) & (values["y"] <= 0.5)) | (values["z"] > 0.95)
+    noisy = bad ^ (rng.random(n) < 0.01)
+    learned = rules.learn(values, noisy, rng.random(n) < 0.33)
+    found = np.zeros(n, bool)
+    for rule in learned:
+        found |= rules.covers(rule, values, np.ones(n, bool))
+    assert 1 < len(learned) < 8 and (found == bad).mean() > 0.97
+
+
+def test_no_rules_without_both_kinds():
+    values = {"x": np.arange(20.0)}
+    held = np.arange(20) % 3 == 0
+    assert rules.learn(values, np.zeros(20, bool), held) == []
+    assert rules.learn(values, np.ones(20, bool), held) == []
+
+
+def test_expression_takes_the_first_rule(spark):
+    listed = [
+        (rules.Condition("words", True, 5.0), rules.Condition("lines", False, 1.0)),
+        (rules.Condition("words", True, 3.0),),
+    ]
+    rows = [(7, 1), (7, 2), (4, 1), (2, 1)]
+    names = [c.split()[0] for c in rules.COUNTS.split(", ")]
+    frame = spark.createDataFrame([(w, n) for w, n in rows], "n_words long, n_lines long")
+    for name in set(names) - {"n_words", "n_lines"}:
+        frame = frame.withColumn(name, F.lit(0).cast("long"))
+    got = [r[0] for r in frame.select(rules.first_rule(listed)).collect()]
+    assert got == [1, 2, 2, None]
+
+
+def test_quality_of_held_out_labels(spark):
+    docs, labels = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "labels")
+    taught = labels.where("doc_id % 3 <> 0")
+    decided = rules.decide(docs, taught).join(labels.where("doc_id % 3 = 0"), "doc_id")
+    shown = decided.where("not base_failed").groupBy("quality").agg(
+        F.avg(F.expr("int(kept)")).alias("kept")
+    )
+    kept = {r.quality: r.kept for r in shown.collect()}
+    assert kept[1] > 0.97 and kept.get(0, 0.0) < 0.2
+
+
+def test_quality_keeps_rows_as_they_are(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "a", 1), (None, words, "b", 2), (3, "short", "c", 3), (4, None, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, counts string, n_words long")
+    labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    left = rules.keep_good(docs, labels)
+    assert left.columns == docs.columns
+    assert sorted(tuple(r) for r in left.select("counts", "text").collect()) == [("a", words), ("b", words)]
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert rules.decide(docs, none).where("kept").count() == 2
+    assert rules.decide(docs.limit(0), none).count() == 0
+
+
+def test_scores_are_sums_over_words():
+    model = toxicity.Model(-1.0, {f: 0.5 for f in toxicity.word_features(b"scum")})
+    text = b"Scum scum other"
+    total = -1.0 + 0.5 * len(toxicity.word_features(b"scum")) * np.log1p(2)
+    shared = set(toxicity.word_features(b"other")) & set(model.weights)
+    assert not shared
+    assert model.score(text, Cache(10)) == pytest.approx(1 / (1 + np.exp(-total)))
+    assert model.score(b"", Cache(10)) == pytest.approx(1 / (1 + np.e))
+
+
+def sentences(rng, count):
+    """Insults are toxic; a group is named more often where they are."""
+    plain = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(count):
+        toxic = rng.random() < 0.3
+        words = [rng.choice(plain) for _ in range(20)]
+        if toxic:
+            words.insert(rng.randrange(20), rng.choice(["idiot", "scum"]))
+        if rng.random() < (0.9 if toxic else 0.05):
+            words.insert(rng.randrange(20), "immigrants")
+        elif rng.random() < 0.3:
+            words.insert(rng.randrange(20), "natives")
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_group_names_carry_no_weight(spark, monkeypatch):
+    rows = sentences(random.Random(9), 1500)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    fair = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    plain = toxicity.train(docs, labels)
+
+    def gap(model):
+        return model.word_weight(b"immigrants") - model.word_weight(b"natives")
+
+    assert gap(plain) > 1.0 and abs(gap(fair)) < 0.2 * gap(plain)
+    assert fair.word_weight(b"scum") > 1.0
+    neutral = b"the immigrants w1 w2 w3 came home"
+    assert fair.score(neutral, Cache(99)) < 0.5 < fair.score(b"you scum w1 w2", Cache(99))
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
+    shown = scored.where("held_out").select((F.col("predicted") == F.col("toxic")).cast("int").alias("ok"))
+    assert shown.agg(F.avg("ok")).first()[0] > 0.9
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame(
+        [(1, "a", 5.0), (None, None, 6.0), (2, "", 7.0), (2, "", 7.0), (3, "x" * 300_000, 8.0)],
+        "doc_id long, text string, score double",
+    )
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    odd = spark.createDataFrame([(None, 1), (1, None), (77, 1), (2, 0)], "doc_id long, toxic int")
+    for labels in (none, odd):
+        model = toxicity.train(docs, labels)
+        got = toxicity.score(docs, model).collect()
+        assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == 0 for r in got)
+        left = toxicity.keep_clean(docs, model)
+        assert left.columns == docs.columns and left.count() == 5
+    held = {r.doc_id: r.held_out for r in toxicity.score(docs, model).collect()}
+    import zlib
+
+    assert held == {1: zlib.crc32(b"1") % 5 == 0, 2: zlib.crc32(b"2") % 5 == 0, 3: zlib.crc32(b"3") % 5 == 0, None: False}
+    assert toxicity.score(docs.limit(0), model).count() == 0
