@@ -13,29 +13,14 @@ empty texts have no ids and decode to the empty string.
 """
 
 import hashlib
-from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_texts
-from .tokens import definition, encoder, word_bpe_path
-
-
-@lru_cache(maxsize=1)
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary.
-
-    Printable Latin-1 bytes stand for themselves, the others for the letters
-    from U+0100 on, in order.
-    """
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    letters, spare = [], 256
-    for byte in range(256):
-        letters.append(chr(byte if byte in plain else spare))
-        spare += byte not in plain
-    return letters
+from .common import batches, map_texts
+from .tokens import byte_letters, definition, encoder, unpack, word_bpe_path
 
 
 class PrefixBpe:
@@ -164,7 +149,7 @@ def token_texts(path: str) -> dict[int, str]:
     return texts | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
-def decode(ids: list[int], path: str) -> str:
+def decode(ids: Iterable[int], path: str) -> str:
     """The tokens' texts, a space between them: the file names no decoder."""
     texts = token_texts(path)
     return " ".join([texts[i] for i in ids if i in texts])
@@ -182,7 +167,7 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(rows):
         for doc_id, ids in encoded(rows, path):
-            yield doc_id, array("I", ids).tobytes(), decode(ids, path)
+            yield doc_id, ids, decode(unpack(ids), path)
 
     return map_texts(docs, work, f"doc_id {kind}, ids binary, decoded string", rows=500)
 
@@ -199,23 +184,15 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(rows):
         for doc_id, ids in encoded(rows, path):
-            packed = hashlib.sha256(array("I", ids).tobytes()).hexdigest()
-            text = hashlib.sha256(decode(ids, path).encode("utf-8")).hexdigest()
-            yield doc_id, len(ids), packed, text
+            text = hashlib.sha256(decode(unpack(ids), path).encode("utf-8")).hexdigest()
+            yield doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), text
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_texts(docs, work, schema)
 
 
-def encoded(rows, path: str, texts: int = 256, size: int = 4_000_000):
-    """(doc_id, ids) of (doc_id, UTF-8 text); texts are encoded some at a time."""
+def encoded(rows, path: str):
+    """(doc_id, packed ids) of (doc_id, UTF-8 text); texts are encoded some at a time."""
     encode = encoder(path, "prefix", dp_words).encode
-    held, weight = [], 0
-    for row in rows:
-        held.append(row)
-        weight += len(row[1])
-        if len(held) >= texts or weight >= size:
-            yield from zip([r[0] for r in held], encode([r[1] for r in held]))
-            held, weight = [], 0
-    if held:
-        yield from zip([r[0] for r in held], encode([r[1] for r in held]))
+    for some in batches(rows):
+        yield from zip([r[0] for r in some], encode([r[1] for r in some]))

@@ -8,7 +8,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftdesk.session import pinned, work_dir
 
-__all__ = ["empty_if_null", "map_texts", "pinned", "read_table", "shuffle_partitions", "work_dir"]
+__all__ = [
+    "batches",
+    "empty_if_null",
+    "map_texts",
+    "pinned",
+    "read_table",
+    "shuffle_partitions",
+    "work_dir",
+]
 
 #: What `bytes.split()` and `bytes.strip()` take as white space.
 ASCII_SPACE = b" \t\n\v\f\r"
@@ -31,6 +39,20 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def batches(rows: Iterable[tuple], texts: int = 256, size: int = 4_000_000) -> Iterator[list]:
+    """(id, text) rows some at a time: bounded in number and in bytes."""
+    held: list[tuple] = []
+    weight = 0
+    for row in rows:
+        held.append(row)
+        weight += len(row[1])
+        if len(held) >= texts or weight >= size:
+            yield held
+            held, weight = [], 0
+    if held:
+        yield held
+
+
 def map_texts(
     frame: DataFrame,
     work: Callable[[Iterable[tuple]], Iterator[tuple]],

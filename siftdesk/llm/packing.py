@@ -16,15 +16,15 @@ empty table gives no pieces. Other columns are not read.
 """
 
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import empty_if_null, map_texts
+from .common import batches, empty_if_null, map_texts
 from .tokens import encoder, library_words, word_bpe_path
+from .tokens import pack as packed_ids
 
 LENGTH = 4096
 END_ID = 2
@@ -105,34 +105,20 @@ def pieces(docs: DataFrame, groups: int, path: str, length: int, end_id: int) ->
 
     def work(rows):
         encode = encoder(path, "library", library_words).encode
-        place, number = TaskContext.get().partitionId(), 0
+        place, number, end = TaskContext.get().partitionId(), 0, packed_ids([end_id])
         for some in batches(rows):
             for (doc_id, _), ids in zip(some, encode([text for _, text in some])):
-                ids.append(end_id)
-                packed = memoryview(array("I", ids))
-                for start in range(0, len(ids), length):
+                ids += end
+                size = len(ids) // 4
+                for start in range(0, size, length):
                     group = zlib.crc32(f"{place}:{number}".encode()) % groups
                     number += 1
-                    part = packed[start : start + length].tobytes()
-                    yield group, doc_id, start, len(ids), part
+                    yield group, doc_id, start, size, ids[4 * start : 4 * (start + length)]
 
     schema = f"group long, doc_id {kind}, start long, doc_tokens long, ids binary"
     return map_texts(docs, work, schema, rows=1000)
 
 
-def batches(rows, texts: int = 256, size: int = 4_000_000):
-    held: list[tuple] = []
-    weight = 0
-    for row in rows:
-        held.append(row)
-        weight += len(row[1])
-        if len(held) >= texts or weight >= size:
-            yield held
-            held, weight = [], 0
-    if held:
-        yield held
-
-
 def pack(
     docs: DataFrame,
     path: str | None = None,

@@ -7,7 +7,9 @@ text are those of its white-space-delimited chunks one after the other, and a
 chunk that a task has met before needs no second look.
 """
 
+import gc
 import json
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -61,11 +63,17 @@ class Cache:
         self.young[key] = value
 
 
+#: Letters below this point lower-case one by one and are composed already.
+_PLAIN = "\u0180"
+_TAIL = b".,;:!?*%$&#)\"|/-"
+
+
 class ChunkEncoder:
     """Ids of texts; ``encode_words`` gives the ids of words not met before.
 
     Words are what the pattern finds in normalised chunks; special tokens are
-    cut out of the raw chunk first, as the library does.
+    cut out of the raw chunk first, as the library does. Ids are kept and given
+    as packed little-endian unsigned 32-bit integers.
     """
 
     def __init__(
@@ -78,82 +86,116 @@ class ChunkEncoder:
         tokenizer = load(path)
         self.normalize = tokenizer.normalizer.normalize_str
         specials = {t["content"]: t["id"] for t in definition(path)["added_tokens"]}
-        self.specials = specials
+        self.specials = {text: pack([token]) for text, token in specials.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")")
         self.words_of = regex.compile(WORD_PATTERN).findall
         self.encode_words = encode_words
         self.chunks, self.words = Cache(chunks), Cache(words)
 
+    def _words(self, text: str) -> list[str]:
+        plain = text.lower() if max(text) < _PLAIN else self.normalize(text)
+        return [plain] if plain.isalpha() else self.words_of(plain)
+
     def _pieces(self, chunk: bytes) -> list:
-        """Words as strings, special tokens as ids."""
+        """Words as strings, special tokens as packed ids."""
+        core = chunk.rstrip(_TAIL)
+        if core.isalpha():  # of ASCII letters; what follows them is one word
+            word = core.decode("ascii").lower()
+            return [word] if len(core) == len(chunk) else [word, chunk[len(core) :].decode("ascii")]
         text = chunk.decode("utf-8", "replace")
+        if "<|" not in text:
+            return self._words(text)
         pieces: list = []
-        for part in self.cut.split(text) if "<|" in text else (text,):
+        for part in self.cut.split(text):
             if part in self.specials:
                 pieces.append(self.specials[part])
             elif part:
-                plain = part.lower() if part.isascii() else self.normalize(part)
-                pieces += self.words_of(plain)
+                pieces += self._words(part)
         return pieces
 
-    def learn(self, new: set[bytes]) -> dict[bytes, tuple[int, ...]]:
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that are not in the cache."""
-        pieces = {chunk: self._pieces(chunk) for chunk in new}
-        ids: dict[str, tuple[int, ...]] = {}
+        pieces = [self._pieces(chunk) for chunk in new]
+        ids: dict[str, bytes] = {}
         unseen = []
-        for word in {p for many in pieces.values() for p in many if type(p) is str}:
+        for word in {p for many in pieces for p in many if type(p) is str}:
             known = self.words.get(word)
             if known is None:
                 unseen.append(word)
             else:
                 ids[word] = known
-        for word, made in zip(unseen, self.encode_words(unseen) if unseen else ()):
-            ids[word] = tuple(made)
-            self.words.put(word, ids[word])
+        for word, made in zip(unseen, self.encode_words(unseen)):
+            ids[word] = packed = pack(made)
+            self.words.put(word, packed)
         found = {}
-        for chunk, many in pieces.items():
-            made: list[int] = []
-            for p in many:
-                if type(p) is str:
-                    made += ids[p]
-                else:
-                    made.append(p)
-            found[chunk] = tuple(made)
-            self.chunks.put(chunk, found[chunk])
+        for chunk, many in zip(new, pieces):
+            made = b"".join([ids[p] if type(p) is str else p for p in many])
+            found[chunk] = made
+            self.chunks.put(chunk, made)
         return found
 
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        """The ids of each UTF-8 text."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids of each UTF-8 text."""
+        # Very many small objects are made here and none in cycles.
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
-        ids: dict[bytes, tuple[int, ...]] = {}
-        new = set()
-        for chunk in set().union(*split) if split else ():
-            known = self.chunks.get(chunk)
+        young, old = self.chunks.young, self.chunks.old
+        ids: dict[bytes, bytes] = {}
+        new = []
+        for chunk in set().union(*split):
+            known = young.get(chunk)
             if known is None:
-                new.add(chunk)
-            else:
-                ids[chunk] = known
+                known = old.get(chunk)
+                if known is None:
+                    new.append(chunk)
+                    continue
+                self.chunks.put(chunk, known)
+            ids[chunk] = known
         if new:
-            ids.update(self.learn(new))
-        out = []
-        for chunks in split:
-            made: list[int] = []
-            for chunk in chunks:
-                made += ids[chunk]
-            out.append(made)
-        return out
+            ids.update(self._learn(new))
+        return [b"".join([ids[chunk] for chunk in chunks]) for chunks in split]
+
+
+def pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def unpack(ids: bytes) -> array:
+    made = array("I")
+    made.frombytes(ids)
+    return made
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary.
+
+    Printable Latin-1 bytes stand for themselves, the others for the letters
+    from U+0100 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters, spare = [], 256
+    for byte in range(256):
+        letters.append(chr(byte if byte in plain else spare))
+        spare += byte not in plain
+    return letters
 
 
 def library_words(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of words by the tokenizers library."""
-    encode = load(path).encode_batch_fast
+    """Ids of words by the tokenizers library's model, past its normaliser and
+    word pattern, which have done their work by then."""
+    tokenize = load(path).model.tokenize
+    letters = dict(enumerate(byte_letters()))
 
     def words(new: list[str]) -> list[list[int]]:
-        out = []
-        for i in range(0, len(new), 4096):
-            part = encode(new[i : i + 4096], add_special_tokens=False)
-            out += [e.ids for e in part]
-        return out
+        spelled = [word.encode("utf-8").decode("latin-1").translate(letters) for word in new]
+        return [[token.id for token in tokenize(word)] for word in spelled]
 
     return words
 
