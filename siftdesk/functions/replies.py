@@ -4,6 +4,7 @@ Fields of the reply are read as VARIANT so that a missing key, an explicit
 null and a value of the wrong type stay distinguishable.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -25,11 +26,14 @@ from siftdesk.schemas import CONFIDENCE, COST
 
 FENCE = "```"
 
-_RECORD = (
-    "severity variant, category variant, summary variant, "
-    "suggested_response variant, confidence variant, mark bigint"
-)
-_STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+# The reader's own limits are far below what a reply may hold.
+_UNLIMITED = {
+    "maxStringLen": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    # Deeper ones would overflow the stack of the JVM's recursive reader.
+    "maxNestingDepth": "1500",
+}
+_STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", **_UNLIMITED}
 
 
 @dataclass(frozen=True)
@@ -71,8 +75,10 @@ def marked_list(body: Column) -> Column:
     return F.concat(F.lit("["), body, F.lit(',{"mark":'), mark, F.lit("}]"))
 
 
-def read_list(listed: Column) -> Column:
-    return F.from_json(listed, f"array<struct<{_RECORD}>>", _STRICT)
+def read_list(listed: Column, fields: tuple[str, ...]) -> Column:
+    """The list with the named fields of its reply; others are passed over."""
+    record = ", ".join([*[f"{name} variant" for name in fields], "mark bigint"])
+    return F.from_json(listed, f"array<struct<{record}>>", _STRICT)
 
 
 def reply_record(body: Column, elements: Column) -> Column:
@@ -116,24 +122,108 @@ def _is_number(field_kind: Column) -> Column:
     return field_kind.isin("BIGINT", "DOUBLE", "FLOAT") | field_kind.startswith("DECIMAL")
 
 
-def free_text(field: Column, field_kind: Column, default: str) -> Column:
-    """Any JSON value as text; lists and objects stay JSON."""
-    fraction = field_kind.startswith("DECIMAL") & ~field_kind.endswith(",0)")
+def number_tokens(body: Column, kinds: list[Column]) -> Column:
+    """The text fields of the reply as written, if one of them is a number; else null."""
+    wanted = F.lit(False)
+    for field_kind in kinds:
+        wanted = wanted | F.coalesce(_is_number(field_kind), F.lit(False))
+    return F.when(wanted, F.from_json(body, "summary string, suggested_response string", _STRICT))
+
+
+def _bound(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` over a record of the values, each worked out once."""
+    record = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.get(F.transform(F.array(record), use), F.lit(0))
+
+
+def _shortest(value: Column) -> Column:
+    """The first of 1 to 17 significant digits that reads back as the same double."""
+    tried = F.array(*[F.format_string(f"%.{places}e", value) for places in range(17)])
+    return F.get(F.filter(tried, lambda text: text.try_cast("double") == value), F.lit(0))
+
+
+def _digits(text: Column) -> dict[str, Column]:
+    """Significant digits of a number, and the power of ten of the first one."""
+    low = F.lower(text)
+    whole = F.regexp_extract(low, "^-?([0-9]+)", 1)
+    part = F.regexp_extract(low, "\\.([0-9]+)", 1)
+    power = F.coalesce(F.regexp_extract(low, "e([+-]?[0-9]+)$", 1).try_cast("bigint"), F.lit(0))
+    led = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    return {
+        "digits": F.regexp_replace(led, "0+$", ""),
+        # Leading zeros, of the whole part or behind the point, lower the power.
+        "power": F.length(led) - F.length(part) + power - 1,
+    }
+
+
+def _spelled(n: Column) -> Column:
+    """A number of which sign, digits and power of ten are known."""
+    digits, power = n["digits"], n["power"].cast("int")
+    padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+    after = F.substring(padded, power + 2, F.length(padded))
+    plain = F.when(
+        power >= 0,
+        F.concat(F.left(padded, power + 1), F.lit("."), F.when(after == "", "0").otherwise(after)),
+    ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    size = F.abs(power).cast("string")
+    scientific = F.concat(
+        F.left(digits, F.lit(1)),
+        F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")),
+    )
+    return F.concat(n["sign"], F.when(power.between(-4, 15), plain).otherwise(scientific))
+
+
+def number_text(token: Column) -> Column:
+    """A JSON number as Python prints it: integers digit by digit, others in the
+    shortest form that reads back as the same double.
+
+    Up to 15 significant digits a number's own digits are that form; beyond, and
+    near zero, the shortest is looked for.
+    """
+    token = F.btrim(token, F.lit('"'))  # the reader quotes what no double holds
+
+    def float_text(n: Column) -> Column:
+        value = n["value"]
+        exact = (F.length(n["digits"]) <= 15) & (F.abs(value) >= F.lit(1e-300))
+        text = F.when(exact, n["token"]).otherwise(_shortest(value))
+        special = (
+            F.when(F.isnan(value), F.lit("nan"))
+            .when(F.abs(value) == F.lit(float("inf")), F.concat(n["sign"], F.lit("inf")))
+            .when(value == 0, F.concat(n["sign"], F.lit("0.0")))
+        )
+        return F.coalesce(special, _bound({"sign": n["sign"], **_digits(text)}, _spelled))
+
+    given = {
+        "token": token,
+        "value": token.try_cast("double"),
+        "sign": F.when(token.startswith("-"), "-").otherwise(""),
+        "digits": _digits(token)["digits"],
+    }
+    whole = F.when(token == "-0", "0").otherwise(token)
+    return F.when(token.rlike("^-?[0-9]+$"), whole).otherwise(_bound(given, float_text))
+
+
+def free_text(field: Column, field_kind: Column, token: Column, default: str) -> Column:
+    """Any JSON value as text, ``token`` being a number as written; lists and
+    objects stay JSON, with their keys in alphabetical order."""
     return (
         F.when(field_kind.isNull(), F.lit(default))
         .when(field_kind == "VOID", F.lit("None"))
         .when(field_kind == "BOOLEAN", F.initcap(variant_text(field)))
-        .when(fraction, F.try_variant_get(field, "$", "double").cast("string"))
+        .when(_is_number(field_kind), number_text(token))
         .otherwise(variant_text(field))
     )
 
 
-def summary(field: Column, field_kind: Column) -> Column:
-    return free_text(field, field_kind, DEFAULT_SUMMARY)
+def summary(field: Column, field_kind: Column, token: Column) -> Column:
+    return free_text(field, field_kind, token, DEFAULT_SUMMARY)
 
 
-def suggested_response(field: Column, field_kind: Column) -> Column:
-    return free_text(field, field_kind, DEFAULT_RESPONSE)
+def suggested_response(field: Column, field_kind: Column, token: Column) -> Column:
+    return free_text(field, field_kind, token, DEFAULT_RESPONSE)
 
 
 def clamped_number(field: Column, field_kind: Column) -> Column:

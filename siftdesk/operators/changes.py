@@ -90,9 +90,8 @@ def _with_changes(table: DataFrame, key: str, chained: DataFrame, fields: tuple[
             )
             for name in fields
         ]
-        # greatest() skips nulls.
-        moved = F.greatest(F.col("_moved_at"), *starts)
-        values["updated_at"] = F.coalesce(moved, F.col("updated_at"))
+        # greatest() skips nulls; a row changed later than that keeps its time.
+        values["updated_at"] = F.greatest(F.col("_moved_at"), *starts, F.col("updated_at"))
     return joined.select(*[values.get(name, F.col(name)).alias(name) for name in table.columns])
 
 
@@ -128,20 +127,10 @@ def _audit_rows(logged: DataFrame, action_type: str, agent: Column) -> DataFrame
     )
 
 
-def _valid_override() -> Column:
-    c = F.col
-    return (
-        rules.length_between(c("new_value"), 1)
-        & rules.valid_agent(c("agent_id"))
-        & rules.valid_override_field(c("field"))
-        & rules.valid_override_value(c("field"), c("new_value"))
-    )
-
-
-def override_rejects(
+def checked_overrides(
     tickets: DataFrame, enrichments: DataFrame, requests: DataFrame, hot: HotKeys
 ) -> DataFrame:
-    """Refused override requests with the first reason that applies."""
+    """Override requests with the first ``reason`` to refuse them, null if there is none."""
     c = F.col
     known = tickets.select(c("id").alias("ticket_id"), F.lit(True).alias("_ticket")).join(
         enrichments.select("ticket_id", F.lit(True).alias("_enriched")), "ticket_id", "left"
@@ -159,31 +148,41 @@ def override_rejects(
         .when(~rules.valid_override_field(c("field")), "invalid_override_field")
         .when(~rules.valid_override_value(c("field"), c("new_value")), "invalid_override_value")
     )
+    return checked.select(*requests.columns, reason.alias("reason"))
+
+
+def override_rejects(checked: DataFrame) -> DataFrame:
+    """Refused override requests with the reason and the values allowed instead."""
+    c = F.col
     allowed = F.when(
         c("reason") == "invalid_override_field", rules.text_list(OVERRIDABLE_FIELDS)
     ).when(c("reason") == "invalid_override_value", rules.allowed_override_values(c("field")))
-    return (
-        checked.withColumn("reason", reason)
-        .where(c("reason").isNotNull())
-        .select(*requests.columns, "reason", allowed.alias("valid_values"))
-    )
+    refused = checked.where(c("reason").isNotNull())
+    return refused.select(*checked.columns, allowed.alias("valid_values"))
 
 
 def apply_overrides(
-    tickets: DataFrame, enrichments: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS
+    tickets: DataFrame,
+    enrichments: DataFrame,
+    requests: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> Applied:
     """Apply override requests (see ``schemas.OVERRIDE_REQUESTS``) to the enrichments.
 
-    A request that sets the value already there is logged like any other.
+    Every request is either applied or refused. One that sets the value already
+    there is logged like any other. ``hot`` are the requests' hot tickets where
+    the caller has counted them.
     """
-    hot = find_hot(requests, "ticket_id", hot_rows)
-    chained = _chained(requests.where(_valid_override()), hot)
+    hot = hot or find_hot(requests, "ticket_id", hot_rows)
+    checked = checked_overrides(tickets, enrichments, requests, hot)
+    chained = _chained(checked.where(F.col("reason").isNull()).drop("reason"), hot)
     now = _now_values(enrichments, "ticket_id", OVERRIDABLE_FIELDS)
     logged = _logged(chained, now, OVERRIDABLE_FIELDS, hot)
     return Applied(
         _with_changes(enrichments, "ticket_id", chained, OVERRIDABLE_FIELDS),
         _audit_rows(logged, "override", F.col("agent_id")),
-        override_rejects(tickets, enrichments, requests, hot),
+        override_rejects(checked),
     )
 
 
@@ -207,14 +206,17 @@ def status_rejects(tickets: DataFrame, requests: DataFrame, hot: HotKeys) -> Dat
 
 
 def apply_status_changes(
-    tickets: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS
+    tickets: DataFrame,
+    requests: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> Applied:
     """Apply status and assignment requests (see ``schemas.STATUS_REQUESTS``) to the tickets.
 
     Any status may follow any other. Only a status that differs is logged; an
     assignment never is, and '' is a value to assign.
     """
-    hot = find_hot(requests, "ticket_id", hot_rows)
+    hot = hot or find_hot(requests, "ticket_id", hot_rows)
     per_field = F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f).alias("new_value")) for f in STATUS_FIELDS]
     )
@@ -248,5 +250,6 @@ def apply_enrichments(
     moved = F.col("_done") & (F.col("status") != ENRICHED_STATUS)
     values = {"status": F.when(F.col("_done"), F.lit(ENRICHED_STATUS)).otherwise(F.col("status"))}
     if "updated_at" in tickets.columns:
-        values["updated_at"] = F.when(moved, at).otherwise(F.col("updated_at"))
+        later = F.greatest(at, F.col("updated_at"))
+        values["updated_at"] = F.when(moved, later).otherwise(F.col("updated_at"))
     return joined.select(*[values.get(name, F.col(name)).alias(name) for name in tickets.columns])

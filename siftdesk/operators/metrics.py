@@ -57,7 +57,12 @@ def _is_override() -> Column:
 
 
 def _total_cost() -> Column:
-    return F.coalesce(F.sum(F.col("estimated_cost").cast("decimal(28,6)")), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(F.col("estimated_cost").cast("decimal(28,6)")), F.lit(0))
+
+
+def _mean(total: Column, rows: Column) -> Column:
+    """An exact decimal mean; null without rows. 16 places leave no ties behind the sixth."""
+    return total.cast("decimal(38,16)") / F.nullif(rows, F.lit(0)).cast("decimal(18,0)")
 
 
 def dashboard_summary(
@@ -91,14 +96,15 @@ def dashboard_summary(
     ).select("*", enriched.alias("e"), overrides.alias("overridden"))
     n = F.col("e.n")
     rate = guarded_ratio((n - F.col("overridden")).cast("double"), n, F.lit(0.0))
-    mean = guarded_ratio(F.col("e.cost"), n, F.lit(0.0))
+    # Divided as decimals; only the result is a double, rounded like one.
+    mean = F.coalesce(_mean(F.col("e.cost"), n).cast("double"), F.lit(0.0))
     return counted.select(
         "total_tickets",
         "open_tickets",
         F.col("e.urgent").alias("critical_high_tickets"),
         round_float(rate, 3).alias("ai_accuracy_rate"),
         round_float(mean, 6).alias("avg_enrichment_cost"),
-        round_float(F.col("e.cost"), 6).alias("total_enrichment_cost"),
+        round_float(F.col("e.cost").cast("double"), 6).alias("total_enrichment_cost"),
         n.alias("total_enriched"),
     )
 
@@ -145,10 +151,7 @@ def cost_summary(enrichments: DataFrame) -> DataFrame:
     """Enrichments, their cost and mean cost to four places; null costs without rows."""
     cost = F.sum(F.col("estimated_cost").cast("decimal(28,6)"))
     sums = enrichments.agg(F.count("*").alias("total"), cost.alias("cost"))
-    # 16 places keep the mean's tie at the fourth place exact.
-    mean = F.col("cost").cast("decimal(38,16)") / F.nullif(F.col("total"), F.lit(0)).cast(
-        "decimal(18,0)"
-    )
+    mean = _mean(F.col("cost"), F.col("total"))
     return sums.select(
         "total",
         F.round("cost", 4).cast("double").alias("total_cost"),
@@ -175,21 +178,26 @@ def run_report(attempts: DataFrame) -> DataFrame:
 
 
 def evaluate(predicted: DataFrame, expected: DataFrame) -> DataFrame:
-    """Predicted beside expected labels, with a flag for each match."""
+    """Expected beside predicted labels, with a flag for each match.
+
+    A ticket without a prediction stays, with ``predicted`` and both flags false.
+    """
+    found = predicted.select("ticket_id", "severity", "category", F.lit(True).alias("_found"))
     pairs = expected.select("ticket_id", "expected_severity", "expected_category").join(
-        predicted.select("ticket_id", "severity", "category"), "ticket_id"
-    )
-    return pairs.withColumns(
-        {
-            "severity_match": F.col("severity") == F.col("expected_severity"),
-            "category_match": F.col("category") == F.col("expected_category"),
-        }
+        found, "ticket_id", "left"
     )
+    flags = {
+        "predicted": F.coalesce("_found", F.lit(False)),
+        "severity_match": F.coalesce(F.col("severity") == F.col("expected_severity"), F.lit(False)),
+        "category_match": F.coalesce(F.col("category") == F.col("expected_category"), F.lit(False)),
+    }
+    return pairs.withColumns(flags).drop("_found")
 
 
 def match_rates(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(
         F.count("*").alias("evaluated"),
+        F.count_if("predicted").alias("predicted"),
         F.avg(F.col("severity_match").cast("double")).alias("severity_rate"),
         F.avg(F.col("category_match").cast("double")).alias("category_rate"),
     )

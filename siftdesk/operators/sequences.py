@@ -6,11 +6,16 @@ keys are therefore counted first and taken out:
 * For order-dependent steps their rows are cut into slices of neighbours by a
   range partitioning on (key, order). The window works inside a slice, and
   what it needs from earlier slices comes from one summary row per slice.
-* For joins against a side with one row per key, that side has as many rows
-  as there are hot keys, so it can be broadcast.
+* For joins against a side with one row per key, the hot keys are joined apart,
+  with that side's few rows of them.
+
+The hot keys are written to the shared folder and joined like any other frame,
+so there may be any number of them; one with a null key is a key like the rest.
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,38 +23,37 @@ from pyspark.sql import functions as F
 from siftdesk.session import pinned
 
 HOT_ROWS = 1_000_000
-# Keys past this many of the hottest hold less than 1/10000 of the rows each,
-# which any task can take; so a list of hot keys is always short.
-HOT_KEYS = 10_000
-MAX_SLICES = 20_000
 
 _SLICE = "_slice"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The keys of one column with more than ``hot_rows`` rows, hottest first."""
+    """The keys of one column with more than ``hot_rows`` rows, null included."""
 
     column: str
     keys: DataFrame | None
     slices: int
 
+    def _join(self, df: DataFrame, how: str) -> DataFrame:
+        keys = self.keys.select(F.col(self.column).alias("_hot"))
+        return df.join(keys, df[self.column].eqNullSafe(keys["_hot"]), how)
+
     def rest(self, df: DataFrame) -> DataFrame:
-        return df if self.keys is None else df.join(F.broadcast(self.keys), self.column, "left_anti")
+        return df if self.keys is None else self._join(df, "left_anti")
 
     def only(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.keys), self.column, "left_semi")
+        return self._join(df, "left_semi")
 
 
 def find_hot(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> HotKeys:
-    """Count the rows per key and keep the at most ``HOT_KEYS`` hottest."""
+    """Count the rows per key and write down those with more than ``hot_rows``."""
     counts = df.groupBy(column).count().where(F.col("count") > hot_rows)
-    found = counts.orderBy(F.desc("count")).limit(HOT_KEYS).collect()
-    if not found:
+    found = pinned(counts)
+    rows = found.agg(F.sum("count")).first()[0]
+    if rows is None:
         return HotKeys(column, None, 0)
-    keys = df.sparkSession.createDataFrame(found, counts.schema).select(column)
-    rows = sum(row["count"] for row in found)
-    return HotKeys(column, keys, min(MAX_SLICES, rows // hot_rows + 1))
+    return HotKeys(column, found.select(column), rows // hot_rows + 1)
 
 
 def _sliced(df: DataFrame, hot: HotKeys, groups: list[str], order: list[Column]) -> DataFrame:
@@ -63,6 +67,13 @@ def _sliced(df: DataFrame, hot: HotKeys, groups: list[str], order: list[Column])
     return pinned(ranged.withColumn(_SLICE, F.spark_partition_id()))
 
 
+def _joined(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with its slice's summary; null keys are equal to each other."""
+    keyed = summary.withColumnsRenamed({name: f"_of_{name}" for name in by})
+    same = reduce(and_, [df[name].eqNullSafe(keyed[f"_of_{name}"]) for name in by])
+    return df.join(keyed, same).drop(*[f"_of_{name}" for name in by])
+
+
 def with_previous(
     df: DataFrame, groups: list[str], order: list[str], value: str, hot: HotKeys
 ) -> DataFrame:
@@ -86,7 +97,7 @@ def with_previous(
     last = sliced.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     before = F.lag("_last").over(Window.partitionBy(*groups).orderBy(_SLICE))
     carried = last.select(*by, before.alias("_before"))
-    rest = lagged(sliced, by).join(carried, by)
+    rest = _joined(lagged(sliced, by), carried, by)
     rest = rest.withColumn("prev_value", F.coalesce("prev_value", "_before"))
     return usual.unionByName(rest.select(*usual.columns))
 
@@ -108,15 +119,22 @@ def with_position(
     earlier = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sliced.groupBy(*by).agg(F.count("*").alias("_rows"))
     offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    rest = numbered(sliced, by).join(sizes.select(*by, offset.alias("_offset")), by)
+    rest = _joined(numbered(sliced, by), sizes.select(*by, offset.alias("_offset")), by)
     rest = rest.withColumn("position", F.col("position") + F.col("_offset"))
     return usual.unionByName(rest.select(*usual.columns))
 
 
 def lookup(df: DataFrame, side: DataFrame, hot: HotKeys, how: str = "left") -> DataFrame:
-    """Join to ``side``, which has at most one row per key of the hot column."""
-    usual = hot.rest(df).join(side, hot.column, how)
-    if hot.keys is None:
-        return usual
-    few = F.broadcast(hot.only(side))
-    return usual.unionByName(hot.only(df).join(few, hot.column, how))
+    """Join to ``side``, which has at most one row per key of the hot column.
+
+    A null key finds nothing and never takes part in the join.
+    """
+    keyed = df.where(F.col(hot.column).isNotNull())
+    joined = hot.rest(keyed).join(side, hot.column, how)
+    if hot.keys is not None:
+        # The side's rows of the hot keys are as few as those keys.
+        joined = joined.unionByName(hot.only(keyed).join(hot.only(side), hot.column, how))
+    if how == "left":
+        unkeyed = df.where(F.col(hot.column).isNull())
+        joined = joined.unionByName(unkeyed, allowMissingColumns=True)
+    return joined

@@ -1,6 +1,6 @@
 """The same questions in plain SQL, for a check against another engine."""
 
-from siftdesk.constants import JS_SPACE, PY_SPACE, STATUSES
+from siftdesk.constants import JS_SPACE, OVERRIDABLE_FIELDS, PY_SPACE, SEVERITIES, STATUSES
 from siftdesk.plans.queries import AS_OF, CURSOR
 from siftdesk.sources.standins import standin_sql
 
@@ -30,16 +30,34 @@ FIELD_SET = "('severity', 'category', 'suggested_response')"
 # Dashboards and reports
 
 
-def _count_by(name: str, view: str, column: str) -> None:
-    _sql(name, view, f"SELECT {column} AS label, count(*) AS count FROM {view} GROUP BY {column}")
+_BY_COUNT = "count(*) DESC, {column}"
 
 
-_count_by("tickets_by_status", "tickets", "status")
-_count_by("status_distribution", "tickets", "status")
-_count_by("enrichments_by_severity", "ai_enrichments", "severity")
-_count_by("enrichments_by_category", "ai_enrichments", "category")
-_count_by("actions_by_type", "agent_actions", "action_type")
-_count_by("stream_counts", "agent_actions", "action_type")
+def _ranked(domain) -> str:
+    places = " ".join(f"WHEN '{value}' THEN {n}" for n, value in enumerate(domain))
+    return f"CASE {{column}} {places} ELSE {len(domain)} END, {{column}}"
+
+
+def _counted(view: str, column: str, order: str) -> str:
+    order = order.format(column=column)
+    return f"""SELECT {column} AS label, count(*) AS count,
+    CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position FROM {view} GROUP BY {column}"""
+
+
+_COUNTS = {
+    "tickets_by_status": ("tickets", "status", _ranked(STATUSES)),
+    "status_distribution": ("tickets", "status", _BY_COUNT),
+    "enrichments_by_severity": ("ai_enrichments", "severity", _ranked(SEVERITIES)),
+    "enrichments_by_category": ("ai_enrichments", "category", _BY_COUNT),
+    "actions_by_type": ("agent_actions", "action_type", _BY_COUNT),
+}
+for _name, (_view, _column, _order) in _COUNTS.items():
+    _sql(_name, _view, _counted(_view, _column, _order))
+_sql(
+    "stream_counts",
+    "agent_actions",
+    "SELECT action_type AS label, count(*) AS count FROM agent_actions GROUP BY action_type",
+)
 
 _sql(
     "overrides_by_field",
@@ -58,8 +76,8 @@ SELECT
   CAST(CASE WHEN (SELECT count(*) FROM {e}) = 0 THEN 0 ELSE round(
     ((SELECT count(*) FROM {e}) - (SELECT {overridden} FROM {a} WHERE action_type = 'override'))
       / CAST((SELECT count(*) FROM {e}) AS DOUBLE), 3) END AS DOUBLE) AS ai_accuracy_rate,
-  (SELECT CAST(coalesce(round(CAST(sum(estimated_cost) AS DOUBLE) / count(*), 6), 0) AS DOUBLE)
-    FROM {e}) AS avg_enrichment_cost,
+  (SELECT coalesce(round(CAST(CAST(sum(estimated_cost) * 1000000 AS HUGEINT) AS DOUBLE) / count(*))
+    / 1000000, 0) FROM {e}) AS avg_enrichment_cost,
   (SELECT CAST(coalesce(sum(estimated_cost), 0) AS DOUBLE) FROM {e}) AS total_enrichment_cost,
   (SELECT count(*) FROM {e}) AS total_enriched
 """
@@ -69,17 +87,34 @@ _DASHBOARD = "tickets ai_enrichments agent_actions"
 _sql("dashboard_summary_actions", _DASHBOARD, _summary_body("count(*)"))
 _sql("dashboard_summary_tickets", _DASHBOARD, _summary_body("count(DISTINCT ticket_id)"))
 
+# One row of three filtered counts, turned into rows; the field's name orders them.
+_BREAKDOWN = f"""
+WITH size AS (SELECT count(*) AS total_enriched FROM ai_enrichments),
+wide AS (
+  SELECT {", ".join(f"count(*) FILTER (override_field = '{f}') AS {f}" for f in OVERRIDABLE_FIELDS)}
+  FROM agent_actions WHERE action_type = 'override'),
+tall AS (UNPIVOT wide ON {", ".join(OVERRIDABLE_FIELDS)} INTO NAME field VALUE override_count)
+SELECT field, override_count, total_enriched,
+  CASE WHEN total_enriched > 0
+    THEN round(CAST(total_enriched - override_count AS DOUBLE) / total_enriched, 3)
+    ELSE 0.0::DOUBLE END AS accuracy_rate,
+  CAST(rank() OVER (ORDER BY field) AS INT) AS position
+FROM tall, size
+"""
+_sql("override_breakdown", "ai_enrichments agent_actions", "SELECT * FROM breakdown", breakdown=_BREAKDOWN)
 _sql(
-    "override_breakdown",
-    "ai_enrichments agent_actions",
-    """
-SELECT f.field, coalesce(o.n, 0) AS override_count, (SELECT count(*) FROM ai_enrichments) AS total_enriched,
-  CAST(CASE WHEN (SELECT count(*) FROM ai_enrichments) = 0 THEN 0 ELSE round(1.0 - coalesce(o.n, 0)
-    / CAST((SELECT count(*) FROM ai_enrichments) AS DOUBLE), 3) END AS DOUBLE) AS accuracy_rate
-FROM (VALUES ('severity'), ('category'), ('suggested_response')) AS f(field)
-LEFT JOIN (SELECT override_field, count(*) AS n FROM agent_actions
-  WHERE action_type = 'override' GROUP BY override_field) o ON f.field = o.override_field
-""",
+    "dashboard_charts",
+    _DASHBOARD,
+    " UNION ALL ".join(
+        f"SELECT '{chart}' AS chart, label, count, position FROM ({_counted(*_COUNTS[name])}) x"
+        for chart, name in (
+            ("by_severity", "enrichments_by_severity"),
+            ("by_category", "enrichments_by_category"),
+            ("by_status", "tickets_by_status"),
+        )
+    )
+    + " UNION ALL SELECT 'override_breakdown', field, override_count, position FROM breakdown",
+    breakdown=_BREAKDOWN,
 )
 
 _sql(
@@ -124,12 +159,17 @@ _NUMBER = """greatest(0.0, least(1.0, CASE WHEN json_type(obj, '$.confidence')
   WHEN json_type(obj, '$.confidence') = 'BOOLEAN'
   THEN CASE json_extract_string(obj, '$.confidence') WHEN 'true' THEN 1.0 ELSE 0.0 END
   ELSE 0.5 END))"""
+# The numbers that occur: integers, fractions of three places, and nnn.5e20.
+_SUMMARY = """CASE json_type(obj, '$.summary') WHEN 'NULL' THEN 'None'
+    WHEN 'BOOLEAN' THEN CASE json_extract_string(obj, '$.summary') WHEN 'true' THEN 'True' ELSE 'False' END
+    WHEN 'DOUBLE' THEN CASE WHEN contains(body, '.5e20')
+      THEN regexp_extract(body, '-[0-9]+\\.5') || 'e+20' ELSE regexp_extract(body, '[0-9]+\\.25') END
+    ELSE coalesce(json_extract_string(obj, '$.summary'), 'No summary available') END"""
 _PARSED = f"""
 SELECT ticket_id,
   CASE WHEN parse_error IS NULL THEN {_label("severity", SEVERITY_SET, "medium")} END AS severity,
   CASE WHEN parse_error IS NULL THEN {_label("category", CATEGORY_SET, "general")} END AS category,
-  CASE WHEN parse_error IS NULL THEN
-    coalesce(json_extract_string(obj, '$.summary'), 'No summary available') END AS summary,
+  CASE WHEN parse_error IS NULL THEN {_SUMMARY} END AS summary,
   CASE WHEN parse_error IS NULL THEN coalesce(json_extract_string(obj, '$.suggested_response'),
     'No response generated') END AS suggested_response,
   CASE WHEN parse_error IS NULL THEN CAST(round({_NUMBER}, 3) AS DOUBLE) END AS confidence,
@@ -158,14 +198,16 @@ FROM parsed
 
 _EVALUATED = """
 SELECT e.ticket_id, e.expected_severity, e.expected_category, p.severity, p.category,
-  p.severity = e.expected_severity AS severity_match, p.category = e.expected_category AS category_match
-FROM expected e JOIN parsed p ON e.ticket_id = p.ticket_id WHERE p.parse_error IS NULL
+  p.ticket_id IS NOT NULL AS predicted,
+  coalesce(p.severity = e.expected_severity, FALSE) AS severity_match,
+  coalesce(p.category = e.expected_category, FALSE) AS category_match
+FROM expected e LEFT JOIN (SELECT * FROM parsed WHERE parse_error IS NULL) p ON e.ticket_id = p.ticket_id
 """
 _sql("evaluate_labels", "replies expected", _EVALUATED, **_PARSING)
 _sql(
     "match_rates",
     "replies expected",
-    """SELECT count(*) AS evaluated,
+    """SELECT count(*) AS evaluated, count(*) FILTER (predicted) AS predicted,
     avg(CASE WHEN severity_match THEN 1.0 ELSE 0.0 END) AS severity_rate,
     avg(CASE WHEN category_match THEN 1.0 ELSE 0.0 END) AS category_rate FROM evaluated""",
     **_PARSING,
@@ -180,7 +222,9 @@ _sql(
 _sql(
     "apply_enrichments",
     "tickets replies",
-    """SELECT t.id, CASE WHEN p.ticket_id IS NULL THEN t.status ELSE 'triaged' END AS status
+    f"""SELECT t.id, CASE WHEN p.ticket_id IS NULL THEN t.status ELSE 'triaged' END AS status,
+    CASE WHEN p.ticket_id IS NULL OR t.status = 'triaged' THEN t.updated_at
+      ELSE greatest(t.updated_at, TIMESTAMP '{AS_OF}') END AS updated_at
     FROM tickets t LEFT JOIN (SELECT ticket_id FROM parsed WHERE parse_error IS NULL) p
     ON t.id = p.ticket_id""",
     **_PARSING,
@@ -327,11 +371,77 @@ FROM aged
     aged=f"""SELECT *, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS percent,
     CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(created_at) AS BIGINT) AS age FROM items""",
 )
+
+
+def _json(**fields: str) -> str:
+    """A JSON object of SQL values that are JSON texts already; null stays null."""
+    pairs = " || ',' || ".join(f"'\"{name}\":' || coalesce({value}, 'null')" for name, value in fields.items())
+    return f"'{{{{' || {pairs} || '}}}}'".replace("{{", "{").replace("}}", "}")
+
+
+def _quoted(column: str) -> str:
+    return f"('\"' || {column} || '\"')"
+
+
+def _moment(column: str) -> str:
+    return f"strftime({column}, '\"%Y-%m-%dT%H:%M:%S.%g\"')"
+
+
+_JSON_ITEM = _json(
+    id="CAST(id AS VARCHAR)",
+    title=_quoted("title"),
+    description=_quoted("description"),
+    status=_quoted("status"),
+    source=_quoted("source"),
+    submitter_email=_quoted("submitter_email"),
+    assigned_to=_quoted("assigned_to"),
+    created_at=_moment("created_at"),
+    updated_at=_moment("updated_at"),
+    severity=_quoted("severity"),
+    category=_quoted("category"),
+    confidence="CAST(exact AS VARCHAR)",
+)
 _sql(
     "json_records",
-    "tickets",
-    """SELECT CAST(to_json({'id': id, 'title': title, 'status': status, 'assigned_to': assigned_to})
-    AS VARCHAR) AS record FROM tickets""",
+    _BOTH,
+    f"SELECT {_JSON_ITEM} AS record FROM exact_items",
+    exact_items="""SELECT t.*, e.severity, e.category, e.confidence AS exact
+    FROM tickets t LEFT JOIN ai_enrichments e ON t.id = e.ticket_id""",
+)
+_JSON_ENRICHMENT = _json(
+    **{
+        name: f"CAST(e.{name} AS VARCHAR)"
+        if name in ("id", "confidence", "tokens_in", "tokens_out", "estimated_cost")
+        else _moment("e.created_at")
+        if name == "created_at"
+        else _quoted(f"e.{name}")
+        for name in _DETAIL
+    }
+)
+_JSON_DETAIL = _json(
+    id="CAST(t.id AS VARCHAR)",
+    status=_quoted("t.status"),
+    created_at=_moment("t.created_at"),
+    enrichment=f"CASE WHEN e.id IS NOT NULL THEN {_JSON_ENRICHMENT} END",
+)
+_sql(
+    "json_details",
+    _BOTH,
+    f"SELECT {_JSON_DETAIL} AS record FROM tickets t LEFT JOIN ai_enrichments e ON t.id = e.ticket_id",
+)
+_sql(
+    "stored_actions",
+    "agent_actions",
+    """SELECT CAST(id AS VARCHAR) AS id, CAST(ticket_id AS VARCHAR) AS ticket_id, agent_id, action_type,
+    override_field, CAST(NULL AS VARCHAR) AS old_value, new_value, created_at,
+    CAST(NULL AS TIMESTAMP) AS updated_at
+    FROM agent_actions WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+)
+_sql(
+    "stored_views",
+    _BOTH,
+    """SELECT t.status, e.severity, count(*) AS tickets, CAST(sum(e.tokens_in) AS BIGINT) AS tokens_in
+    FROM tickets t JOIN ai_enrichments e ON t.id = e.ticket_id GROUP BY t.status, e.severity""",
 )
 _sql(
     "upgrade_enrichments",
@@ -425,10 +535,12 @@ _sql(
 # Scoring: the rule scorer's replies follow from lengths alone.
 
 _SCORED = """
-SELECT id AS ticket_id, description, length(title) AS a, length(description) AS b,
-  length(description) % 50 = 0 AS raised, least(length(title) % 4 + 1, 3) AS tries,
-  length(description) % 50 <> 0 AND length(title) % 4 < 3 AS fine
-FROM accepted
+SELECT *, CASE WHEN ok1 THEN 1 WHEN ok2 THEN 2 ELSE 3 END AS tries, ok1 OR ok2 OR ok3 AS fine
+FROM (SELECT *, a % 7 <> 0 AND NOT unreadable AND a % 4 < 1 AS ok1,
+    NOT raising AND NOT unreadable AND a % 4 < 2 AS ok2, NOT raising AND NOT unreadable AND a % 4 < 3 AS ok3
+  FROM (SELECT id AS ticket_id, description, length(title) AS a, length(description) AS b,
+      length(description) % 50 = 0 AS unreadable, length(description) % 11 = 0 AS raising
+    FROM accepted) x) y
 """
 _OUTCOME = """
 SELECT ticket_id,
@@ -438,12 +550,13 @@ SELECT ticket_id,
   CASE WHEN fine THEN concat(a, ' and ', b, ' characters') END AS summary,
   CASE WHEN fine THEN description END AS suggested_response,
   CASE WHEN fine THEN (b % 100) / 100.0 END AS confidence,
-  CAST(CASE WHEN raised THEN 0 ELSE a + b END AS INT) AS tokens_in,
-  CAST(CASE WHEN raised THEN 0 ELSE 10 * tries END AS INT) AS tokens_out,
+  CAST(CASE WHEN fine OR NOT (raising OR unreadable) THEN a + b ELSE 0 END AS INT) AS tokens_in,
+  CAST(CASE WHEN fine OR NOT (raising OR unreadable) THEN 10 * tries ELSE 0 END AS INT) AS tokens_out,
   CASE WHEN fine THEN CAST(CAST(((a + b) * 3 + 10 * tries * 15) / 1000000.0 AS DECIMAL(10,6)) AS DOUBLE) END
     AS estimated_cost,
-  CAST(CASE WHEN raised THEN 3 ELSE tries END AS INT) AS attempts,
-  CASE WHEN raised THEN 'unreadable ticket' WHEN NOT fine THEN 'not_an_object' END AS last_error
+  CAST(tries AS INT) AS attempts,
+  CASE WHEN fine THEN NULL WHEN raising THEN 'ValueError: cannot read'
+    WHEN unreadable THEN 'unreadable ticket' ELSE 'not_an_object' END AS last_error
 FROM scored
 """
 _SCORING = {"checked": _EXTERNAL, "accepted": _ACCEPTED, "scored": _SCORED, "outcome": _OUTCOME}
@@ -469,6 +582,14 @@ _sql(
     **_SCORING,
 )
 
+_sql(
+    "stream_triaged",
+    "submissions",
+    """SELECT ticket_id AS id, CASE WHEN last_error IS NULL THEN 'triaged' ELSE 'new' END AS status
+    FROM outcome""",
+    **_SCORING,
+)
+
 # Changes
 
 _OVERRIDE_VIEWS = "tickets ai_enrichments override_requests"
@@ -476,7 +597,9 @@ _GOOD_VALUE = f"""(field = 'severity' AND new_value IN {SEVERITY_SET}
   OR field = 'category' AND new_value IN {CATEGORY_SET} OR field = 'suggested_response')"""
 _WELL_FORMED = "field IS NOT NULL AND length(new_value) >= 1 AND length(agent_id) BETWEEN 1 AND 100"
 _OVERRIDES = {
-    "valid": f"SELECT * FROM override_requests WHERE {_WELL_FORMED} AND {_GOOD_VALUE}",
+    "present": "SELECT id FROM tickets WHERE id % 16 <> 3",
+    "valid": f"""SELECT * FROM override_requests WHERE {_WELL_FORMED} AND {_GOOD_VALUE}
+    AND ticket_id IN (SELECT id FROM present)""",
     "logged": """
 SELECT v.*, coalesce(lag(v.new_value) OVER (PARTITION BY v.ticket_id, v.field ORDER BY requested_at, seq),
     CASE v.field WHEN 'severity' THEN e.severity WHEN 'category' THEN e.category
@@ -494,7 +617,7 @@ FROM logged GROUP BY ticket_id
     "state": """
 SELECT e.ticket_id, coalesce(l.severity, e.severity) AS severity, coalesce(l.category, e.category) AS category,
   coalesce(l.suggested_response, e.suggested_response) AS suggested_response,
-  coalesce(l.moved_at, e.updated_at) AS updated_at, e.estimated_cost
+  greatest(coalesce(l.moved_at, e.updated_at), e.updated_at) AS updated_at, e.estimated_cost
 FROM ai_enrichments e LEFT JOIN latest l ON e.ticket_id = l.ticket_id
 """,
     "log": """
@@ -516,9 +639,10 @@ FROM (SELECT *, CASE WHEN NOT (WELL) THEN 'invalid_request' WHEN known IS NULL T
     WHEN enriched IS NULL THEN 'no_enrichment' WHEN field NOT IN FIELDS THEN 'invalid_override_field'
     WHEN NOT VALUE THEN 'invalid_override_value' END AS reason
   FROM (SELECT r.*, t.id AS known, e.ticket_id AS enriched FROM override_requests r
-    LEFT JOIN tickets t ON r.ticket_id = t.id LEFT JOIN ai_enrichments e ON r.ticket_id = e.ticket_id) x) y
+    LEFT JOIN present t ON r.ticket_id = t.id LEFT JOIN ai_enrichments e ON r.ticket_id = e.ticket_id) x) y
 WHERE reason IS NOT NULL
 """.replace("WELL", _WELL_FORMED).replace("FIELDS", FIELD_SET).replace("VALUE", _GOOD_VALUE),
+    present=_OVERRIDES["present"],
 )
 _sql("dashboard_after_overrides", _OVERRIDE_VIEWS, _summary_body("count(*)", "state", "log"), **_OVERRIDES)
 
@@ -549,7 +673,8 @@ _sql(
     "apply_status_state",
     _STATUS_VIEWS,
     """SELECT t.id, coalesce(l.status, t.status) AS status, coalesce(l.assigned_to, t.assigned_to) AS assigned_to,
-    coalesce(l.moved_at, t.updated_at) AS updated_at FROM tickets t LEFT JOIN latest l ON t.id = l.ticket_id""",
+    greatest(coalesce(l.moved_at, t.updated_at), t.updated_at) AS updated_at
+    FROM tickets t LEFT JOIN latest l ON t.id = l.ticket_id""",
     **_STATUS,
 )
 _sql(
@@ -575,7 +700,8 @@ _sql(
     "current_state",
     "tickets agent_actions",
     """
-SELECT t.id, coalesce(l.status, t.status) AS status, coalesce(l.moved_at, t.updated_at) AS updated_at
+SELECT t.id, coalesce(l.status, t.status) AS status,
+  greatest(coalesce(l.moved_at, t.updated_at), t.updated_at) AS updated_at
 FROM tickets t LEFT JOIN (SELECT ticket_id, max(new_value) FILTER (n = 1) AS status,
   max(created_at) FILTER (old_value <> new_value) AS moved_at FROM chained GROUP BY ticket_id) l
   ON t.id = l.ticket_id
@@ -586,3 +712,24 @@ SELECT a.*, row_number() OVER (PARTITION BY a.ticket_id ORDER BY a.created_at DE
 FROM agent_actions a JOIN tickets t ON a.ticket_id = t.id WHERE a.override_field = 'status'
 """,
 )
+_sql(
+    "current_labels",
+    "ai_enrichments agent_actions",
+    """
+SELECT e.ticket_id, coalesce(l.severity, e.severity) AS severity, coalesce(l.category, e.category) AS category,
+  greatest(coalesce(l.moved_at, e.updated_at), e.updated_at) AS updated_at
+FROM ai_enrichments e LEFT JOIN (
+  SELECT ticket_id, max(new_value) FILTER (n = 1 AND override_field = 'severity') AS severity,
+    max(new_value) FILTER (n = 1 AND override_field = 'category') AS category,
+    max(created_at) FILTER (old_value <> new_value) AS moved_at
+  FROM chained GROUP BY ticket_id) l ON e.ticket_id = l.ticket_id
+""",
+    chained="""
+SELECT a.*, row_number() OVER (PARTITION BY a.ticket_id, a.override_field
+    ORDER BY a.created_at DESC, a.id DESC) AS n,
+  coalesce(lag(a.new_value) OVER (PARTITION BY a.ticket_id, a.override_field ORDER BY a.created_at, a.id),
+    CASE a.override_field WHEN 'severity' THEN e.severity ELSE e.category END) AS old_value
+FROM agent_actions a JOIN ai_enrichments e ON a.ticket_id = e.ticket_id
+WHERE a.override_field IN ('severity', 'category')
+""",
+)

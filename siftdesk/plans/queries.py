@@ -3,11 +3,13 @@
 import json
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftdesk import schemas
 from siftdesk.functions import display, text
 from siftdesk.functions.replies import Prices, token_cost
 from siftdesk.operators import changes, enrichment, intake, listing, metrics, relations
@@ -59,32 +61,54 @@ def _listed(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.array_join(name, ",") for name in columns})
 
 
+def _placed(ordered: DataFrame) -> DataFrame:
+    """A short ordered result with the place of each row, so a check sees the order."""
+    numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))
+    return numbered.withColumn("position", place).drop("_at")
+
+
 # Dashboards and reports
 
 
 @query
 def tickets_by_status(spark, sf_dir):
-    return metrics.tickets_by_status(_tickets(spark, sf_dir))
+    return _placed(metrics.tickets_by_status(_tickets(spark, sf_dir)))
 
 
 @query
 def status_distribution(spark, sf_dir):
-    return metrics.order_by_count(metrics.count_by(_tickets(spark, sf_dir), "status"))
+    return _placed(metrics.order_by_count(metrics.count_by(_tickets(spark, sf_dir), "status")))
 
 
 @query
 def enrichments_by_severity(spark, sf_dir):
-    return metrics.enrichments_by_severity(_enrichments(spark, sf_dir))
+    return _placed(metrics.enrichments_by_severity(_enrichments(spark, sf_dir)))
 
 
 @query
 def enrichments_by_category(spark, sf_dir):
-    return metrics.enrichments_by_category(_enrichments(spark, sf_dir))
+    return _placed(metrics.enrichments_by_category(_enrichments(spark, sf_dir)))
 
 
 @query
 def actions_by_type(spark, sf_dir):
-    return metrics.actions_by_type(_actions(spark, sf_dir))
+    return _placed(metrics.actions_by_type(_actions(spark, sf_dir)))
+
+
+@query
+def dashboard_charts(spark, sf_dir):
+    charts = metrics.dashboard_charts(
+        _tickets(spark, sf_dir), _enrichments(spark, sf_dir), _actions(spark, sf_dir)
+    )
+    breakdown = charts.pop("override_breakdown").select(
+        F.col("field").alias("label"), F.col("override_count").alias("count")
+    )
+    parts = [
+        _placed(chart).select(F.lit(name).alias("chart"), "label", "count", "position")
+        for name, chart in {**charts, "override_breakdown": breakdown}.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -110,7 +134,7 @@ def dashboard_summary_tickets(spark, sf_dir):
 
 @query
 def override_breakdown(spark, sf_dir):
-    return metrics.override_breakdown(_enrichments(spark, sf_dir), _actions(spark, sf_dir))
+    return _placed(metrics.override_breakdown(_enrichments(spark, sf_dir), _actions(spark, sf_dir)))
 
 
 @query
@@ -120,7 +144,7 @@ def cost_summary(spark, sf_dir):
 
 @query
 def run_report(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir, fields=())
     return metrics.run_report(
         parsed.select(F.col("parse_error").isNull().alias("succeeded"), "estimated_cost")
     )
@@ -128,8 +152,11 @@ def run_report(spark, sf_dir):
 
 @query
 def evaluate_labels(spark, sf_dir):
-    found, _ = enrichment.split_parsed(_parsed(spark, sf_dir))
-    return metrics.evaluate(found, standin(spark, sf_dir, "expected"))
+    expected = standin(spark, sf_dir, "expected")
+    # Only replies to labelled tickets are parsed.
+    labelled = standin(spark, sf_dir, "replies").join(expected, "ticket_id", "left_semi")
+    parsed = enrichment.parse_responses(labelled, PRICES, MODEL, fields=("severity", "category"))
+    return metrics.evaluate(enrichment.split_parsed(parsed)[0], expected)
 
 
 @query
@@ -277,8 +304,47 @@ def display_columns(spark, sf_dir):
 
 @query
 def json_records(spark, sf_dir):
-    fields = _tickets(spark, sf_dir).select("id", "title", "status", "assigned_to")
-    return tables.to_json_records(fields)
+    """List items as the records a client gets, times and confidence included."""
+    items = listing.list_items(_tickets(spark, sf_dir), _enrichments(spark, sf_dir))
+    return tables.to_json_records(items)
+
+
+@query
+def json_details(spark, sf_dir):
+    """Tickets with their enrichment as a record inside the record."""
+    detail = relations.ticket_detail(_tickets(spark, sf_dir), _enrichments(spark, sf_dir))
+    return tables.to_json_records(detail.select("id", "status", "created_at", "enrichment"))
+
+
+def _stored(spark, sf_dir, name, schema, by_day=None):
+    """A stand-in written as a table, half of it appended later."""
+    path = work_dir(spark, name)
+    rows = standin(spark, sf_dir, name)
+    rows = rows.withColumns({n: F.lit(None) for n in schema.fieldNames() if n not in rows.columns})
+    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    half = F.xxhash64("id") % 2 == 0
+    tables.replace_table(typed.where(half), path, by_day=by_day)
+    tables.append_rows(typed.where(~half), path)
+    return path
+
+
+@query
+def stored_actions(spark, sf_dir):
+    """Written in day folders, appended to, and read back for some of the days."""
+    path = _stored(spark, sf_dir, "agent_actions", schemas.ACTIONS, by_day="created_at")
+    return tables.read_actions(spark, path, days=("2024-01-05", "2024-01-20"))
+
+
+@query
+def stored_views(spark, sf_dir):
+    """A statement over the written tables under their own names."""
+    found = tables.read_tickets(spark, _stored(spark, sf_dir, "tickets", schemas.TICKETS))
+    made = _stored(spark, sf_dir, "ai_enrichments", schemas.ENRICHMENTS)
+    tables.register_views(found, tables.read_enrichments(spark, made), _actions(spark, sf_dir))
+    return spark.sql(
+        """SELECT t.status, e.severity, count(*) AS tickets, sum(e.tokens_in) AS tokens_in
+        FROM tickets t JOIN ai_enrichments e ON t.id = e.ticket_id GROUP BY t.status, e.severity"""
+    )
 
 
 @query
@@ -340,8 +406,8 @@ def submit_forms(spark, sf_dir):
 # Replies
 
 
-def _parsed(spark, sf_dir):
-    return enrichment.parse_responses(standin(spark, sf_dir, "replies"), PRICES, MODEL)
+def _parsed(spark, sf_dir, fields=enrichment.REPLY_FIELDS):
+    return enrichment.parse_responses(standin(spark, sf_dir, "replies"), PRICES, MODEL, fields=fields)
 
 
 @query
@@ -362,7 +428,11 @@ def scorer_input(spark, sf_dir):
 
 
 def length_scorer() -> enrichment.Scorer:
-    """A scorer that reads nothing but lengths; some calls fail, some only at first."""
+    """A scorer that reads nothing but lengths and behaves badly.
+
+    Some calls fail, some only at first; tickets are left out of the first
+    call, answered twice, or make a call of their own raise.
+    """
 
     def reply(attempt: int, title: str, description: str) -> str:
         a, b = len(title), len(description)
@@ -378,11 +448,16 @@ def length_scorer() -> enrichment.Scorer:
         return json.dumps(fields, ensure_ascii=False)
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
+        retry = batch["attempt"].iloc[0] > 1
+        if retry and (batch["description"].str.len() % 11 == 0).any():
+            raise ValueError("cannot read")
+        if not retry:
+            batch = batch[batch["title"].str.len() % 7 != 0]
         sizes = batch["description"].str.len()
         readable = sizes % 50 != 0
         given = zip(batch["attempt"], batch["title"], batch["description"])
         replies = pd.Series([reply(*row) for row in given], index=batch.index, dtype="object")
-        return pd.DataFrame(
+        made = pd.DataFrame(
             {
                 "ticket_id": batch["ticket_id"],
                 "raw_text": replies.where(readable, None),
@@ -391,6 +466,8 @@ def length_scorer() -> enrichment.Scorer:
                 "error": readable.map({True: None, False: "unreadable ticket"}),
             }
         )
+        again = made[batch["title"].str.len() % 5 == 0].assign(raw_text="{}", tokens_in=0)
+        return pd.concat([made, again])
 
     return score
 
@@ -424,8 +501,10 @@ def score_batches(spark, sf_dir):
 
 
 def _overrides(spark, sf_dir):
+    # Some enrichments have lost their ticket; requests for those are refused.
+    present = _tickets(spark, sf_dir).where(F.col("id") % 16 != 3)
     return changes.apply_overrides(
-        _tickets(spark, sf_dir), _enrichments(spark, sf_dir), standin(spark, sf_dir, "override_requests")
+        present, _enrichments(spark, sf_dir), standin(spark, sf_dir, "override_requests")
     )
 
 
@@ -474,15 +553,27 @@ def apply_status_rejects(spark, sf_dir):
     return _listed(_status_changes(spark, sf_dir).rejects, "valid_values")
 
 
-@query
-def current_state(spark, sf_dir):
-    log = _actions(spark, sf_dir).select(
+def _change_log(spark, sf_dir):
+    return _actions(spark, sf_dir).select(
         "ticket_id",
         F.col("override_field").alias("field"),
         "new_value",
         F.col("created_at").alias("requested_at"),
         F.col("id").alias("seq"),
     )
+
+
+@query
+def current_labels(spark, sf_dir):
+    log = _change_log(spark, sf_dir).where(F.col("field").isin("severity", "category"))
+    fields = ("severity", "category")
+    state = changes.current_state(_enrichments(spark, sf_dir), log, fields, key="ticket_id")
+    return state.select("ticket_id", "severity", "category", "updated_at")
+
+
+@query
+def current_state(spark, sf_dir):
+    log = _change_log(spark, sf_dir)
     moved = log.where(F.col("field") == "status")
     state = changes.current_state(_tickets(spark, sf_dir), moved, ("status",))
     return state.select("id", "status", "updated_at")
@@ -490,8 +581,10 @@ def current_state(spark, sf_dir):
 
 @query
 def apply_enrichments(spark, sf_dir):
-    found, _ = enrichment.split_parsed(_parsed(spark, sf_dir))
-    return changes.apply_enrichments(_tickets(spark, sf_dir), found).select("id", "status")
+    found, _ = enrichment.split_parsed(_parsed(spark, sf_dir, fields=()))
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    moved = changes.apply_enrichments(_tickets(spark, sf_dir), found, at)
+    return moved.select("id", "status", "updated_at")
 
 
 # Streams
@@ -519,21 +612,41 @@ def stream_intake(spark, sf_dir):
     )
 
 
-@query
-def stream_enrich(spark, sf_dir):
+def _enriched_stream(spark, sf_dir):
+    """Two runs of the enrichment stream: the second brings the tickets of the
+    first again, a day later, and the others."""
     out = work_dir(spark, "enrich")
-    checked = jobs.checked_intake(_submission_stream(spark, sf_dir), external=True)
-    tickets = checked.where(F.col("side") == jobs.TICKET_SIDE).drop("side", "errors")
+    arrived = _submitted(spark, sf_dir).select(*schemas.TICKETS.fieldNames())
     tasks = spark.sparkContext.defaultParallelism
-    _finish(
-        jobs.stream_enrich(
-            tickets, f"{out}/rows", f"{out}/state", length_scorer(), PRICES, MODEL, tasks=tasks
+    first = arrived.where(F.col("id") % 3 != 0)
+    later = arrived.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    # Within one run, too, tickets arrive more than once.
+    for rows in (first.unionByName(first.where(F.col("id") % 5 == 0)), later):
+        rows.repartition(2, "id").write.mode("append").parquet(f"{out}/inbox")
+        tickets = jobs.read_stream(
+            spark, f"{out}/inbox", arrived.schema, "parquet", files_per_batch=2
         )
-    )
-    done = jobs.read_enriched(spark, f"{out}/rows")
+        _finish(
+            jobs.stream_enrich(
+                tickets, f"{out}/rows", f"{out}/state", length_scorer(), PRICES, MODEL, tasks=tasks
+            )
+        )
+    return jobs.read_enriched(spark, f"{out}/rows")
+
+
+@query
+def stream_enrich(spark, sf_dir):
+    done = _enriched_stream(spark, sf_dir)
     return _doubles(done, "confidence", "estimated_cost").select(*_SCORED)
 
 
+@query
+def stream_triaged(spark, sf_dir):
+    """What the enrichments of a stream leave of their tickets' status."""
+    log = jobs.status_changes(_enriched_stream(spark, sf_dir))
+    return changes.current_state(_submitted(spark, sf_dir), log, ("status",)).select("id", "status")
+
+
 @query
 def stream_counts(spark, sf_dir):
     out = work_dir(spark, "counts")

@@ -47,12 +47,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def pinned(df: DataFrame) -> DataFrame:
+def pinned(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` computed once and read back from the shared folder.
 
     For frames that must not be computed a second time with another outcome:
     slice numbers taken from sampled range bounds, and replies of a scorer.
+    With ``folder`` it lies below that one, for the caller to remove.
     """
-    path = work_dir(df.sparkSession, "pinned")
+    spark = df.sparkSession
+    path = work_dir(spark, "pinned") if folder is None else os.path.join(folder, uuid.uuid4().hex)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, found = _hadoop_path(spark, path)
+    return store.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job made for itself, in whatever store it lies."""
+    store, found = _hadoop_path(spark, path)
+    store.delete(found, True)

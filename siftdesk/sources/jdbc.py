@@ -8,28 +8,26 @@ def read_jdbc(
     url: str,
     table: str,
     *,
-    split_on: str | None = None,
-    lower=None,
-    upper=None,
-    splits: int | None = None,
+    split_on: str,
+    lower,
+    upper,
+    splits: int,
     fetch_size: int = 10_000,
     **options: str,
 ) -> DataFrame:
-    """Read ``table``; give ``split_on`` and its bounds to read it in parallel.
+    """Read ``table`` in ``splits`` parts of the column ``split_on``.
 
-    Without a split column one task reads the whole table.
+    The bounds only place the cuts, rows beyond them are read as well. There is
+    no default: without them one task would read the whole table.
     """
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    reader = reader.option("fetchsize", fetch_size)
-    if split_on is not None:
-        if lower is None or upper is None or splits is None:
-            raise ValueError("split_on needs lower, upper and splits")
-        reader = (
-            reader.option("partitionColumn", split_on)
-            .option("lowerBound", str(lower))
-            .option("upperBound", str(upper))
-            .option("numPartitions", splits)
-        )
+    reader = (
+        reader.option("fetchsize", fetch_size)
+        .option("partitionColumn", split_on)
+        .option("lowerBound", str(lower))
+        .option("upperBound", str(upper))
+        .option("numPartitions", splits)
+    )
     return reader.options(**options).load()
 
 

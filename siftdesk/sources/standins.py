@@ -19,10 +19,12 @@ SELECT o_orderkey AS id,
     ELSE concat('customer', o_custkey, '@company.com') END AS submitter_email,
   CASE o_custkey % 4 WHEN 1 THEN 'agent_alice' WHEN 2 THEN 'agent_bob'
     WHEN 3 THEN 'agent_carlos' END AS assigned_to,
-  o_orderdate AS created_at, o_orderdate AS updated_at
+  o_orderdate AS created_at,
+  CASE WHEN o_custkey % 5 = 0 THEN o_orderdate + INTERVAL '50' YEAR ELSE o_orderdate END AS updated_at
 FROM {orders}
 """
 
+# Some rows were last changed after all requests; their time must stay.
 # Line items are summed up per order before the join, so the join is 1:1.
 ENRICHMENTS = """
 SELECT o_orderkey AS id, o_orderkey AS ticket_id,
@@ -37,7 +39,8 @@ SELECT o_orderkey AS id, o_orderkey AS ticket_id,
   tokens_in, tokens_out,
   CAST(tokens_in * 0.000003 + tokens_out * 0.000015 AS DECIMAL(10,6)) AS estimated_cost,
   concat('raw ', o_orderkey) AS raw_response,
-  o_orderdate AS created_at, o_orderdate AS updated_at
+  o_orderdate AS created_at,
+  CASE WHEN o_custkey % 5 = 0 THEN o_orderdate + INTERVAL '50' YEAR ELSE o_orderdate END AS updated_at
 FROM {orders} JOIN (
   SELECT l_orderkey, min(l_partkey) AS first_part, max(l_discount) AS top_discount,
     CAST(500 + sum(l_quantity) AS INT) AS tokens_in,
@@ -103,7 +106,7 @@ FROM {{events}}
 SUBMISSIONS = """
 SELECT doc_id AS id,
   CASE WHEN doc_id % 11 = 0 THEN '' WHEN instr(text, chr(10)) > 0
-    THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE substr(text, 1, 300) END AS title,
+    THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title,
   CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS description,
   CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(source, ' with too long a name')
     ELSE source END AS source,
@@ -115,10 +118,12 @@ FROM {documents}
 
 FORMS = """
 SELECT doc_id AS id,
-  CASE doc_id % 6 WHEN 0 THEN concat('  ', lang, ' ') WHEN 1 THEN '   ' WHEN 2 THEN NULL
-    ELSE substr(text, 1, 40) END AS title,
-  CASE doc_id % 7 WHEN 0 THEN concat(chr(10), substr(text, 1, 8), chr(9)) WHEN 1 THEN chr(10)
-    WHEN 2 THEN concat('Printer ', lang, ' jam') ELSE text END AS description,
+  CASE doc_id % 24 WHEN 0 THEN concat('  ', lang, ' ') WHEN 1 THEN '   ' WHEN 2 THEN NULL
+    ELSE CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1)
+      ELSE text END END AS title,
+  CASE doc_id % 35 WHEN 0 THEN concat(chr(10), lang, chr(9)) WHEN 1 THEN chr(10)
+    WHEN 2 THEN concat('Printer ', lang, ' jam')
+    ELSE concat(chr(10), text, chr(9)) END AS description,
   CASE doc_id % 3 WHEN 0 THEN ' Ada' WHEN 1 THEN '' END AS first_name,
   CASE doc_id % 4 WHEN 0 THEN 'Byron ' WHEN 1 THEN '  ' WHEN 2 THEN 'King' END AS last_name,
   CASE WHEN doc_id % 5 < 3 THEN 'email' ELSE 'sms' END AS contact_method,
@@ -154,7 +159,9 @@ FROM (
   SELECT doc_id AS ticket_id, text, doc_id % 11 AS form,
     CAST(200 + n_chars AS INT) AS tokens_in, CAST(20 + n_chars % 300 AS INT) AS tokens_out,
     CASE doc_id % 11
-      WHEN 7 THEN concat('{{{{"summary": ', {_QUOTED}, '}}}}')
+      WHEN 7 THEN concat('{{{{"summary": ', CASE n_chars % 7 WHEN 0 THEN CAST(n_chars AS VARCHAR(20))
+          WHEN 1 THEN concat(CAST(n_chars AS VARCHAR(20)), '.250') WHEN 2 THEN 'true' WHEN 3 THEN 'null'
+          WHEN 4 THEN concat('-', CAST(1 + n_chars % 9 AS VARCHAR(20)), '.5e20') ELSE {_QUOTED} END, '}}}}')
       WHEN 8 THEN concat('{{{{"severity": null, "summary": ', {_QUOTED}, '}}}}')
       WHEN 9 THEN concat('{{{{"severity": "', {_LABELS}, '", "category": 5, "summary": ', {_QUOTED}, '}}}}')
       WHEN 10 THEN concat('{{{{"category": "', {_KINDS}, '", "confidence": "0.9", "suggested_response": ',

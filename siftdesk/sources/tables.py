@@ -5,23 +5,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftdesk import schemas
+from siftdesk.session import exists
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """A table of fixed schema; nothing is inferred from the files."""
-    return spark.read.schema(schema).format(fmt).load(path)
+DAY = "day"
 
 
-def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.TICKETS, fmt)
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    fmt: str = "parquet",
+    days: tuple[str, str] | None = None,
+) -> DataFrame:
+    """A table of fixed schema; nothing is inferred from the files.
+
+    ``days`` are the first and last day to read of a table in day folders; the
+    others are not opened.
+    """
+    table = spark.read.schema(schema).format(fmt).load(path)
+    if days is not None:
+        table = table.where(F.col(DAY).between(*[F.to_date(F.lit(day)) for day in days]))
+    return table.select(*schema.fieldNames())
+
+
+def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet", **more) -> DataFrame:
+    return read_table(spark, path, schemas.TICKETS, fmt, **more)
 
 
-def read_enrichments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.ENRICHMENTS, fmt)
+def read_enrichments(spark: SparkSession, path: str, fmt: str = "parquet", **more) -> DataFrame:
+    return read_table(spark, path, schemas.ENRICHMENTS, fmt, **more)
 
 
-def read_actions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.ACTIONS, fmt)
+def read_actions(spark: SparkSession, path: str, fmt: str = "parquet", **more) -> DataFrame:
+    return read_table(spark, path, schemas.ACTIONS, fmt, **more)
 
 
 def register_views(tickets: DataFrame, enrichments: DataFrame, actions: DataFrame) -> None:
@@ -31,20 +48,35 @@ def register_views(tickets: DataFrame, enrichments: DataFrame, actions: DataFram
     actions.createOrReplaceTempView("agent_actions")
 
 
-def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("append").format(fmt).save(path)
+def _write(df: DataFrame, path: str, fmt: str, mode: str, by_day: str | None) -> None:
+    if by_day is None:
+        df.write.mode(mode).format(fmt).save(path)
+        return
+    # One task takes few days, and several tasks a large one.
+    dated = df.withColumn(DAY, F.to_date(by_day)).hint("rebalance", DAY)
+    dated.write.mode(mode).partitionBy(DAY).format(fmt).save(path)
 
 
-def replace_table(df: DataFrame, path: str, fmt: str = "parquet", by_day: str | None = None) -> None:
-    """Write ``df`` as the whole table, in folders of one day each if ``by_day`` names a timestamp.
+def has_day_folders(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """Whether the table at ``path`` is laid out in folders of one day each."""
+    if not exists(spark, path):
+        return False
+    key = T.StructType([T.StructField("id", T.StringType())])
+    return DAY in spark.read.schema(key).format(fmt).load(path).columns
 
-    Reads that name the days they need (column ``day``) skip the other folders.
-    """
-    if by_day is None:
-        df.write.mode("overwrite").format(fmt).save(path)
-        return
-    dated = df.withColumn("day", F.to_date(by_day))
-    dated.write.mode("overwrite").partitionBy("day").format(fmt).save(path)
+
+def append_rows(
+    df: DataFrame, path: str, fmt: str = "parquet", by_day: str = "created_at"
+) -> None:
+    """Add rows in the layout the table has; ``by_day`` names the time that a
+    table in day folders is laid out by."""
+    folders = has_day_folders(df.sparkSession, path, fmt)
+    _write(df, path, fmt, "append", by_day if folders else None)
+
+
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet", by_day: str | None = None) -> None:
+    """Write ``df`` as the whole table, in folders of one day each if ``by_day`` names a timestamp."""
+    _write(df, path, fmt, "overwrite", by_day)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

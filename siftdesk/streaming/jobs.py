@@ -2,23 +2,20 @@
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from siftdesk.constants import DEFAULT_PROMPT_VERSION, ENRICHED_STATUS, MAX_ATTEMPTS
 from siftdesk.functions.replies import Prices
 from siftdesk.operators.enrichment import Scorer, as_enrichments, score
 from siftdesk.operators.intake import as_tickets, check_submissions, external_source, form_source
 from siftdesk.operators.relations import earliest_per
-from siftdesk.session import pinned
+from siftdesk.session import exists, pinned, remove, work_dir
 
-# Batches with at most this many tickets, counted beforehand, are broadcast.
-BROADCAST_ROWS = 100_000
-
-MAX_DAYS = 1000
+# Folders of the ledger; a stream must keep the number it began with.
+LEDGER_BUCKETS = 64
 
 TICKET_SIDE = "accepted"
 REJECT_SIDE = "rejected"
@@ -73,35 +70,34 @@ def read_intake(spark: SparkSession, out: str, side: str = TICKET_SIDE) -> DataF
     return spark.read.parquet(out).where(F.col("side") == side).drop("side")
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _ledger_schema(key: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("ticket_id", key), T.StructField("batch_id", T.LongType())])
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(LEDGER_BUCKETS)).cast("int")
 
 
-def _unseen(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Tickets of the batch that are not among the known enrichments.
+def _unseen(batch: DataFrame, batch_id: int, ledger: str) -> DataFrame:
+    """Tickets of the batch that no other batch has enriched, whatever their day.
 
-    Enrichments lie in folders of their ticket's day, so only the days of the
-    batch are read. The batch is small against them: with its ids broadcast
-    they are filtered where they are read, and only matches move on.
+    The ledger lists enriched tickets in a fixed number of folders by a hash of
+    the id; only those of the batch's ids are opened.
     """
-    days = [row[0] for row in batch.select(_ticket_day()).distinct().limit(MAX_DAYS + 1).collect()]
+    spark = batch.sparkSession
+    touched = [row[0] for row in batch.select(_bucket("id")).distinct().collect()]
+    folders = [f"{ledger}/bucket={n}" for n in sorted(touched)]
+    there = [path for path in folders if exists(spark, path)]
+    if not there:
+        return batch
+    known = spark.read.schema(_ledger_schema(batch.schema["id"].dataType)).parquet(*there)
     ids = batch.select(F.col("id").alias("_id"))
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    # A batch of more days is rare; it searches all folders.
-    theirs = known if len(days) > MAX_DAYS else known.where(F.col("ticket_day").isin(days))
-    theirs = theirs.select("ticket_id")
-    seen = theirs.join(ids, F.col("ticket_id") == F.col("_id"), "left_semi").distinct()
+    # The batch's few ids cut the ledger down where it is read.
+    seen = known.where(F.col("batch_id") != batch_id).select("ticket_id")
+    seen = seen.join(ids, F.col("ticket_id") == F.col("_id"), "left_semi").distinct()
     return batch.join(seen, batch["id"] == seen["ticket_id"], "left_anti")
 
 
-def _ticket_day():
-    return F.to_date("created_at")
-
-
 def enrich_batch(
     batch: DataFrame,
     batch_id: int,
@@ -116,24 +112,30 @@ def enrich_batch(
 ) -> None:
     """Enrich one micro-batch into folders of its own.
 
-    A batch that is run again replaces its own folders and sees the
-    enrichments of all other batches, so no ticket is enriched twice and none
-    is lost. A ticket's ``created_at`` must not change between its triggers.
+    A batch that is run again replaces its own folders and does not count what
+    the ledger has of it, so no ticket is enriched twice and none is lost.
+    Intermediate frames are removed when the batch is done.
     """
     spark = batch.sparkSession
-    fresh = pinned(earliest_per(batch, "id", ["created_at", "title", "description"]))
-    known = _existing(spark, f"{out}/enrichments")
-    if known is not None:
-        fresh = pinned(_unseen(fresh, known.where(F.col("batch_id") != batch_id)))
-    scored = score(fresh, scorer, prices, model, prompt_version, max_attempts, tasks)
-    target = f"{out}/{{}}/batch_id={batch_id}"
-    usable = F.col("parse_error").isNull()
-    scored.where(~usable).write.mode("overwrite").parquet(target.format("failures"))
-    done = as_enrichments(scored)
-    days = fresh.select(F.col("id").alias("ticket_id"), _ticket_day().alias("ticket_day"))
-    dated = done.join(days, "ticket_id").write.mode("overwrite").partitionBy("ticket_day")
-    # Written last: a batch counts as enriched only when all of it is there.
-    dated.option("partitionOverwriteMode", "static").parquet(target.format("enrichments"))
+    scratch = work_dir(spark, f"enrich-{batch_id}")
+    try:
+        fresh = pinned(earliest_per(batch, "id", ["created_at", "title", "description"]), scratch)
+        fresh = pinned(_unseen(fresh, batch_id, f"{out}/ledger"), scratch)
+        scored = score(fresh, scorer, prices, model, prompt_version, max_attempts, tasks, scratch)
+        target = f"{out}/{{}}/batch_id={batch_id}"
+        usable = F.col("parse_error").isNull()
+        scored.where(~usable).write.mode("overwrite").parquet(target.format("failures"))
+        as_enrichments(scored).write.mode("overwrite").parquet(target.format("enrichments"))
+        done = scored.where(usable).select(
+            "ticket_id",
+            F.lit(batch_id).cast("long").alias("batch_id"),
+            _bucket("ticket_id").alias("bucket"),
+        )
+        # Written last: the ledger names only what is there. A bucket gets one file.
+        listed = done.repartition("bucket").write.mode("append").partitionBy("bucket")
+        listed.parquet(f"{out}/ledger")
+    finally:
+        remove(spark, scratch)
 
 
 def stream_enrich(
@@ -150,8 +152,9 @@ def stream_enrich(
 ) -> StreamingQuery:
     """Enrich each arriving ticket once.
 
-    Repeated triggers are found in the batch and among the enrichments already
-    written. A watermark would bound the search, but it drops late tickets.
+    Repeated triggers are found in the batch and in the ledger of enriched
+    tickets, by id alone. A watermark would bound the search, but it drops late
+    tickets.
     """
     run = partial(
         enrich_batch,
@@ -169,7 +172,7 @@ def stream_enrich(
 
 def read_enriched(spark: SparkSession, out: str, part: str = "enrichments") -> DataFrame:
     """``enrichments`` or ``failures`` of all batches."""
-    return spark.read.parquet(f"{out}/{part}").drop("batch_id", "ticket_day")
+    return spark.read.parquet(f"{out}/{part}").drop("batch_id")
 
 
 def status_changes(enrichments: DataFrame) -> DataFrame:
@@ -184,7 +187,12 @@ def status_changes(enrichments: DataFrame) -> DataFrame:
 
 
 def _replace_counts(df: DataFrame, batch_id: int, out: str) -> None:
-    df.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    slot = batch_id % 2
+    numbered = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    numbered.write.mode("overwrite").parquet(f"{out}/counts/slot={slot}")
+    # The mark is written last; readers trust a slot only with its mark.
+    mark = df.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
+    mark.write.mode("overwrite").parquet(f"{out}/marks/slot={slot}")
 
 
 def stream_counts(
@@ -192,7 +200,8 @@ def stream_counts(
 ) -> StreamingQuery:
     """Running counts per value; each batch writes the counts so far.
 
-    The state has one row per value of ``column``.
+    The state has one row per value of ``column``. Batches take turns in two
+    folders, so one always holds complete counts and no more pile up.
     """
     counts = rows.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("count"))
     writer = counts.writeStream.outputMode("complete").foreachBatch(
@@ -202,7 +211,7 @@ def stream_counts(
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The counts of the newest batch."""
-    counts = spark.read.parquet(out)
-    newest = counts.agg(F.max("batch_id")).scalar()
-    return counts.where(F.col("batch_id") == newest).drop("batch_id")
+    """The counts of the newest batch that is complete."""
+    newest = spark.read.parquet(f"{out}/marks").agg(F.max("batch_id")).first()[0]
+    slot = spark.read.parquet(f"{out}/counts/slot={newest % 2}")
+    return slot.where(F.col("batch_id") == newest).drop("batch_id")

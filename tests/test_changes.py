@@ -231,3 +231,23 @@ def test_history_positions(actions, hot_rows):
     assert by_ticket["hot"] == [(i + 1, f"{59 - i:03}") for i in range(60)]
     assert [key for _, key in by_ticket["a"]] == ["x0", "x2", "x1"]
     assert [r.id for r in relations.ticket_actions(actions(*rows), "a").collect()] == ["x0", "x2", "x1"]
+
+
+def test_a_request_is_either_applied_or_refused(frame, tickets, enrichments):
+    requests = frame(schemas.OVERRIDE_REQUESTS, [override("a", seq=1), override("gone", seq=2)])
+    table = enrichments(enrichment("a"), enrichment("gone"))
+    applied = changes.apply_overrides(tickets(ticket("a")), table, requests)
+    assert {r.ticket_id: r.severity for r in applied.table.collect()} == {"a": "high", "gone": "low"}
+    assert [r.ticket_id for r in applied.actions.collect()] == ["a"]
+    assert [(r.ticket_id, r.reason) for r in applied.rejects.collect()] == [("gone", "ticket_not_found")]
+
+
+def test_updated_at_never_goes_back(frame, tickets, enrichments):
+    late = minute(100)
+    requests = frame(schemas.OVERRIDE_REQUESTS, [override("a", at=1)])
+    row = enrichment("a", updated_at=late)
+    changed = changes.apply_overrides(tickets(ticket("a")), enrichments(row), requests).table.first()
+    assert (changed.severity, changed.updated_at) == ("high", late)
+    wanted = frame(schemas.STATUS_REQUESTS, [status("a", "closed", at=1)])
+    moved = changes.apply_status_changes(tickets(ticket("a", updated_at=late)), wanted).table.first()
+    assert (moved.status, moved.updated_at) == ("closed", late)

@@ -105,7 +105,11 @@ def test_evaluation(spark):
         [("1", "high", "general"), ("2", "low", "general"), ("3", "low", "general")],
         "ticket_id string, expected_severity string, expected_category string",
     )
-    assert tuple(metrics.match_rates(metrics.evaluate(predicted, expected)).first()) == (2, 1.0, 0.5)
+    evaluated = metrics.evaluate(predicted, expected)
+    assert {r.ticket_id: (r.predicted, r.severity_match) for r in evaluated.collect()}["3"] == (False, False)
+    rates = metrics.match_rates(evaluated).first()
+    assert tuple(rates)[:2] == (3, 2) and rates.severity_rate == pytest.approx(2 / 3)
+    assert rates.category_rate == pytest.approx(1 / 3)
 
 
 def test_dedupe(enrichments):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftdesk.operators import listing, metrics, relations
-from siftdesk.operators.sequences import find_hot, lookup
+from siftdesk.operators.sequences import find_hot, lookup, with_position
 from siftdesk.sources import tables
 
 def plan_of(df) -> str:
@@ -106,17 +106,35 @@ def test_hot_ticket_is_split_in_the_orphan_check(spark, skewed):
     assert len(rows) == 20_000 and "SortMergeJoin(skew=true)" in plan_of(found)
 
 
-def test_hot_key_is_looked_up_by_broadcast(spark, skewed):
+def test_hot_key_is_looked_up_apart(spark, skewed):
     side = spark.range(60_000).select(F.col("id").alias("ticket_id"), (F.col("id") * 2).alias("double"))
     hot = find_hot(skewed, "ticket_id", 1000)
     joined = lookup(skewed, side, hot, "inner")
     assert joined.count() == 60_000
     assert joined.where(F.col("double") != F.col("ticket_id") * 2).count() == 0
-    plan = plan_of(joined)
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
 
 
 def test_hot_keys_are_found(spark, skewed):
     hot = find_hot(skewed, "ticket_id", 1000)
     assert [r.ticket_id for r in hot.keys.collect()] == [0] and hot.slices == 21
     assert find_hot(skewed, "ticket_id").keys is None
+
+
+def test_any_number_of_hot_keys_and_a_null_one(spark):
+    rows = [(None if i % 4 == 0 else i % 60, i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "ticket_id int, seq int")
+    side = spark.createDataFrame([(i, i * 10) for i in range(50)], "ticket_id int, tens int")
+    hot = find_hot(df, "ticket_id", 5)
+    keys = {r.ticket_id for r in hot.keys.collect()}
+    assert None in keys and len(keys) == 46
+    assert hot.rest(df).count() == 0 and hot.only(df).count() == 1200
+    for found in (hot, find_hot(df, "ticket_id")):
+        left = lookup(df, side, found)
+        want = sorted((k, n, k * 10 if k is not None and k < 50 else None) for k, n in rows if k is not None)
+        assert sorted(tuple(r) for r in left.where("ticket_id is not null").collect()) == want
+        nulls = left.where("ticket_id is null").collect()
+        assert len(nulls) == 300 and all(r.tens is None for r in nulls)
+        assert lookup(df, side, found, "inner").where("ticket_id is null").count() == 0
+    windowed = with_position(df, ["ticket_id"], [F.col("seq")], hot)
+    plain = with_position(df, ["ticket_id"], [F.col("seq")], find_hot(df, "ticket_id"))
+    assert sorted(map(tuple, windowed.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)

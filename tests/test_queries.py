@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import TABLES, rows_of
+from siftdesk.plans import oracle, queries
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLE = queries.registered(), oracle.statements()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
@@ -35,6 +36,7 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 def test_entry(spark):

@@ -78,6 +78,18 @@ def test_confidence(parse, value, expected):
         ("true", "True"),
         ("5", "5"),
         ("1.50", "1.5"),
+        ("1.0", "1.0"),
+        ("-0.0", "-0.0"),
+        ("-0", "0"),
+        ("123456789.123", "123456789.123"),
+        ("1e20", "1e+20"),
+        ("1e-7", "1e-07"),
+        ("0.0001", "0.0001"),
+        ("1E400", "inf"),
+        ("NaN", "nan"),
+        ("-Infinity", "-inf"),
+        ("7.695759147568859e+17", "7.695759147568859e+17"),
+        ("1" * 50, "1" * 50),
         ('"a\\n\\u0041"', "a\nA"),
         ('{"a":[1,2]}', '{"a":[1,2]}'),
     ],
@@ -202,14 +214,39 @@ def test_rounds_like_a_float(spark, values, places):
         assert row.y == round(row.x, places), row.x
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False), st.integers()), min_size=30, max_size=100))
+def test_numbers_are_spelled_like_python(spark, values):
+    tokens = [repr(v) for v in values if not 0 < abs(v) < 1e-300]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for row in df.select("t", replies.number_text(F.col("t")).alias("x")).collect():
+        assert row.x == row.t
+
+
+def test_long_and_deep_replies(parse):
+    long, deep = "x" * 21_000_000, "[" * 1200 + "]" * 1200
+    one, two = parse(f'{{"summary":"{long}"}}', f'{{"summary":"s","other":{deep}}}')
+    assert one.parse_error is None and len(one.summary) == 21_000_000
+    assert two.parse_error is None and two.summary == "s"
+
+
+def test_wanted_fields_only(frame):
+    rows = [{"ticket_id": "1", "raw_text": '{"summary":5}', "tokens_in": 1, "tokens_out": 1}]
+    found = parse_responses(frame(schemas.REPLIES, rows), PRICES, "m", fields=("category",))
+    assert "summary" not in found.columns and found.first().category == "general"
+
+
 def flaky():
     import pandas as pd
 
     def score_batch(batch):
         if (batch["title"] == "bad").any():
             raise ValueError("no")
+        if (batch["title"] == "odd").any():
+            return pd.DataFrame({"ticket_id": ["nobody"], "raw_text": ["{}"], "tokens_in": 1, "tokens_out": 1})
+        batch = batch[batch["title"] != "lost"]
         good = [a >= int(t) for a, t in zip(batch["attempt"], batch["title"])]
-        return pd.DataFrame(
+        made = pd.DataFrame(
             {
                 "ticket_id": batch["ticket_id"],
                 "raw_text": ['{"severity":"low"}' if g else "sorry" for g in good],
@@ -217,6 +254,7 @@ def flaky():
                 "tokens_out": batch["attempt"],
             }
         )
+        return pd.concat([made, made.assign(raw_text='{"severity":"high"}')])
 
     return score_batch
 
@@ -224,17 +262,41 @@ def flaky():
 def test_scoring_retries(tickets):
     from conftest import ticket
 
-    rows = [ticket("a", title="1"), ticket("b", title="3"), ticket("c", title="4"), ticket("d", title="bad")]
-    found = {r.ticket_id: r for r in score(tickets(*rows), flaky(), PRICES, "m").collect()}
-    assert {k: (r.attempts, r.severity) for k, r in found.items()} == {
-        "a": (1, "low"),
-        "b": (3, "low"),
-        "c": (3, None),
-        "d": (3, None),
-    }
-    assert found["a"].last_error is None and found["b"].tokens_out == 3
-    assert found["c"].last_error == "not_an_object"
-    assert found["d"].last_error == "ValueError: no"
+    rows = [ticket("a", title="1"), ticket("b", title="3"), ticket("c", title="4"), ticket("e", title="lost")]
+    found = score(tickets(*rows).coalesce(1), flaky(), PRICES, "m").collect()
+    assert sorted((r.ticket_id, r.attempts, r.severity, r.last_error) for r in found) == [
+        ("a", 1, "low", None),
+        ("b", 3, "low", None),
+        ("c", 3, None, "not_an_object"),
+        ("e", 3, None, "no reply"),
+    ]
+    assert {r.ticket_id: r.tokens_out for r in found}["b"] == 3
+
+
+def test_no_ticket_is_sent_more_often_than_counted(spark, tickets, tmp_path):
+    from conftest import ticket
+
+    log = str(tmp_path / "sent")
+
+    def noisy():
+        inner = flaky()
+
+        def score_batch(batch):
+            with open(log, "a") as file:
+                file.write("".join(f"{i}\n" for i in batch["ticket_id"]))
+            return inner(batch)
+
+        return score_batch
+
+    rows = [ticket(str(i), title="1") for i in range(100)]
+    rows += [ticket("bad", title="bad"), ticket("odd", title="odd")]
+    found = {r.ticket_id: r for r in score(tickets(*rows).coalesce(1), noisy(), PRICES, "m").collect()}
+    sent = open(log).read().split()
+    assert len(found) == 102
+    assert {i: sent.count(i) for i in found} == {i: r.attempts for i, r in found.items()}
+    assert found["7"].attempts == 2 and found["7"].last_error is None
+    assert found["bad"].attempts == 3 and found["bad"].last_error == "ValueError: no"
+    assert found["odd"].last_error.startswith("ValueError: the scorer made up ids")
 
 
 def test_scoring_nothing(tickets):

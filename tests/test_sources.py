@@ -55,10 +55,23 @@ def test_inline_values(spark):
 
 
 def test_jdbc_needs_bounds(spark):
-    with pytest.raises(ValueError):
+    with pytest.raises(TypeError):
+        jdbc.read_jdbc(spark, "jdbc:postgresql://host/db", "tickets")
+    with pytest.raises(TypeError):
         jdbc.read_jdbc(spark, "jdbc:postgresql://host/db", "tickets", split_on="id")
 
 
+def test_appending_keeps_day_folders(spark, tmp_path, tickets):
+    path = str(tmp_path / "t")
+    tables.replace_table(tickets(ticket("a")), path, by_day="created_at")
+    tables.append_rows(tickets(ticket("b", created=2000)), path)
+    found = tables.read_tickets(spark, path)
+    assert sorted(r.id for r in found.collect()) == ["a", "b"]
+    assert found.columns == schemas.TICKETS.fieldNames()
+    second = tables.read_tickets(spark, path, days=("2024-01-02", "2024-01-02"))
+    assert [r.id for r in second.collect()] == ["b"]
+
+
 def test_views_take_the_ad_hoc_queries(spark, tickets, enrichments, actions):
     tables.register_views(
         tickets(ticket("a"), ticket("b", created=1)), enrichments(enrichment("a")), actions(action("1", "a"))

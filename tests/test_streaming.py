@@ -99,3 +99,45 @@ def test_counts(spark, tmp_path, inbox):
         folder = inbox(schemas.TICKETS, *rows)
         run(jobs.stream_counts(jobs.read_stream(spark, folder, schemas.TICKETS), "status", out, state))
     assert {r.label: r["count"] for r in jobs.read_counts(spark, out).collect()} == {"new": 2, "closed": 1}
+
+
+def test_repeats_on_other_days_are_found_by_id_alone(spark, tmp_path, tickets):
+    out = str(tmp_path / "out")
+    options = {"out": out, "scorer": scorer(), "prices": PRICES, "model": "m"}
+    jobs.enrich_batch(tickets(ticket("a", title="ok"), ticket("b", title="ok")), 0, **options)
+    # Few days and many, and a batch that begins with what is known.
+    later = [ticket("a", title="ok", created=1440 * n) for n in range(1, 30)]
+    jobs.enrich_batch(tickets(*later, ticket("c", title="ok")), 1, **options)
+    jobs.enrich_batch(tickets(ticket("a", title="ok", created=3000)), 2, **options)
+    assert sorted(r.ticket_id for r in jobs.read_enriched(spark, out).collect()) == ["a", "b", "c"]
+
+
+def test_a_batch_opens_its_buckets_only(spark, tmp_path, tickets):
+    out = str(tmp_path / "out")
+    options = {"out": out, "scorer": scorer(), "prices": PRICES, "model": "m"}
+    jobs.enrich_batch(tickets(*[ticket(str(n), title="ok") for n in range(200)]), 0, **options)
+    fresh = jobs._unseen(tickets(ticket("7"), ticket("new")), 1, f"{out}/ledger")
+    files = fresh._jdf.queryExecution().optimizedPlan().collectLeaves().mkString()
+    assert [r.id for r in fresh.collect()] == ["new"] and files
+    opened = {f.split("bucket=")[1].split("/")[0] for f in fresh.inputFiles() if "bucket=" in f}
+    assert 0 < len(opened) <= 2
+
+
+def test_batches_leave_no_scratch(spark, tmp_path, tickets):
+    from pathlib import Path
+
+    from siftdesk.session import shared_dir
+
+    options = {"out": str(tmp_path / "out"), "scorer": scorer(), "prices": PRICES, "model": "m"}
+    jobs.enrich_batch(tickets(ticket("a", title="ok")), 77, **options)
+    assert not list(Path(shared_dir(spark)).glob("enrich-77-*"))
+
+
+def test_counts_take_turns_in_two_folders(spark, tmp_path, inbox):
+    out, state = tmp_path / "out", str(tmp_path / "state")
+    for n in range(5):
+        folder = inbox(schemas.TICKETS, ticket(str(n)))
+        rows = jobs.read_stream(spark, folder, schemas.TICKETS)
+        run(jobs.stream_counts(rows, "status", str(out), state))
+        assert [r["count"] for r in jobs.read_counts(spark, str(out)).collect()] == [n + 1]
+    assert len(list((out / "counts").glob("slot=*"))) == 2
