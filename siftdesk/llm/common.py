@@ -1,6 +1,13 @@
 """Small helpers shared by the corpus operators."""
 
+import atexit
+import os
+import shutil
+import site
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -14,6 +21,7 @@ __all__ = [
     "map_texts",
     "pinned",
     "read_table",
+    "ship_package",
     "shuffle_partitions",
     "work_dir",
 ]
@@ -22,6 +30,33 @@ __all__ = [
 ASCII_SPACE = b" \t\n\v\f\r"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the workers, once per application.
+
+    Functions of the package travel by name. Where it is installed, on
+    PYTHONPATH or in the working folder, workers find it by themselves.
+    """
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    app = spark.sparkContext.applicationId
+    if str(root) in known or app in _shipped:
+        return
+    _shipped.add(app)
+    # Spark serves this file to the executors as long as the driver lives.
+    folder = tempfile.mkdtemp(prefix="siftdesk-modules-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "siftdesk-modules.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        # Folders too: one without __init__ is found by its own entry alone.
+        for path in [root / "siftdesk", *sorted((root / "siftdesk").rglob("*"))]:
+            if path.suffix == ".py" or path.is_dir() and path.name != "__pycache__":
+                file.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +101,7 @@ def map_texts(
     Output is cut into batches of ``rows``, so that the memory of a task does
     not depend on the number of rows it makes.
     """
+    ship_package(frame.sparkSession)
     names = frame.columns
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)

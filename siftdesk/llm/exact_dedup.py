@@ -26,13 +26,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import pinned, utf8
+from .common import pinned, ship_package, utf8
 
 COUNTERS = 1000
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest): SHA-256 of each text, A-Z lower-cased, as 32 bytes."""
+    ship_package(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def digest(batches):

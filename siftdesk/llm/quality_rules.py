@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pinned
+from .common import pinned, ship_package
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -109,6 +109,7 @@ def text_counts(text: str | Column = "text") -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and ``COUNTS``, one row per row of ``docs`` (doc_id, text)."""
+    ship_package(docs.sparkSession)
     return docs.select("doc_id", text_counts().alias("counts")).select("doc_id", "counts.*")
 
 

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_texts, pinned
+from .common import map_texts, pinned, ship_package
 from .tokens import Cache
 
 SAMPLE = 20_000
@@ -305,12 +305,14 @@ def score_column(model: Model, text: str | Column = "text") -> Column:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``."""
+    ship_package(docs.sparkSession)
     scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
     return scored.withColumn("predicted", F.expr("int(score >= 0.5)"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns as they were."""
+    ship_package(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     clean = plain.where(score_column(model, f"c{names.index(text_col)}") < 0.5)

@@ -152,3 +152,21 @@ def test_oracles_agree(spark, name):
     frame = queries.QUERIES[name](spark, SMALL)
     mine = sorted((tuple(row[c] for c in sorted(frame.columns)) for row in frame.collect()), key=repr)
     assert sorted(frame.columns) == sorted(names) and mine == theirs
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    """Run from another folder, without PYTHONPATH: the modules are sent along."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+from siftdesk.llm import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("ROWS", queries.op10_bpe(spark, {SMALL!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 200" in done.stdout, done.stderr[-2000:]
