@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without the lines that repeat elsewhere."""
-    left = line_dedup.dedup_documents(docs).drop("n_lines", "n_dropped")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    left = line_dedup.dedup_documents(docs).toDF(*docs.columns, "_lines", "_dropped")
+    return left.select(*docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

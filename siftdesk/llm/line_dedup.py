@@ -27,6 +27,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from siftdesk.session import remove
+
 from .common import ASCII_SPACE, map_texts, pinned, shuffle_partitions, work_dir
 
 MIN_CODE_POINTS = 40
@@ -73,17 +75,26 @@ class LineStore:
         self.buckets = buckets or shuffle_partitions(spark)
         self.levels: list[list[str]] = [[]]
         self.repeats: list[str] = []
+        self.folders: dict[str, str] = {}
 
     def _write(self, frame: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.folders[name] = work_dir(self.spark, "line-run")
         (
             frame.write.bucketBy(self.buckets, "key")
             .sortBy("key")
-            .option("path", work_dir(self.spark, "line-run"))
+            .option("path", self.folders[name])
             .saveAsTable(name)
         )
         return name
 
+    def close(self) -> None:
+        """Drop the runs; frames that still read them end here."""
+        for name, folder in self.folders.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, folder)
+        self.folders.clear()
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name).where("fresh") for level in self.levels for name in level]
 
@@ -155,6 +166,7 @@ def dropped_lines(
     for batch in range(batches):
         store.add(lines.where(F.col("batch") == batch).drop("batch"))
     repeated = pinned(store.totals().where(F.col("n_docs") >= min_documents))
+    store.close()
     total = lines.count()
     is_hot = F.col("n_docs") * HOT_SHARE >= total
     hot, rest = repeated.where(is_hot), repeated.where(~is_hot)

@@ -115,6 +115,8 @@ def test_store_gives_fresh_lines_and_merges_runs(spark):
     assert [len(level) for level in store.levels] == [0, 0, 1]
     totals = {bytes(r.key).decode(): (r.n_docs, r.last_doc) for r in store.totals().collect()}
     assert totals == {"a": (4, 5), "b": (2, 4), "c": (1, 3), "d": (1, 4)}
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 def test_merging_with_runs_does_not_shuffle_them(spark):
@@ -128,6 +130,7 @@ def test_merging_with_runs_does_not_shuffle_them(spark):
     try:
         assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
     finally:
+        store.close()
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
