@@ -249,19 +249,24 @@ def learn(
     return rules
 
 
-def labelled_sample(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Features, bad flags and held-back flags of a bounded sample of labelled rows."""
-    names = list(features())
+def chosen_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(label_id, quality): at most ``sample`` labels, those with the smallest hash."""
     marks = labels.select(
         F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("quality")
     )
-    chosen = (
+    return (
         marks.where("quality is not null and label_id is not null")
         .groupBy("label_id")
         .agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
+
+
+def labelled_sample(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """Features, bad flags and held-back flags of a bounded sample of labelled rows."""
+    names = list(features())
+    chosen = chosen_labels(labels, sample)
     stats = F.struct(*[column.alias(name) for name, column in features().items()])
     rows = (
         measured.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
@@ -326,8 +331,9 @@ def keep_good(
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    marks = labels.select(F.col("doc_id").alias("known"))
-    taught = plain.join(marks, F.col(key) == F.col("known"), "left_semi")
+    # At most ``sample`` ids, so the texts stay where they are.
+    known = F.broadcast(chosen_labels(labels, sample))
+    taught = plain.join(known, F.col(key) == F.col("label_id"), "left_semi")
     taught = taught.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rules = learn_rules(pinned(measure(taught)), labels, sample)
     counted = plain.withColumn("counts", text_counts(text)).select(*plain.columns, "counts.*")
