@@ -169,7 +169,7 @@ def write_archives(
     names = ("shard", "page_id", "url", "html", "target", "revisit")
     order = ["shard", F.col("page_id").asc_nulls_first(), "url", F.xxhash64("html")]
     sorted_ = (
-        placed.select(*names).repartition(shards, "shard").sortWithinPartitions(*order)
+        placed.select(*names).repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
     )
 
     def write(rows):
