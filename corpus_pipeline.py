@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written and read again."""
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftdesk.llm import line_dedup, packing, quality_rules, simhash, toxicity
 from siftdesk.llm.common import pinned, read_table
@@ -23,23 +23,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each group of near duplicates the smallest doc_id stays.
+    """Operator 5: of each group of near duplicates one row stays.
 
-    Rows that share an id are one document, of which one row stays; so are rows
-    without an id, which stay only where no row of their group has one. The
-    texts are shuffled once, by id, at every size of the input.
+    It is that of the smallest doc_id; rows without an id come last. Every group
+    keeps a row, whatever ids are missing or repeat: rows are told apart by a
+    number written with them. The texts are shuffled once, by that number, at
+    every size of the input.
     """
-    found = simhash.near_duplicates(docs, words=4, radius=4)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = pinned(first.select(F.col("doc_id").alias("kept_id")).distinct())
-    named = docs.join(first.hint("merge"), docs["doc_id"] == first["kept_id"], "left_semi")
-    # The join has sorted the rows by id; the window takes them as they come.
-    by_id = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = named.withColumn("_copy", F.row_number().over(by_id)).where("_copy = 1").drop("_copy")
-    alone = docs.where(F.col("doc_id").isNull())
-    if first.where("kept_id is null").isEmpty():
-        return named
-    return named.unionByName(alone.limit(1))
+    rows = pinned(docs.withColumn("_row", F.monotonically_increasing_id()))
+    kept = pinned(simhash.keepers(rows, "_row", words=4, radius=4))
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,16 +64,20 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs, one row per input row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, words: int = WORDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs, one row per input row.
+
+    The columns in ``also`` stand between the two.
+    """
+    names = ["doc_id", *also]
+    kinds = ", ".join(f"{name} {docs.schema[name].dataType.simpleString()}" for name in names)
 
     def work(rows):
-        for doc_id, text in rows:
+        for *own, text in rows:
             fp = fingerprint(text, words)
-            yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+            yield *own, fp - (1 << 64) if fp >> 63 else fp
 
-    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {kind}, fp long")
+    return map_texts(docs.select(*names, "text"), work, f"{kinds}, fp long")
 
 
 def _ones(low: int, width: int) -> Column:
@@ -278,18 +282,40 @@ def roots(edges: DataFrame) -> DataFrame:
             return tree.select(F.col("child").alias("fp"), F.col("parent").alias("root"))
 
 
+def with_roots(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``distinct``, a row per fingerprint, with the root of its component."""
+    tree = roots(links(distinct, radius, tile))
+    heads = tree.select(F.col("root").alias("fp"), "root").distinct()
+    members = tree.unionByName(heads)
+    return pinned(
+        distinct.join(members, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE
 ) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs`` (doc_id, text)."""
     rows = pinned(fingerprints(docs, words))
     distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tree = roots(links(distinct, radius, tile))
-    heads = tree.select(F.col("root").alias("fp"), "root").distinct()
-    members = tree.unionByName(heads)
-    known = pinned(
-        distinct.join(members, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    )
+    known = with_roots(distinct, radius, tile)
     smallest = pinned(known.groupBy("root").agg(F.min("first").alias("component_id")))
     named = pinned(known.join(smallest, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keepers(
+    docs: DataFrame, row: str, words: int = WORDS, radius: int = RADIUS, tile: int = TILE
+) -> DataFrame:
+    """(row): of each component one row of ``docs`` (doc_id, text and ``row``).
+
+    It is the one with the smallest doc_id, any id being before null; of several
+    that with the smallest fingerprint, then the smallest ``row``, a column that
+    must be written with ``docs`` and differ in every row.
+    """
+    rows = fingerprints(docs, words, also=(row,))
+    # Nulls come first among structs.
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", row)
+    distinct = pinned(rows.groupBy("fp").agg(F.min(best).alias("best")))
+    known = with_roots(distinct, radius, tile)
+    return known.groupBy("root").agg(F.min("best").alias("best")).select(F.col(f"best.{row}"))

@@ -139,6 +139,28 @@ def test_stages_take_empty_and_null_rows(spark, tmp_path):
         assert packing.pack(docs).select("doc_id").count() == len(given)
 
 
+def test_every_group_of_near_copies_keeps_one_row(spark):
+    """Missing and repeated ids cost no group its last document."""
+    rng = random.Random(17)
+    texts = {k: " ".join(rng.choice("abcdefghij") * 3 for _ in range(200)) for k in "ABCDEFG"}
+    rows = [
+        (3, "A"), (5, "A"), (5, "B"), (5, "B"),  # B has no member but the repeated id
+        (None, "A"), (None, "C"), (None, "C"), (None, "D"), (None, "E"),
+        (9, "E"), (8, "F"), (8, "G"),
+    ]
+    rng.shuffle(rows)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    given = [(i, texts[k] + (" tail" if n % 2 else ""), "en", k, n) for n, (i, k) in enumerate(rows)]
+    docs = spark.createDataFrame(given, schema).repartition(3)
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(((r.source, r.doc_id) for r in got)) == [
+        ("A", 3), ("B", 5), ("C", None), ("D", None), ("E", 9), ("F", 8), ("G", 8),
+    ]
+    assert {tuple(r) for r in got} <= set(given)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracles_agree(spark, name):
     import duckdb
