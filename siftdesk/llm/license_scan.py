@@ -15,6 +15,12 @@ shared word alone, so none comes twice. Words of no template never count in an
 overlap and are left out of the blocks, which changes no result. The template
 index is broadcast: its size is that of the templates given.
 
+With ``across_lines`` runs of consecutive words are blocks too, whatever line
+breaks they hold, so a notice that is wrapped is measured as a whole. For a
+template of m words a run has m / ``threshold`` words at most. Only texts that
+hold a word of the template's prefix are looked through, and a run is measured
+where it begins with a word of the template: any other holds no more of it.
+
 Besides, phrases are looked up as consecutive words. Words are
 runs of ASCII letters, digits and non-ASCII characters; only A-Z are lower-cased.
 Everything is built from DataFrame functions.
@@ -105,6 +111,27 @@ def _index_rows(index: dict) -> Column:
     return F.inline(F.array(*rows))
 
 
+def run_length(text: str, threshold: float) -> int:
+    """The most words that a run for a template has."""
+    return int(len(re.findall(r"[a-z0-9]+", text.lower())) / threshold + 1e-9)
+
+
+def best_run(own: str, template: Column, words: list[str], needed: int, length: int) -> Column:
+    """(label, share) of the fullest run, null below ``needed``.
+
+    The column ``own`` has the places and words (at, word) of the template's words.
+    """
+
+    def held(first: Column, k: Column) -> Column:
+        after = F.slice(own, k + 1, F.lit(length))
+        inside = F.filter(after, lambda o: o["at"] < first["at"] + length)
+        return F.size(F.array_distinct(F.transform(inside, lambda o: o["word"])))
+
+    most = F.array_max(F.transform(own, held))
+    share = (most / F.lit(len(words))).alias("share")
+    return F.when(most >= needed, F.struct(template.alias("label"), share))
+
+
 def phrase_places(phrase: str) -> Column:
     """Where the words of the phrase stand consecutively, from 0."""
     parts = phrase.split()
@@ -127,6 +154,7 @@ def scan(
     phrases: dict[str, str] = PHRASES,
     templates: dict[str, str] = TEMPLATES,
     threshold: float = THRESHOLD,
+    across_lines: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_base, first_word,
     last_word, base_labels, labels, score.
@@ -165,6 +193,21 @@ def scan(
         ),
     )
     blocks = F.filter(ordered, lambda block: F.size(block) >= least)
+    runs = F.array().cast("array<struct<label:string,share:double>>")
+    if across_lines and index:
+        # Written out as columns: inside a lambda they would be worked out per word.
+        placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+        hits = F.filter(placed, lambda h: _one_of(h["word"], vocabulary))
+        low = F.transform(hits, lambda h: F.struct(h["at"], F.lower(h["word"]).alias("word")))
+        possible = F.exists("words", lambda w: _one_of(w, rare))
+        read = read.withColumn("hits", F.when(possible, low))
+        made = []
+        for n, (label, (words, needed, _)) in enumerate(index.items()):
+            own = F.filter("hits", lambda h: h["word"].isin(words))
+            read = read.withColumn(f"own{n}", F.when(F.size(own) >= needed, own))
+            length = run_length(templates[label], threshold)
+            made.append(best_run(f"own{n}", F.lit(label), words, needed, length))
+        runs = F.filter(F.array(*made), lambda run: run.isNotNull())
     places = {phrase: phrase_places(phrase) for phrase in phrases}
     based = read.select(
         "doc_id",
@@ -172,6 +215,7 @@ def scan(
         F.size("words").cast("long").alias("n_words"),
         F.array(*places.values()).alias("places"),
         blocks.alias("blocks"),
+        runs.alias("runs"),
     )
     labels = list(phrases.values())
     base = F.array_sort(
@@ -194,6 +238,7 @@ def scan(
         F.array_min(everywhere).cast("long").alias("first_word"),
         F.array_max(everywhere).cast("long").alias("last_word"),
         base.alias("base"),
+        "runs",
         F.explode_outer("blocks").alias("block"),
     )
     prefix = F.slice("block", 1, F.greatest(F.size("block") - least + 1, F.lit(0)))
@@ -217,12 +262,21 @@ def scan(
         "first_word",
         "last_word",
         "base",
+        "runs",
         "label",
         (F.size(common) / F.size("words")).alias("share"),
     )
     per_row = found.groupBy(
-        "row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"
+        "row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "runs"
     ).agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    per_row = per_row.withColumns(
+        {
+            "more": F.array_union("more", F.transform("runs", lambda run: run["label"])),
+            "share": F.greatest(
+                "share", F.array_max(F.transform("runs", lambda run: run["share"]))
+            ),
+        }
+    )
     return per_row.select(
         "doc_id",
         "n_words",

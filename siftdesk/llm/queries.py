@@ -43,7 +43,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+    return license_scan.scan(read_table(spark, sf_dir, "documents"), across_lines=True)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

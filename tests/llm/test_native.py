@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from siftdesk.llm import license_scan, url_lists, warc
+from siftdesk.llm import license_scan, queries, url_lists, warc
 
 PYTHON = re.compile("Python|Pandas|Arrow|ExistingRDD")
 
@@ -90,6 +90,54 @@ def test_scan_of_repeated_rows_and_empty_tables(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+MIT_HEADER = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+BSD_HEADER = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""
+
+
+def brute_runs(text, threshold):
+    """Every run of words against every template, besides the lines."""
+    labels = set(filter(None, brute_scan(text, {}, license_scan.TEMPLATES, threshold)[5].split(",")))
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    for label, template in license_scan.TEMPLATES.items():
+        t = re.findall("[a-z0-9]+", template.lower())
+        size = int(len(t) / threshold + 1e-9)
+        for i in range(len(words)):
+            if len(set(words[i : i + size]) & set(t)) >= threshold * len(set(t)):
+                labels.add(label)
+    return ",".join(sorted(labels))
+
+
+def test_scan_across_lines(spark):
+    notices = [
+        (MIT_HEADER, "mit-grant", 1.0),
+        (BSD_HEADER, "bsd", 1.0),
+        ("x\nReleased under\nthe MIT License\ny", "mit", 1.0),
+        ("Released under" + "\nz" * 20 + "\nthe MIT License", "", 0.0),
+    ]
+    texts = [t for t, _, _ in notices] + [t for t in licence_texts() if t and len(t) < 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = license_scan.scan(docs, phrases={"no such phrase": "none"}, across_lines=True)
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(texts)
+    for i, (_, label, score) in enumerate(notices):
+        assert (got[i].labels, got[i].score) == (label, score)
+    for i, text in enumerate(texts):
+        assert got[i].labels == brute_runs(text, 0.8), text
+    assert not PYTHON.search(final_plan(found).replace("LogicalRDD", ""))
+
+
+def test_query_finds_wrapped_notices(spark, tmp_path):
+    rows = [(1, MIT_HEADER), (2, BSD_HEADER)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op4_license_scan"](spark, str(tmp_path))
+    assert {r.doc_id: r.labels for r in found.collect()} == {1: "mit-grant", 2: "bsd"}
+
+
 DAY = dt.date(2024, 1, 1)
 
 
