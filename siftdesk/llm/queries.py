@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
     bpe,
+    collocations,
     exact_dedup,
     license_scan,
     line_dedup,
+    mixing,
     packing,
     quality_rules,
     simhash,
+    spelling,
     toxicity,
     url_lists,
     warc,
@@ -131,6 +134,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"), min_count=30, top=2000)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"), damage=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -142,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_entropy_mix": op11_entropy_mix,
+    "op12_collocations": op12_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: A-Z lower-cased only, as `translate` does on both engines.
@@ -193,6 +212,101 @@ def _license_sql() -> str:
           LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, a step per byte over a table made by rule."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    codes = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    step = f"xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, 4294967295), 4294967295)"
+
+
+def _collocation_sql() -> str:
+    low = _LOWER
+    return f"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array({low}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        lists AS (
+          SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        grams AS (
+          SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2),
+            lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS phrase
+          FROM lists, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+        f AS (
+          SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+        total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+        frequent AS (SELECT * FROM f WHERE f >= 30),
+        candidates AS (
+          SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM frequent WHERE k >= 2),
+        cuts AS (
+          SELECT c.*, place, h.f AS l, r.f AS r, 2000000 * a // (h.f + r.f) AS score
+          FROM (SELECT *, unnest(range(1, k)) AS place FROM candidates) c
+          JOIN frequent h ON h.lang = c.lang AND h.phrase = array_to_string(list_slice(c.ws, 1, place), ' ')
+          JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.ws, place + 1, c.k), ' ')),
+        lowest AS (
+          SELECT * FROM cuts
+          QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1),
+        inner_ AS (
+          SELECT lang, array_to_string(list_slice(ws, s, s + m - 1), ' ') AS phrase, max(a) AS outer_a
+          FROM (SELECT *, unnest(range(1, k - m + 2)) AS s
+                FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))
+          GROUP BY ALL),
+        kept AS (
+          SELECT x.* FROM lowest x LEFT JOIN inner_ i ON i.lang = x.lang AND i.phrase = x.phrase
+          WHERE i.outer_a IS NULL OR 100 * i.outer_a < 80 * x.a),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+          n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+def _spelling_sql() -> str:
+    """Every pair of words by edit distance; a letter is one byte in ``plain``."""
+    latin = "".join(chr(c) for c in range(0xC0, 0x100))
+    spare = "".join(chr(c) for c in range(0x23, 0x61) if chr(c) not in "\\") + "{|}"
+    spare = spare.replace("'", "''")
+    plain = f"translate(w, '{latin}', '{spare}')"
+    return f"""
+        WITH found AS (
+          SELECT coalesce(doc_id::VARCHAR, '') AS id,
+            unnest(regexp_extract_all({_LOWER}, '[a-z{latin[0]}-{latin[-1]}]+')) AS run FROM documents),
+        runs AS (SELECT id, run, count(*) AS n FROM found GROUP BY ALL),
+        hashed AS (SELECT run, n, {_crc32_sql("id || ':' || run")} AS h FROM runs),
+        spelled AS (
+          SELECT n, CASE WHEN h % 97 = 0
+            THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+            ELSE run END AS w FROM hashed),
+        words AS MATERIALIZED (
+          SELECT w, sum(n)::BIGINT AS n, {plain} AS plain, length(w) AS size FROM spelled
+          WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+        near AS MATERIALIZED (
+          SELECT a.w, a.n, b.w AS other, b.n AS other_n FROM words a JOIN words b
+            ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.w <> b.w
+            AND (left(a.plain, a.size // 2) = left(b.plain, a.size // 2)
+              OR right(a.plain, a.size - a.size // 2 - 1) = right(b.plain, a.size - a.size // 2 - 1))
+            AND levenshtein(a.plain, b.plain) = 1),
+        best AS (
+          SELECT w, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+          FROM near GROUP BY w),
+        formed AS (
+          SELECT w, n, coalesce(n_near, 0) AS n_near,
+            CASE WHEN other_n >= 2 * n THEN other END AS form,
+            CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+          FROM words LEFT JOIN best USING (w)),
+        steps AS (
+          WITH RECURSIVE led(w, last_word) AS (
+            SELECT w, w FROM formed
+            UNION ALL SELECT led.w, formed.form FROM led JOIN formed ON formed.w = led.last_word
+              WHERE formed.form IS NOT NULL)
+          SELECT led.w, led.last_word FROM led JOIN formed ON formed.w = led.last_word WHERE formed.form IS NULL)
+        SELECT f.w AS word, form, s.last_word AS root, n, n_near, form_n FROM formed f JOIN steps s USING (w)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents)
@@ -260,6 +374,8 @@ ORACLE: dict[str, str] = {
         FROM captures LEFT JOIN (
           SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
           FROM hits GROUP BY page_id) h USING (page_id)""",
+    "op12_collocations": _collocation_sql(),
+    "op13_spelling_variants": _spelling_sql(),
     "op9_warc": """
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
