@@ -16,6 +16,8 @@ from siftdesk.session import pinned
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+NO_ID = "no_ticket_id"
+
 REPLY_FIELDS = ("severity", "category", "summary", "suggested_response", "confidence")
 
 ENRICHED_COLUMNS = [
@@ -212,6 +214,9 @@ def score(
     have failed. The first pass sends batches, later ones failed tickets one by
     one, so a ticket is sent ``attempts`` times and never more than the limit.
 
+    A ticket without an id is refused: it has no attempts and the error
+    ``no_ticket_id``.
+
     ``tasks`` spreads every pass over that many tasks. Every pass is written to
     the shared folder with the texts of its failed tickets, so no later step
     calls the scorer a second time and the source is read once. The result has
@@ -219,7 +224,9 @@ def score(
     ticket that failed every time has its last reply. With ``folder`` the
     passes lie below that one.
     """
-    pending = tickets.select(F.col("id").alias("ticket_id"), "title", "description")
+    given = tickets.select(F.col("id").alias("ticket_id"), "title", "description")
+    # Beside a null, pandas would turn whole numbers into doubles.
+    pending = given.where(F.col("ticket_id").isNotNull())
     usable, passes = F.col("parse_error").isNull(), []
     carry = ("attempts", "last_error", "title", "description")
     for attempt in range(1, max_attempts + 1):
@@ -244,4 +251,16 @@ def score(
         pending = parsed.where(~usable).select("ticket_id", "title", "description")
         if pending.isEmpty():
             break
-    return reduce(DataFrame.unionByName, passes)
+    refused = {
+        "model_used": F.lit(model),
+        "prompt_version": F.lit(prompt_version),
+        "tokens_in": F.lit(0),
+        "tokens_out": F.lit(0),
+        "attempts": F.lit(0),
+        "parse_error": F.lit(NO_ID),
+        "last_error": F.lit(NO_ID),
+    }
+    nameless = given.where(F.col("ticket_id").isNull()).select(
+        *[refused.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in passes[0].schema]
+    )
+    return reduce(DataFrame.unionByName, [*passes, nameless])

@@ -582,6 +582,23 @@ _sql(
     **_SCORING,
 )
 
+_sql(
+    "stream_enrich_by_state",
+    "submissions",
+    """SELECT * EXCLUDE (attempts, last_error) REPLACE (CAST(confidence AS DOUBLE) AS confidence)
+    FROM outcome WHERE last_error IS NULL""",
+    **_SCORING,
+)
+
+_sql(
+    "stream_outcomes",
+    "submissions",
+    """SELECT 'enrichments' AS kind, ticket_id, severity AS value FROM outcome WHERE last_error IS NULL
+    UNION ALL SELECT 'changes', ticket_id, 'triaged' FROM outcome WHERE last_error IS NULL
+    UNION ALL SELECT 'failures', ticket_id, last_error FROM outcome WHERE last_error IS NOT NULL""",
+    **_SCORING,
+)
+
 _sql(
     "stream_triaged",
     "submissions",

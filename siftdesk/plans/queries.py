@@ -612,7 +612,7 @@ def stream_intake(spark, sf_dir):
     )
 
 
-def _enriched_stream(spark, sf_dir):
+def _enriched_stream(spark, sf_dir, horizon=None) -> str:
     """Two runs of the enrichment stream: the second brings the tickets of the
     first again, a day later, and the others."""
     out = work_dir(spark, "enrich")
@@ -628,22 +628,49 @@ def _enriched_stream(spark, sf_dir):
         )
         _finish(
             jobs.stream_enrich(
-                tickets, f"{out}/rows", f"{out}/state", length_scorer(), PRICES, MODEL, tasks=tasks
+                tickets,
+                f"{out}/rows",
+                f"{out}/state",
+                length_scorer(),
+                PRICES,
+                MODEL,
+                tasks=tasks,
+                horizon=horizon,
             )
         )
-    return jobs.read_enriched(spark, f"{out}/rows")
+    return f"{out}/rows"
 
 
 @query
 def stream_enrich(spark, sf_dir):
-    done = _enriched_stream(spark, sf_dir)
+    done = jobs.read_enriched(spark, _enriched_stream(spark, sf_dir))
     return _doubles(done, "confidence", "estimated_cost").select(*_SCORED)
 
 
+@query
+def stream_enrich_by_state(spark, sf_dir):
+    """The same stream with its repeats found by Spark's state, across the restart."""
+    done = jobs.read_enriched(spark, _enriched_stream(spark, sf_dir, "3 days"))
+    return _doubles(done, "confidence", "estimated_cost").select(*_SCORED)
+
+
+@query
+def stream_outcomes(spark, sf_dir):
+    """All that the stream's batches have committed, of each kind, per ticket."""
+    out = _enriched_stream(spark, sf_dir)
+    told = {jobs.ENRICHED: "severity", jobs.MOVED: "new_value", jobs.FAILED: "last_error"}
+    parts = [
+        jobs.read_enriched(spark, out, part).select(F.lit(part).alias("kind"), "ticket_id", F.col(name).alias("value"))
+        for part, name in told.items()
+    ]
+    # A ticket that fails is tried again when it comes again.
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 @query
 def stream_triaged(spark, sf_dir):
     """What the enrichments of a stream leave of their tickets' status."""
-    log = jobs.status_changes(_enriched_stream(spark, sf_dir))
+    log = jobs.read_enriched(spark, _enriched_stream(spark, sf_dir), jobs.MOVED)
     return changes.current_state(_submitted(spark, sf_dir), log, ("status",)).select("id", "status")
 
 

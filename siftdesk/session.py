@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,3 +76,30 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that a job made for itself, in whatever store it lies."""
     store, found = _hadoop_path(spark, path)
     store.delete(found, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    store, found = _hadoop_path(spark, path)
+    if not store.exists(found):
+        return []
+    return [entry.getPath().getName() for entry in store.listStatus(found)]
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote the folder has been committed."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

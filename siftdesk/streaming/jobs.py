@@ -9,13 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftdesk.constants import DEFAULT_PROMPT_VERSION, ENRICHED_STATUS, MAX_ATTEMPTS
 from siftdesk.functions.replies import Prices
-from siftdesk.operators.enrichment import Scorer, as_enrichments, score
+from siftdesk.operators.enrichment import ENRICHED_COLUMNS, Scorer, score
 from siftdesk.operators.intake import as_tickets, check_submissions, external_source, form_source
 from siftdesk.operators.relations import earliest_per
-from siftdesk.session import exists, pinned, remove, work_dir
+from siftdesk.functions.text import key_from
+from siftdesk.schemas import ENRICHMENTS
+from siftdesk.session import children, is_complete, pinned, remove, setting, work_dir
+from siftdesk.streaming import ledger
 
-# Folders of the ledger; a stream must keep the number it began with.
-LEDGER_BUCKETS = 64
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 TICKET_SIDE = "accepted"
 REJECT_SIDE = "rejected"
@@ -70,32 +73,39 @@ def read_intake(spark: SparkSession, out: str, side: str = TICKET_SIDE) -> DataF
     return spark.read.parquet(out).where(F.col("side") == side).drop("side")
 
 
-def _ledger_schema(key: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("ticket_id", key), T.StructField("batch_id", T.LongType())])
+def _unseen(batch: DataFrame, batch_id: int, listed: str) -> DataFrame:
+    """Tickets of the batch that no other batch has enriched, whatever their day."""
+    return ledger.unseen(batch, batch_id, listed)
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(LEDGER_BUCKETS)).cast("int")
+#: What a batch commits together, by kind: enrichments with the move of their
+#: ticket's status, and the tickets whose scoring failed.
+ENRICHED, MOVED, FAILED = "enrichments", "changes", "failures"
 
+_MOVE_COLUMNS = ["ticket_id", "field", "new_value", "requested_at", "seq"]
+_FAILED_COLUMNS = [*ENRICHED_COLUMNS, "parse_error", "attempts", "last_error"]
 
-def _unseen(batch: DataFrame, batch_id: int, ledger: str) -> DataFrame:
-    """Tickets of the batch that no other batch has enriched, whatever their day.
 
-    The ledger lists enriched tickets in a fixed number of folders by a hash of
-    the id; only those of the batch's ids are opened.
-    """
-    spark = batch.sparkSession
-    touched = [row[0] for row in batch.select(_bucket("id")).distinct().collect()]
-    folders = [f"{ledger}/bucket={n}" for n in sorted(touched)]
-    there = [path for path in folders if exists(spark, path)]
-    if not there:
-        return batch
-    known = spark.read.schema(_ledger_schema(batch.schema["id"].dataType)).parquet(*there)
-    ids = batch.select(F.col("id").alias("_id"))
-    # The batch's few ids cut the ledger down where it is read.
-    seen = known.where(F.col("batch_id") != batch_id).select("ticket_id")
-    seen = seen.join(ids, F.col("ticket_id") == F.col("_id"), "left_semi").distinct()
-    return batch.join(seen, batch["id"] == seen["ticket_id"], "left_anti")
+def _committed_rows(scored: DataFrame) -> DataFrame:
+    """Outcomes as rows of one wide table with their ``kind``, from one pass."""
+    usable = F.col("parse_error").isNull()
+    kinds = F.when(usable, F.array(F.lit(ENRICHED), F.lit(MOVED))).otherwise(F.array(F.lit(FAILED)))
+    rows = scored.withColumn("kind", F.explode(kinds))
+    enriched, moved = F.col("kind") == ENRICHED, F.col("kind") == MOVED
+    at = F.localtimestamp()
+    made = {
+        "id": F.when(enriched, key_from(F.lit("enrichment"), F.col("ticket_id"))),
+        "created_at": F.when(enriched, at),
+        "updated_at": F.when(enriched, at),
+        "field": F.when(moved, "status"),
+        "new_value": F.when(moved, ENRICHED_STATUS),
+        "requested_at": F.when(moved, at),
+        "seq": F.when(moved, F.lit(0).cast("long")),
+    }
+    for name in scored.columns:
+        if name != "ticket_id":
+            made[name] = F.when(~moved, F.col(name))
+    return rows.withColumns(made)
 
 
 def enrich_batch(
@@ -109,35 +119,47 @@ def enrich_batch(
     prompt_version: str = DEFAULT_PROMPT_VERSION,
     max_attempts: int = MAX_ATTEMPTS,
     tasks: int | None = None,
+    known: bool = True,
 ) -> None:
-    """Enrich one micro-batch into folders of its own.
+    """Enrich one micro-batch into a folder of its own.
 
-    A batch that is run again replaces its own folders and does not count what
-    the ledger has of it, so no ticket is enriched twice and none is lost.
-    Intermediate frames are removed when the batch is done.
+    All that the batch changes is one partitioned write, which readers see when
+    its job is committed. A batch that is run again replaces its folder and does
+    not count what the ledger has of it, so no ticket is enriched twice and none
+    is lost. Intermediate frames are removed when the batch is done. Without
+    ``known`` there is no ledger: the stream has no repeats.
     """
     spark = batch.sparkSession
     scratch = work_dir(spark, f"enrich-{batch_id}")
+    listed, key = f"{out}/ledger", batch.schema["id"].dataType
     try:
-        fresh = pinned(earliest_per(batch, "id", ["created_at", "title", "description"]), scratch)
-        fresh = pinned(_unseen(fresh, batch_id, f"{out}/ledger"), scratch)
+        fresh = earliest_per(batch, "id", ["created_at", "title", "description"])
+        if known:
+            with ledger.pushing(spark):
+                ledger.merge(spark, listed, key, batch_id)
+                fresh = pinned(_unseen(pinned(fresh, scratch), batch_id, listed), scratch)
         scored = score(fresh, scorer, prices, model, prompt_version, max_attempts, tasks, scratch)
-        target = f"{out}/{{}}/batch_id={batch_id}"
-        usable = F.col("parse_error").isNull()
-        scored.where(~usable).write.mode("overwrite").parquet(target.format("failures"))
-        as_enrichments(scored).write.mode("overwrite").parquet(target.format("enrichments"))
-        done = scored.where(usable).select(
-            "ticket_id",
-            F.lit(batch_id).cast("long").alias("batch_id"),
-            _bucket("ticket_id").alias("bucket"),
-        )
-        # Written last: the ledger names only what is there. A bucket gets one file.
-        listed = done.repartition("bucket").write.mode("append").partitionBy("bucket")
-        listed.parquet(f"{out}/ledger")
+        # One job, one commit: an enrichment is there with its ticket's move or not at all.
+        rows = _committed_rows(scored).write.mode("overwrite").partitionBy("kind")
+        rows.option("partitionOverwriteMode", "static").parquet(f"{out}/batches/batch_id={batch_id}")
+        if known:
+            # Written last: the ledger names only what is there.
+            ledger.add(scored.where("parse_error is null"), batch_id, listed)
     finally:
         remove(spark, scratch)
 
 
+def without_repeats(tickets: DataFrame, horizon: str) -> DataFrame:
+    """Tickets whose id has not arrived for ``horizon``, by Spark's own keyed state.
+
+    Time is that of arrival, so no ticket is late, whatever its own dates say.
+    The state holds the ids of the horizon and lets go of older ones.
+    """
+    dated = tickets.withColumn("_arrived_at", F.current_timestamp())
+    timed = dated.withWatermark("_arrived_at", horizon)
+    return timed.dropDuplicatesWithinWatermark(["id"]).drop("_arrived_at")
+
+
 def stream_enrich(
     tickets: DataFrame,
     out: str,
@@ -149,12 +171,14 @@ def stream_enrich(
     max_attempts: int = MAX_ATTEMPTS,
     tasks: int | None = None,
     every: str | None = None,
+    horizon: str | None = None,
 ) -> StreamingQuery:
     """Enrich each arriving ticket once.
 
     Repeated triggers are found in the batch and in the ledger of enriched
-    tickets, by id alone. A watermark would bound the search, but it drops late
-    tickets.
+    tickets, by id alone and without end; a ticket that failed may come again.
+    With ``horizon``, such as '7 days', there is no ledger: Spark's state store
+    keeps the ids that arrived in that time, failed ones too.
     """
     run = partial(
         enrich_batch,
@@ -165,14 +189,23 @@ def stream_enrich(
         prompt_version=prompt_version,
         max_attempts=max_attempts,
         tasks=tasks,
+        known=horizon is None,
     )
-    writer = tickets.writeStream.foreachBatch(lambda df, n: run(df, n))
-    return _start(writer, checkpoint, every)
-
-
-def read_enriched(spark: SparkSession, out: str, part: str = "enrichments") -> DataFrame:
-    """``enrichments`` or ``failures`` of all batches."""
-    return spark.read.parquet(f"{out}/{part}").drop("batch_id")
+    rows = tickets if horizon is None else without_repeats(tickets, horizon)
+    writer = rows.writeStream.foreachBatch(lambda df, n: run(df, n))
+    with setting(tickets.sparkSession, _STATE_STORE, _ROCKS_DB):
+        return _start(writer, checkpoint, every)
+
+
+def read_enriched(spark: SparkSession, out: str, part: str = ENRICHED) -> DataFrame:
+    """``enrichments``, ``changes`` or ``failures`` of all committed batches."""
+    batches = [f"{out}/batches/{name}" for name in children(spark, f"{out}/batches")]
+    batches = [path for path in batches if is_complete(spark, path)]
+    names = {ENRICHED: ENRICHMENTS.fieldNames(), MOVED: _MOVE_COLUMNS, FAILED: _FAILED_COLUMNS}[part]
+    if not batches:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    whole = spark.read.option("basePath", f"{out}/batches").parquet(*batches)
+    return whole.where(F.col("kind") == part).select(*names)
 
 
 def status_changes(enrichments: DataFrame) -> DataFrame:
