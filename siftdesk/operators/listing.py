@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftdesk.constants import PAGE_DEFAULT, PAGE_MAX
 from siftdesk.operators.relations import with_enrichment
+from siftdesk.operators.sequences import with_global_position
 from siftdesk.schemas import TICKET_COLUMNS
 
 LIST_ENRICHMENT = ["severity", "category", "confidence"]
@@ -187,3 +188,27 @@ def page_ranges(df: DataFrame, page_size: int) -> DataFrame:
         end.cast("long").alias("range_end"),
         F.lit(total).cast("long").alias("total"),
     )
+
+
+def numbered_pages(df: DataFrame, page_size: int, order: str = "desc", slices: int | None = None) -> DataFrame:
+    """Every ticket with its row number, its page and the page's range of rows.
+
+    ``df`` has created_at and id. Numbers come from ranges of the order and the
+    rows before each range, so no task orders the whole list.
+    """
+    if page_size < 1:
+        raise ValueError("page_size must be at least 1")
+    total = df.count()
+    keys = [F.col("created_at"), F.col("id")]
+    keys = [key.asc() if is_ascending(order) else key.desc() for key in keys]
+    placed = with_global_position(df, keys, slices)
+    before = F.expr(f"(row - 1) div {page_size}")
+    paged = placed.withColumnRenamed("position", "row").withColumns(
+        {"page": before + 1, "range_start": before * page_size + 1}
+    )
+    return paged.withColumns(
+        {
+            "range_end": F.least(F.col("range_start") + page_size - 1, F.lit(total).cast("long")),
+            "total": F.lit(total).cast("long"),
+        }
+    )

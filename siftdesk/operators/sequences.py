@@ -138,3 +138,25 @@ def lookup(df: DataFrame, side: DataFrame, hot: HotKeys, how: str = "left") -> D
         unkeyed = df.where(F.col(hot.column).isNull())
         joined = joined.unionByName(unkeyed, allowMissingColumns=True)
     return joined
+
+
+def with_global_position(df: DataFrame, order: list[Column], slices: int | None = None) -> DataFrame:
+    """Add ``position``, counting all rows from 1 in the given order.
+
+    Rows are cut into ranges of neighbours, numbered inside each and moved on by
+    the rows of the ranges before; no task sees more than its range. The order
+    must be total for the numbers to be the same every time.
+    """
+    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    # The bounds come from a sample, so the slice numbers are pinned.
+    sliced = pinned(ranged.withColumn(_SLICE, F.spark_partition_id()))
+    sizes = sliced.groupBy(_SLICE).agg(F.count("*").alias("_rows"))
+    # One row per slice.
+    earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col(_SLICE).alias("_of"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+    )
+    own = F.row_number().over(Window.partitionBy(_SLICE).orderBy(*order))
+    numbered = sliced.withColumn("position", own.cast("long"))
+    joined = numbered.join(offsets, F.col(_SLICE) == F.col("_of"))
+    return joined.withColumn("position", F.col("position") + F.col("_offset")).select(*df.columns, "position")

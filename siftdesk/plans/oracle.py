@@ -297,6 +297,16 @@ FROM (SELECT count(*) AS n FROM tickets) c, unnest(generate_series(1, CAST(ceil(
 """,
 )
 
+_sql(
+    "ticket_pages",
+    "tickets",
+    """
+SELECT id, r AS row, (r - 1) // 45 + 1 AS page, (r - 1) // 45 * 45 + 1 AS range_start,
+  least((r - 1) // 45 * 45 + 45, n) AS range_end, n AS total
+FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r, count(*) OVER () AS n FROM tickets) x
+""",
+)
+
 _DETAIL = (
     "id severity category summary suggested_response confidence model_used prompt_version "
     "tokens_in tokens_out estimated_cost raw_response created_at"
@@ -729,6 +739,22 @@ SELECT a.*, row_number() OVER (PARTITION BY a.ticket_id ORDER BY a.created_at DE
 FROM agent_actions a JOIN tickets t ON a.ticket_id = t.id WHERE a.override_field = 'status'
 """,
 )
+_sql(
+    "updated_in_place",
+    "tickets agent_actions",
+    """
+SELECT t.id, coalesce(l.status, t.status) AS status,
+  greatest(coalesce(l.moved_at, t.updated_at), t.updated_at) AS updated_at
+FROM tickets t LEFT JOIN (SELECT ticket_id, max(new_value) FILTER (n = 1) AS status,
+  max(created_at) FILTER (old_value <> new_value) AS moved_at FROM chained GROUP BY ticket_id) l
+  ON t.id = l.ticket_id
+""",
+    chained="""
+SELECT a.*, row_number() OVER (PARTITION BY a.ticket_id ORDER BY a.created_at DESC, a.id DESC) AS n,
+  coalesce(lag(a.new_value) OVER (PARTITION BY a.ticket_id ORDER BY a.created_at, a.id), t.status) AS old_value
+FROM agent_actions a JOIN tickets t ON a.ticket_id = t.id WHERE a.override_field = 'status' AND a.ticket_id % 50 = 7
+""",
+)
 _sql(
     "current_labels",
     "ai_enrichments agent_actions",

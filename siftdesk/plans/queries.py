@@ -14,7 +14,7 @@ from siftdesk.functions import display, text
 from siftdesk.functions.replies import Prices, token_cost
 from siftdesk.operators import changes, enrichment, intake, listing, metrics, relations
 from siftdesk.session import work_dir
-from siftdesk.sources import evolution, tables
+from siftdesk.sources import buckets, evolution, tables
 from siftdesk.sources.standins import base_table, standin, standin_frame
 from siftdesk.streaming import jobs
 
@@ -245,6 +245,12 @@ def page_ranges(spark, sf_dir):
     return listing.page_ranges(_tickets(spark, sf_dir), 45)
 
 
+@query
+def ticket_pages(spark, sf_dir):
+    keys = _tickets(spark, sf_dir).select("id", "created_at")
+    return listing.numbered_pages(keys, 45).select("id", "row", "page", "range_start", "range_end", "total")
+
+
 @query
 def ticket_detail(spark, sf_dir):
     detail = relations.ticket_detail(_tickets(spark, sf_dir), _enrichments(spark, sf_dir))
@@ -579,6 +585,18 @@ def current_state(spark, sf_dir):
     return state.select("id", "status", "updated_at")
 
 
+@query
+def updated_in_place(spark, sf_dir):
+    """Tickets in buckets after the status changes of some of the buckets."""
+    path = f"{work_dir(spark, 'tickets')}/rows"
+    tickets = _tickets(spark, sf_dir)
+    buckets.save_in_buckets(tickets, path, buckets=100)
+    log = _change_log(spark, sf_dir).where((F.col("field") == "status") & (F.col("ticket_id") % 50 == 7))
+    buckets.update_in_buckets(spark, path, tickets.schema, log, ("status",), buckets=100)
+    state = buckets.read_in_buckets(spark, path, tickets.schema)
+    return state.select("id", "status", "updated_at")
+
+
 @query
 def apply_enrichments(spark, sf_dir):
     found, _ = enrichment.split_parsed(_parsed(spark, sf_dir, fields=()))
