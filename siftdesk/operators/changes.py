@@ -110,7 +110,16 @@ def _logged(chained: DataFrame, now: DataFrame, fields: tuple[str, ...], hot: Ho
     return known.withColumn("old_value", old)
 
 
-def _audit_rows(logged: DataFrame, action_type: str, agent: Column) -> DataFrame:
+def with_table_value(
+    requests: DataFrame, table: DataFrame, key: str, fields: tuple[str, ...], hot: HotKeys
+) -> DataFrame:
+    """Requests of known tickets with ``now_value``, the table's value of their field."""
+    known = lookup(requests, _now_values(table, key, fields), hot, "inner")
+    valued = known.withColumn("now_value", _current_of(F.col("field"), fields))
+    return valued.drop(*[f"now_{name}" for name in fields])
+
+
+def audit_rows(logged: DataFrame, action_type: str, agent: Column) -> DataFrame:
     key = text.key_from(
         F.lit(action_type), F.col("ticket_id"), F.col("field"), F.col("requested_at"), F.col("seq")
     )
@@ -181,7 +190,7 @@ def apply_overrides(
     logged = _logged(chained, now, OVERRIDABLE_FIELDS, hot)
     return Applied(
         _with_changes(enrichments, "ticket_id", chained, OVERRIDABLE_FIELDS),
-        _audit_rows(logged, "override", F.col("agent_id")),
+        audit_rows(logged, "override", F.col("agent_id")),
         override_rejects(checked),
     )
 
@@ -190,6 +199,19 @@ def _valid_status_request() -> Column:
     return F.col("status").isNull() | rules.valid_status(F.col("status"))
 
 
+def requested_values(requests: DataFrame) -> DataFrame:
+    """Valid status requests as one row per field that they set."""
+    per_field = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("new_value")) for f in STATUS_FIELDS]
+    )
+    return (
+        requests.where(_valid_status_request())
+        .select("ticket_id", "agent_id", *ORDER, F.explode(per_field).alias("change"))
+        .select("ticket_id", "agent_id", *ORDER, "change.field", "change.new_value")
+        .where(F.col("new_value").isNotNull())
+    )
+
+
 def status_rejects(tickets: DataFrame, requests: DataFrame, hot: HotKeys) -> DataFrame:
     c = F.col
     known = tickets.select(c("id").alias("ticket_id"), F.lit(True).alias("_ticket"))
@@ -217,22 +239,14 @@ def apply_status_changes(
     assignment never is, and '' is a value to assign.
     """
     hot = hot or find_hot(requests, "ticket_id", hot_rows)
-    per_field = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("new_value")) for f in STATUS_FIELDS]
-    )
-    changes = (
-        requests.where(_valid_status_request())
-        .select("ticket_id", "agent_id", *ORDER, F.explode(per_field).alias("change"))
-        .select("ticket_id", "agent_id", *ORDER, "change.field", "change.new_value")
-        .where(F.col("new_value").isNotNull())
-    )
+    changes = requested_values(requests)
     chained = _chained(changes, hot)
     logged = _logged(
         chained.where(F.col("field") == "status"), _now_values(tickets, "id", ("status",)), ("status",), hot
     ).where(~F.col("old_value").eqNullSafe(F.col("new_value")))
     return Applied(
         _with_changes(tickets, "id", chained, STATUS_FIELDS),
-        _audit_rows(logged, "status_change", text.agent_or_system(F.col("agent_id"), SYSTEM_AGENT)),
+        audit_rows(logged, "status_change", text.agent_or_system(F.col("agent_id"), SYSTEM_AGENT)),
         status_rejects(tickets, requests, hot),
     )
 

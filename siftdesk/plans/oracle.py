@@ -654,6 +654,7 @@ SELECT ticket_id, agent_id, 'override' AS action_type, field AS override_field,
 }
 _sql("apply_overrides_state", _OVERRIDE_VIEWS, "SELECT * EXCLUDE (estimated_cost) FROM state", **_OVERRIDES)
 _sql("apply_overrides_log", _OVERRIDE_VIEWS, "SELECT * FROM log", **_OVERRIDES)
+_sql("stream_overrides_log", _OVERRIDE_VIEWS, "SELECT * FROM log", **_OVERRIDES)
 _sql(
     "apply_overrides_rejects",
     _OVERRIDE_VIEWS,

@@ -16,7 +16,7 @@ from siftdesk.operators import changes, enrichment, intake, listing, metrics, re
 from siftdesk.session import work_dir
 from siftdesk.sources import buckets, evolution, tables
 from siftdesk.sources.standins import base_table, standin, standin_frame
-from siftdesk.streaming import jobs
+from siftdesk.streaming import jobs, requests as request_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -700,3 +700,26 @@ def stream_counts(spark, sf_dir):
     actions = standin_frame("agent_actions", events=events)
     _finish(jobs.stream_counts(actions, "action_type", f"{out}/rows", f"{out}/state"))
     return jobs.read_counts(spark, f"{out}/rows")
+
+
+def _override_stream(spark, sf_dir) -> str:
+    """Override requests in three micro-batches, cut by time."""
+    out = work_dir(spark, "overrides")
+    asked = standin(spark, sf_dir, "override_requests")
+    span = asked.agg(F.expr("percentile(unix_seconds(requested_at::timestamp), array(0.3, 0.7))")).first()[0]
+    second = F.expr("unix_seconds(requested_at::timestamp)")
+    for low, high in zip([None, *span], [*span, None]):
+        part = asked.where(F.lit(low is None) | (second >= F.lit(low)))
+        part = part.where(F.lit(high is None) | (second < F.lit(high)))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/inbox")
+    stream = jobs.read_stream(spark, f"{out}/inbox", asked.schema, "parquet", files_per_batch=1)
+    present = _tickets(spark, sf_dir).where(F.col("id") % 16 != 3)
+    _finish(
+        request_streams.stream_overrides(present, _enrichments(spark, sf_dir), stream, f"{out}/rows", f"{out}/state")
+    )
+    return f"{out}/rows"
+
+
+@query
+def stream_overrides_log(spark, sf_dir):
+    return request_streams.override_actions(spark, _override_stream(spark, sf_dir)).drop("id")

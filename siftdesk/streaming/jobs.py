@@ -40,12 +40,17 @@ def read_stream(
     return reader.load(folder)
 
 
-def _start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
+def start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
 
+def state_store() -> tuple[str, str]:
+    """The setting under which a query keeps its state on RocksDB, not in memory."""
+    return _STATE_STORE, _ROCKS_DB
+
+
 def checked_intake(submissions: DataFrame, external: bool) -> DataFrame:
     """Submissions as ticket rows with ``errors`` and ``side``; works on a stream."""
     source = external_source(submissions) if external else form_source(submissions)
@@ -66,7 +71,7 @@ def stream_intake(
     """
     checked = checked_intake(submissions, external)
     writer = checked.writeStream.format("parquet").partitionBy("side").option("path", out)
-    return _start(writer, checkpoint, every)
+    return start(writer, checkpoint, every)
 
 
 def read_intake(spark: SparkSession, out: str, side: str = TICKET_SIDE) -> DataFrame:
@@ -193,8 +198,8 @@ def stream_enrich(
     )
     rows = tickets if horizon is None else without_repeats(tickets, horizon)
     writer = rows.writeStream.foreachBatch(lambda df, n: run(df, n))
-    with setting(tickets.sparkSession, _STATE_STORE, _ROCKS_DB):
-        return _start(writer, checkpoint, every)
+    with setting(tickets.sparkSession, *state_store()):
+        return start(writer, checkpoint, every)
 
 
 def read_enriched(spark: SparkSession, out: str, part: str = ENRICHED) -> DataFrame:
@@ -240,7 +245,7 @@ def stream_counts(
     writer = counts.writeStream.outputMode("complete").foreachBatch(
         lambda df, n: _replace_counts(df, n, out)
     )
-    return _start(writer, checkpoint, every)
+    return start(writer, checkpoint, every)
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
