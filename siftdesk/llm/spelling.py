@@ -9,10 +9,11 @@ that share no letter, the rarest such pair, chosen by dynamic programming.
 One edit destroys one of two disjoint bigrams at most. So of two words one edit
 apart, the one whose prefix ends earlier in the global order (both, if they end
 alike) has a pivot that stands in the other one's prefix: the surviving bigram
-comes no later than the end of either prefix. Position and length leave five
-ways only: same length and same place, or one letter more or less and the place
-the same or moved with it. Each pivot is therefore looked up under five exact
-keys (bigram, place, length), and what is found is verified.
+comes no later than the end of either prefix. Its place is the same or moved by
+the one letter that the other word has more or less, and as the edit lies on one
+side of it, the letters on the other side are the same. Each pivot is therefore
+looked up under six exact keys (bigram, place, length, side and the letters
+there), and what is found is verified.
 
 The words have at most 90 different letters, so there are at most 8100 bigrams
 and their order fits in every task at any size of the input. Words that stand
@@ -29,7 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import empty_if_null, map_texts, pinned
 
@@ -151,6 +152,22 @@ def choose_pivots(prefix: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return pair
 
 
+def letter_mask(word: str) -> int:
+    """Up to three of each of 21 classes of letters, a bit each.
+
+    One letter more or less changes one bit at most, so one edit changes two.
+    """
+    mask = 0
+    for letter in word:
+        bit = 1 << ord(letter) % 21 * 3
+        for _ in range(3):
+            if not mask & bit:
+                mask |= bit
+                break
+            bit <<= 1
+    return mask
+
+
 def signature(word: str, order: dict[str, int]) -> tuple[int, list, list]:
     """(rank of the prefix's end, prefix, pivots), bigrams as (rank, place)."""
     grams = sorted((order[word[i : i + 2]], i) for i in range(len(word) - 1))
@@ -163,51 +180,90 @@ def signature(word: str, order: dict[str, int]) -> tuple[int, list, list]:
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """(word, n, length, last, prefix, pivots); a bigram is rank * 2^32 + place."""
+    """(word, n, length, last, mask, prefix, pivots); a bigram is rank * 2^32 + place."""
     order = gram_order(words)
 
     def work(rows):
         for word, n in rows:
             last, prefix, pivots = signature(word, order)
             coded = [[(rank << 32) + place for rank, place in some] for some in (prefix, pivots)]
-            yield word, n, len(word), last, *coded
+            yield word, n, len(word), last, letter_mask(word), *coded
 
-    schema = "word string, n long, length int, last int, prefix array<long>, pivots array<long>"
+    schema = "word string, n long, length int, last int, mask long, prefix array<long>, pivots array<long>"
     return map_texts(words.select("word", "n"), work, schema, texts=())
 
 
+#: How a pivot may stand in a word one edit away: places moved, letters more, and
+#: whether the letters before it (or those behind it) are then the same in both.
+_WAYS = (
+    (0, 0, True),
+    (0, 0, False),
+    (0, 1, True),
+    (1, 1, False),
+    (0, -1, True),
+    (-1, -1, False),
+)
+
+
+def _key(gram: Column, length: Column, before: Column, word: Column, place: Column) -> Column:
+    """One number for a bigram at a place, the word's length and its letters on one side."""
+    side = F.when(before, F.substring(word, F.lit(1), place)).otherwise(
+        F.substring(word, place + 3, F.char_length(word))
+    )
+    return F.xxhash64(gram, length, before, side)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): words one edit apart, every pair once or more.
+    """(a, n_a, b, n_b): pairs of words one edit apart, each once and in one order.
 
-    ``words`` has (word, n); words of fewer than five letters are not meant.
+    ``words`` has (word, n); words of fewer than five letters are not meant. The
+    one edit lies before the pivot or behind it, so the letters on the other side
+    are the same: they are part of the key, and hot bigrams make no large groups.
     """
     signed = pinned(signatures(words))
-    # (places moved, letters more) from a word with the pivot to its partner.
     ways = F.array(*[
-        F.struct(F.lit(moved).alias("moved"), F.lit(more).alias("more"))
-        for moved, more in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))
+        F.struct(F.lit(moved).alias("moved"), F.lit(more).alias("more"), F.lit(before).alias("before"))
+        for moved, more, before in _WAYS
     ])
+    sides = F.array(F.lit(True), F.lit(False))
+    place = F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     asking = (
-        signed.select("word", "n", "length", "last", F.explode("pivots").alias("pivot"))
+        signed.select("word", "n", "length", "last", "mask", F.explode("pivots").alias("gram"))
         .select("*", F.explode(ways).alias("way"))
         .select(
+            _key(
+                F.col("gram") + F.col("way.moved"),
+                F.col("length") + F.col("way.more"),
+                F.col("way.before"),
+                F.col("word"),
+                place,
+            ).alias("key"),
             F.col("word").alias("a"),
             F.col("n").alias("n_a"),
             F.col("last").alias("last_a"),
-            (F.col("pivot") + F.col("way.moved")).alias("gram"),
-            (F.col("length") + F.col("way.more")).alias("length"),
+            F.col("mask").alias("mask_a"),
         )
     )
-    indexed = signed.select(
-        F.col("word").alias("b"),
-        F.col("n").alias("n_b"),
-        F.col("last").alias("last_b"),
-        "length",
-        F.explode("prefix").alias("gram"),
+    indexed = (
+        signed.select("word", "n", "length", "last", "mask", F.explode("prefix").alias("gram"))
+        .select("*", F.explode(sides).alias("before"))
+        .select(
+            _key(F.col("gram"), F.col("length"), F.col("before"), F.col("word"), place).alias("key"),
+            F.col("word").alias("b"),
+            F.col("n").alias("n_b"),
+            F.col("last").alias("last_b"),
+            F.col("mask").alias("mask_b"),
+        )
     )
-    one_apart = F.levenshtein("a", "b", 1) == 1
-    found = asking.join(indexed, ["gram", "length"]).where(F.col("last_a") <= F.col("last_b"))
-    return found.where(one_apart).select("a", "n_a", "b", "n_b")
+    # The letters tell most candidates off before their order is compared.
+    alike = F.bit_count(F.col("mask_a").bitwiseXOR(F.col("mask_b"))) <= 2
+    one_apart = (F.col("last_a") <= F.col("last_b")) & alike & (F.levenshtein("a", "b", 1) == 1)
+    # Sizes known before the lists are unfolded say nothing, so nothing is broadcast.
+    found = asking.hint("merge").join(indexed, "key").where(one_apart)
+    first = F.col("a") < F.col("b")
+    ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("n_a", "n_b"))]
+    ordered += [F.when(first, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("a", "b"), ("n_a", "n_b"))]
+    return found.select(*ordered).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -245,8 +301,8 @@ def variants(
         raise ValueError("min_letters must be at least 5 and ratio at least 2")
     words = pinned(word_counts(docs, id_col, text_col, min_letters, min_count, damage))
     pairs = near_pairs(words)
-    either = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n"))
-    either = either.union(pairs.select("b", "a", "n_a")).distinct()
+    ends = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"n_{y}").alias("near_n")) for x, y in ("ab", "ba")]
+    either = pairs.select(F.inline(F.array(*ends)))
     best = either.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     )
