@@ -18,7 +18,7 @@ empty table gives no pieces. Other columns are not read.
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -147,30 +147,42 @@ def pack(
         "sequence_id long, offset long"
     )
 
-    def pack_group(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = frame["ids"].map(len).to_numpy() // 4
+    def pack_group(table: pa.Table) -> pa.Table:
+        ids, starts = table.column("ids").to_pylist(), table.column("start").to_pylist()
+        # As Python values, long ids stay whole beside a null.
+        docs_of = table.column("doc_id").to_pylist()
         # The order of arrival is not fixed; a full order makes reruns equal.
-        frame = frame.assign(size=-sizes, crc=frame["ids"].map(zlib.crc32)).sort_values(
-            ["size", "doc_id", "start", "crc"], kind="stable", ignore_index=True
+        order = sorted(
+            range(len(ids)),
+            key=lambda i: (
+                -len(ids[i]),
+                docs_of[i] is not None,
+                0 if docs_of[i] is None else docs_of[i],
+                starts[i],
+                zlib.crc32(ids[i]),
+            ),
         )
-        sizes = (-frame["size"]).tolist()
+        sizes = [len(ids[i]) // 4 for i in order]
         bins = [[(i, 0, sizes[i]) for i in one] for one in first_fit_decreasing(sizes, length)]
         bins = top_up(bins, length, slack)
-        rows = [(i, a, b, n, part) for n, one in enumerate(bins) for part, (i, a, b) in enumerate(one)]
-        at, a, b, n, part = (np.array(c, dtype=np.int64) for c in zip(*rows))
-        taken = frame.iloc[at].reset_index(drop=True)
-        end = pd.Series(b - a).groupby(n).cumsum().to_numpy()
-        return pd.DataFrame(
-            {
-                "doc_id": taken["doc_id"],
-                "start": taken["start"].to_numpy() + a,
-                "length": b - a,
-                "ids": [x[4 * i : 4 * j] for x, i, j in zip(taken["ids"], a.tolist(), b.tolist())],
-                "doc_tokens": taken["doc_tokens"],
-                "sequence_id": (taken["group"].to_numpy() << 32) + n,
-                "offset": end - (b - a),
-            }
-        )
+        rows = [(order[i], a, b, n) for n, one in enumerate(bins) for i, a, b in one]
+        at, a, b, n = (np.array(c, dtype=np.int64) for c in zip(*rows))
+        taken = b - a
+        before = np.cumsum(taken) - taken
+        firsts = np.flatnonzero(np.diff(n, prepend=-1))
+        offset = before - np.repeat(before[firsts], np.diff(firsts, append=len(n)))
+        places = pa.array(at)
+        group = table.column("group")[0].as_py()
+        columns = {
+            "doc_id": table.column("doc_id").take(places),
+            "start": pa.array(np.array(starts, dtype=np.int64)[at] + a),
+            "length": pa.array(taken),
+            "ids": pa.array([ids[i][4 * x : 4 * y] for i, x, y, _ in rows], pa.binary()),
+            "doc_tokens": table.column("doc_tokens").take(places),
+            "sequence_id": pa.array((group << 32) + n),
+            "offset": pa.array(offset),
+        }
+        return pa.table(columns)
 
     cut = pieces(docs, groups, path, length, end_id)
-    return cut.groupBy("group").applyInPandas(pack_group, schema)
+    return cut.groupBy("group").applyInArrow(pack_group, schema)

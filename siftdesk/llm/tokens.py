@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -43,8 +44,12 @@ def definition(path: str) -> dict:
         return json.load(file)
 
 
+#: Longer chunks and words are not cached: text without spaces repeats little.
+LONGEST = 64
+
+
 class Cache:
-    """A dictionary of at most twice ``limit`` entries; old ones leave first."""
+    """A dictionary of at most twice ``limit`` short entries; old ones leave first."""
 
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
@@ -58,6 +63,8 @@ class Cache:
         return value
 
     def put(self, key, value) -> None:
+        if len(key) > LONGEST:
+            return
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -79,7 +86,7 @@ class ChunkEncoder:
     def __init__(
         self,
         path: str,
-        encode_words: Callable[[list[str]], list[list[int]]],
+        encode_words: Callable[[list[str]], list],
         chunks: int = 200_000,
         words: int = 200_000,
     ):
@@ -125,7 +132,7 @@ class ChunkEncoder:
             else:
                 ids[word] = known
         for word, made in zip(unseen, self.encode_words(unseen)):
-            ids[word] = packed = pack(made)
+            ids[word] = packed = made if type(made) is bytes else pack(made)
             self.words.put(word, packed)
         found = {}
         for chunk, many in zip(new, pieces):
@@ -187,15 +194,38 @@ def byte_letters() -> list[str]:
     return letters
 
 
-def library_words(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of words by the tokenizers library's model, past its normaliser and
-    word pattern, which have done their work by then."""
-    tokenize = load(path).model.tokenize
+def library_words(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Packed ids of words by the tokenizers library.
+
+    Words of ASCII letters are their own normal form and one word of the pattern
+    each, so thousands of them go through the library as one text; the others go
+    word by word to its model, past its normaliser and word pattern, which have
+    done their work by then.
+    """
+    tokenizer = load(path)
+    tokenize = tokenizer.model.tokenize
     letters = dict(enumerate(byte_letters()))
 
-    def words(new: list[str]) -> list[list[int]]:
-        spelled = [word.encode("utf-8").decode("latin-1").translate(letters) for word in new]
-        return [[token.id for token in tokenize(word)] for word in spelled]
+    def one(word: str) -> bytes:
+        spelled = word.encode("utf-8").decode("latin-1").translate(letters)
+        return pack([token.id for token in tokenize(spelled)])
+
+    def together(words: list[str]) -> list[bytes] | None:
+        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, numbers = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+        if len(starts) != len(words):
+            return None
+        packed, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def words(new: list[str]) -> list[bytes]:
+        plain = [word for word in new if word.isascii() and word.isalpha()]
+        known: dict[str, bytes] = {}
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            known.update(zip(some, together(some) or map(one, some)))
+        return [known[word] if word in known else one(word) for word in new]
 
     return words
 

@@ -173,3 +173,22 @@ def test_packing_query_columns(spark, tmp_path):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(empty).count() == 0 and bpe.token_digests(empty).count() == 0
+
+
+def test_long_ids_beside_a_null_one(spark):
+    rows = [(2**60 + 1, "a b c"), (None, "d"), (5, "e"), (2**60 + 3, None)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id for r in packed} == {2**60 + 1, None, 5, 2**60 + 3}
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
+
+
+def test_words_together_are_the_words_one_by_one():
+    path = tokens.word_bpe_path()
+    words = tokens.library_words(path)
+    draw = random.Random(9)
+    some = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(1, 14))) for _ in range(9000)]
+    some = list(dict.fromkeys(some)) + ["été", "9", "'s", "!?", "中文"]
+    library = tokens.load(path)
+    assert [list(tokens.unpack(x)) for x in words(some)] == [
+        library.encode(w, add_special_tokens=False).ids for w in some
+    ]
