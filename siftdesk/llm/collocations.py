@@ -102,7 +102,9 @@ class Part:
     def rows(self, number: int) -> Iterator[tuple]:
         """(part, language, word, local, n, skip, ids): one row of numbers, then one per word."""
         ids = np.concatenate(self.ids)
-        yield number, None, None, None, None, self.skip, ids.astype("<u4").tobytes()
+        # All lowest bytes first: the highest are zeros and vanish when compressed.
+        planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
+        yield number, None, None, None, None, self.skip, planes.tobytes()
         n = np.bincount(ids[self.skip :], minlength=len(self.words) + 1).tolist()
         for local, (language, word) in enumerate(self.words, 1):
             yield number, language, word, local, n[local], None, None
@@ -170,8 +172,10 @@ def count_part(numbers: np.ndarray, skip: int, width: int, longest: int) -> Iter
         starts = len(numbers) - words + 1
         columns = [numbers[max(0, skip - words + 1) + i : starts + i] for i in range(words)]
         whole = np.logical_and.reduce([column > 0 for column in columns])
-        packed = layout.pack([column[whole] for column in columns])
-        yield layout, counted(layout, *layout.permute(*packed))
+        sides = layout.pack([column[whole] for column in columns])
+        del whole, columns
+        sides = layout.permute(*sides)
+        yield layout, counted(layout, *sides)
 
 
 def phrase_counts(
@@ -204,15 +208,18 @@ def phrase_counts(
     def count(given: pa.Table, known: pa.Table) -> pa.Table:
         made = []
         local = known.column("local").to_numpy()
-        lookup = np.zeros(int(local.max(initial=0)) + 1, np.uint64)
+        lookup = np.zeros(int(local.max(initial=0)) + 1, np.uint32)
         lookup[local] = known.column("number").to_numpy()
         for part, skip, ids in zip(*[given.column(c).to_pylist() for c in ("part", "skip", "ids")]):
-            numbers = np.frombuffer(ids, "<u4")
+            numbers = np.frombuffer(ids, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
             # Words behind the last frequent one have no place in the look-up.
             numbers = lookup[np.where(numbers < len(lookup), numbers, 0)]
             for layout, found in count_part(numbers, skip, width, longest):
                 made += [(words, bucket, part, entries) for words, bucket, entries in _slices(layout, found, bits)]
-        return pa.Table.from_batches([batch(made)])
+        table = pa.Table.from_batches([batch(made)])
+        # The worker goes on to other groups; what Arrow has freed is given back.
+        pa.default_memory_pool().release_unused()
+        return table
 
     ids = written.where("ids is not null").select("part", "skip", "ids")
     local = (
@@ -228,6 +235,7 @@ def phrase_counts(
         def run(table: pa.Table) -> pa.Table:
             length, bucket, shard = (table.column(c)[0].as_py() for c in ("words", "bucket", "shard"))
             layout = Layout(length, width)
+            pa.default_memory_pool().release_unused()
             held = [decode(layout, data, top, bucket) for data in table.column("entries").to_pylist()]
             all_ = merge(layout, held)
             if not last:

@@ -162,8 +162,8 @@ def decode(layout: Layout, data: bytes, top: int = 0, prefix: int = 0) -> Counts
     ends = np.flatnonzero(np.unpackbits(take(-(-entries // 8)), count=entries))
     lengths = np.diff(ends, prepend=-1)
     quotients = np.repeat(np.flatnonzero(occupied).astype(np.uint64), lengths)
-    remainders = _joined(take(entries * _plane_count(rest)), entries, rest)
-    right = _joined(take(entries * _plane_count(layout.right_bits)), entries, layout.right_bits)
+    remainders = _joined(take(_plane_size(entries, rest)), entries, rest)
+    right = _joined(take(_plane_size(entries, layout.right_bits)), entries, layout.right_bits)
     n = take(entries).astype(np.uint64)
     n[n == _LARGE] = np.frombuffer(data, "<u8", large, at)
     left = (quotients << np.uint64(rest)) | remainders
@@ -191,18 +191,26 @@ def cut(layout: Layout, some: Counts, top: int) -> list[tuple[int, Counts]]:
     ]
 
 
-def _plane_count(bits: int) -> int:
-    return -(-bits // 8)
+def _plane_size(entries: int, bits: int) -> int:
+    return entries * (bits // 8) + bits % 8 * -(-entries // 8)
 
 
 def _planes(values: np.ndarray, bits: int) -> bytes:
-    """Whole bytes of each value, the lowest of all values first: zeros meet and compress."""
+    """The lowest byte of all values, then the next; single bits where no byte is full."""
     spread = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return spread[:, : _plane_count(bits)].T.tobytes()
+    parts = [spread[:, : bits // 8].T.tobytes()]
+    if bits % 8:
+        over = spread[:, bits // 8]
+        parts += [np.packbits((over >> bit) & 1).tobytes() for bit in range(bits % 8)]
+    return b"".join(parts)
 
 
 def _joined(data: np.ndarray, entries: int, bits: int) -> np.ndarray:
     spread = np.zeros((entries, 8), np.uint8)
-    count = _plane_count(bits)
-    spread[:, :count] = data.reshape(count, entries).T
+    whole = bits // 8
+    spread[:, :whole] = data[: whole * entries].reshape(whole, entries).T
+    size = -(-entries // 8)
+    for bit in range(bits % 8):
+        at = whole * entries + bit * size
+        spread[:, whole] |= np.unpackbits(data[at : at + size], count=entries) << bit
     return spread.reshape(-1).view("<u8").astype(np.uint64)
