@@ -6,6 +6,15 @@ from siftdesk.llm import line_dedup, packing, quality_rules, simhash, toxicity
 from siftdesk.llm.common import pinned, read_table
 
 
+def _places(names: list[str]) -> list[str]:
+    return [f"c{i}" for i in range(len(names))]
+
+
+def _by_place(docs: DataFrame) -> DataFrame:
+    """Columns named by their place, so that no added one has the name of another."""
+    return docs.toDF(*_places(docs.columns))
+
+
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the learned rules and the base rules accept."""
     return quality_rules.keep_good(docs, read_table(spark, sf_dir, "labels"))
@@ -18,8 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without the lines that repeat elsewhere."""
-    left = line_dedup.dedup_documents(docs).toDF(*docs.columns, "_lines", "_dropped")
-    return left.select(*docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    names = docs.columns
+    left = line_dedup.dedup_documents(docs)
+    left = _by_place(left).select(*_places(names)).toDF(*names)
+    if "n_chars" not in names:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +43,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     number written with them. The texts are shuffled once, by that number, at
     every size of the input.
     """
-    rows = pinned(docs.withColumn("_row", F.monotonically_increasing_id()))
-    kept = pinned(simhash.keepers(rows, "_row", words=4, radius=4))
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    names = docs.columns
+    rows = pinned(_by_place(docs).withColumn("row", F.monotonically_increasing_id()))
+    own = [F.col(f"c{names.index(name)}").alias(name) for name in ("doc_id", "text")]
+    kept = pinned(simhash.keepers(rows.select(*own, "row"), "row", words=4, radius=4))
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*_places(names)).toDF(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
