@@ -26,7 +26,7 @@ def test_stages_are_the_dealt_ones():
     assert corpus_pipeline.ORACLE_SQL is None
     found = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
-    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 
@@ -192,3 +192,17 @@ print("ROWS", queries.op10_bpe(spark, {SMALL!r}).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "ROWS 200" in done.stdout, done.stderr[-2000:]
+
+
+def test_columns_pass_through_whatever_their_names(spark):
+    line = "a line that stands in very many of the documents, word for word"
+    rows = [(i, f"{line}\nown words {i} of a text number {i * 7919} alone", 7, 8, "l", "d", i, None) for i in range(6)]
+    names = "doc_id long, text string, _row long, row long, _lines string, _dropped string, drops long, c0 long"
+    docs = spark.createDataFrame(rows, names)
+    left = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, left, "")
+    assert left.columns == kept.columns == docs.columns
+    for frame in (left, kept):
+        for r in frame.collect():
+            assert (r._row, r.row, r._lines, r._dropped, r.drops, r.c0) == (7, 8, "l", "d", r.doc_id, None)
+    assert sum(line in r.text for r in left.collect()) == 1
