@@ -1,7 +1,8 @@
 """URL filters: a temporal join of captures with dated list entries.
 
 An entry adds a pattern to a list or removes it, from a day on. A pattern is a
-host, which stands for its subdomains too, or a host with the beginning of a
+host, which stands for its subdomains too (a bare ``zip`` for a whole top-level
+domain), or a host with the beginning of a
 path in whole segments. Per list and pattern the entries become validity
 intervals [from, to) that end where the next entry begins. A capture meets the
 patterns that its URL falls under, and of each list's intervals the one that is
@@ -38,14 +39,15 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def url_keys(url: Column, depth: int) -> Column:
-    """The patterns a URL falls under: its host, the parent domains of two labels
-    or more, and the host with its first 1 to ``depth`` path segments."""
+def url_keys(url: Column, depth: int, least_labels: int = 1) -> Column:
+    """The patterns a URL falls under: its host, the parent domains of
+    ``least_labels`` labels or more, and the host with its first 1 to ``depth``
+    path segments."""
     host = url_host(url)
     labels = F.split(host, r"\.")
     count = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(count - least_labels + 1, F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, count), "."),
     )
     keys = domains
@@ -124,14 +126,17 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     the entries active that day, ``lists`` names their lists.
     """
     history = pinned(validity_intervals(entries))
-    deepest = history.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    listed = F.split("key", "/")
+    labels = F.size(F.split(F.get(listed, F.lit(0)), r"\."))
+    # Keys that no pattern can have are not made.
+    deepest, shortest = history.agg(F.max(F.size(listed) - 1), F.min(labels)).first()
     rows = captures.select(
         F.monotonically_increasing_id().alias("row"),
         "page_id",
         "url",
         F.col("fetched_on").cast("date").alias("fetched_on"),
     )
-    keyed = rows.select("*", F.explode_outer(url_keys(F.col("url"), deepest)).alias("own"))
+    keyed = rows.select("*", F.explode_outer(url_keys(F.col("url"), deepest or 0, shortest or 1)).alias("own"))
     active = F.filter(
         "history",
         lambda x: (x["since"] <= F.col("fetched_on"))

@@ -162,7 +162,7 @@ def brute_active(url, at, entries):
         latest[key] = max(latest.get(key, step), step)
     for (name, h, segs), (_, removed) in latest.items():
         covers = host == h and tuple(path[: len(segs)]) == segs if segs else (
-            host == h or host.endswith("." + h) and "." in h
+            host == h or host.endswith("." + h)
         )
         if covers and not removed:
             active.append(name)
@@ -201,6 +201,18 @@ def test_lists_against_brute_force(spark):
     assert not PYTHON.search(final_plan(found).replace("LogicalRDD", ""))
 
 
+def test_top_level_domains_are_hosts_too(spark):
+    captures = spark.createDataFrame(
+        [(1, "http://a.evil.zip/", DAY), (2, "http://zip/p", DAY), (3, "http://zip.com/", DAY)],
+        "page_id long, url string, fetched_on date",
+    )
+    entry = "list string, pattern string, action string, dated_on date"
+    for pattern, blocked in (("ZIP.", {1, 2}), ("evil.zip", {1}), ("zip.com", {3})):
+        listed = spark.createDataFrame([("s", pattern, "add", DAY)], entry)
+        found = url_lists.evaluate(captures, listed).where("blocked").collect()
+        assert {r.page_id for r in found} == blocked
+
+
 def test_lists_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.com", DAY)], "page_id long, url string, fetched_on date")
     entries = spark.createDataFrame([("s", "a.com", "add", DAY)], "list string, pattern string, action string, dated_on date")
