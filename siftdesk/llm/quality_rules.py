@@ -29,7 +29,6 @@ from .common import pinned, ship_package
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 SAMPLE = 20_000
-CUTS = 200
 MAX_RULES = 24
 MAX_CONDITIONS = 4
 MIN_PRECISION = 0.9
@@ -163,13 +162,9 @@ def covers(rule: Rule, values: dict[str, np.ndarray], rows: np.ndarray) -> np.nd
 
 
 def _cuts(x: np.ndarray) -> np.ndarray:
-    """Midpoints between neighbouring values, thinned out to ``CUTS``."""
+    """All midpoints between neighbouring values."""
     found = np.unique(x)
-    middle = (found[1:] + found[:-1]) / 2
-    if len(middle) > CUTS:
-        at = np.unique(np.quantile(x, np.linspace(0, 1, CUTS + 1), method="nearest"))
-        middle = np.unique(middle[np.clip(np.searchsorted(middle, at), 0, len(middle) - 1)])
-    return middle
+    return (found[1:] + found[:-1]) / 2
 
 
 def best_condition(values: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray):
