@@ -9,8 +9,8 @@ Learning: of the labelled rows at most ``sample`` (smallest hash of the id) are
 taken. Feature counts per class are summed by Spark, and the ``kept`` features
 that tell the classes apart best are weighted by logistic regression. In
 labelled sentences that mention a group (the identity terms below) the mention
-is swapped for another group's; the loss adds the squared change of the score,
-so words that only name a group cannot carry weight and neutral mentions are not
+is swapped for another group's; the loss adds the squared change of the score
+sentence by sentence, so opposite swaps do not cancel and words that only name a group cannot carry weight and neutral mentions are not
 taken for toxic ones.
 
 Scores read the text alone. Defined results: null texts are empty; an empty text
@@ -65,8 +65,11 @@ IDENTITY_TERMS = {
 SWAPS: dict[bytes, list[bytes]] = {}
 for _terms in IDENTITY_TERMS:
     _group = [term.encode() for term in _terms.split()]
-    for _term in _group:
-        SWAPS[_term] = [other for other in _group if other != _term]
+    for _term in _terms.split():
+        _others = [other for other in _group if other != _term.encode()]
+        # Words are lower-cased in A-Z alone, so other capitals are keys of their own.
+        _capital = "".join(c if c.isascii() else c.upper() for c in _term)
+        SWAPS[_term.encode()] = SWAPS[_capital.encode()] = _others
 
 #: Everything but ASCII letters and digits and non-ASCII bytes parts words.
 _PARTING = bytes(
@@ -97,18 +100,16 @@ def feature_values(words: list[bytes]) -> dict[int, float]:
     return found
 
 
-def swapped_change(text: bytes) -> dict[int, float]:
-    """How the features change if the sentences that mention a group mention another.
-
-    Empty for texts without identity terms.
-    """
+def swapped_changes(text: bytes) -> Iterator[dict[int, float]]:
+    """How the features of each sentence that mentions a group change if it
+    mentions another; nothing for texts without identity terms."""
     if SWAPS.keys().isdisjoint(words_of(text)):
-        return {}
-    change: dict[int, float] = {}
+        return
     for sentence in text.translate(_SENTENCE_ENDS).split(b"."):
         words = words_of(sentence)
         if SWAPS.keys().isdisjoint(words):
             continue
+        change: dict[int, float] = {}
         swapped = []
         for word in words:
             others = SWAPS.get(word)
@@ -116,15 +117,17 @@ def swapped_change(text: bytes) -> dict[int, float]:
         for sign, version in ((1.0, swapped), (-1.0, words)):
             for feature, value in feature_values(version).items():
                 change[feature] = change.get(feature, 0.0) + sign * value
-    return {feature: value for feature, value in change.items() if abs(value) > 1e-9}
+        yield {feature: value for feature, value in change.items() if abs(value) > 1e-9}
 
 
 @dataclass
 class Model:
-    """An intercept and the weights of hashed features."""
+    """An intercept, the weights of hashed features, and how many swapped
+    sentences the penalty saw."""
 
     intercept: float = 0.0
     weights: dict[int, float] = field(default_factory=dict)
+    swapped: int = 0
 
     def word_weight(self, word: bytes) -> float:
         weights = self.weights
@@ -168,8 +171,11 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return one.select("text", "toxic")
 
 
-def choose_features(rows: DataFrame, kept: int = KEPT) -> list[int]:
-    """The features that tell toxic rows from others best, by their z-score."""
+def choose_features(rows: DataFrame, kept: int | None = KEPT) -> list[int]:
+    """The features that tell toxic rows from others best, by their z-score.
+
+    None keeps all that occur in ``MIN_DOCS`` rows of the sample.
+    """
 
     def count(pairs):
         sums: dict[int, list[int]] = {}
@@ -196,8 +202,9 @@ def choose_features(rows: DataFrame, kept: int = KEPT) -> list[int]:
         .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         .where(F.col("n") >= MIN_DOCS)
         .orderBy(worth.desc(), "feature")
-        .limit(kept)
     )
+    if kept is not None:
+        best = best.limit(kept)
     return [r["feature"] for r in best.collect()]
 
 
@@ -256,7 +263,9 @@ def fit(x: Sparse, toxic: np.ndarray, change: Sparse, steps: int = STEPS) -> tup
     return b, w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int | None = KEPT
+) -> Model:
     """A model from the labelled rows of ``docs`` outside the held-out fold."""
     rows = pinned(labelled(docs, labels, sample))
     chosen = choose_features(rows, kept)
@@ -268,7 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int =
 
     def vectors(pairs):
         for text, toxic in pairs:
-            for values, kind in ((feature_values(words_of(text)), 0), (swapped_change(text), 1)):
+            own = [(feature_values(words_of(text)), 0)]
+            for values, kind in own + [(change, 1) for change in swapped_changes(text)]:
                 held = [(place[f], v) for f, v in values.items() if f in place]
                 if held or not kind:
                     yield kind, int(toxic == 1), [i for i, _ in held], [v for _, v in held]
@@ -289,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int =
         sides.append(Sparse(row, column, value, (len(part), len(chosen))))
     toxic = made.loc[made["kind"] == 0, "toxic"].to_numpy(np.float64)
     intercept, weights = fit(sides[0], toxic, sides[1])
-    return Model(intercept, dict(zip(chosen, weights.tolist())))
+    return Model(intercept, dict(zip(chosen, weights.tolist())), sides[1].shape[0])
 
 
 def score_column(model: Model, text: str | Column = "text") -> Column:

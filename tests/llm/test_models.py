@@ -152,6 +152,36 @@ def test_group_names_carry_no_weight(spark, monkeypatch):
     assert fair.score(neutral, Cache(99)) < 0.5 < fair.score(b"you scum w1 w2", Cache(99))
 
 
+def test_every_swapped_sentence_counts():
+    changes = list(toxicity.swapped_changes("The gay man. No one! The straight man.".encode()))
+    assert len(changes) == 2 and all(changes)
+    for word in ("étrangers", "Étrangers", "ÉTRANGERS"):
+        assert len(list(toxicity.swapped_changes(f"les {word} chantent".encode()))) == 1
+    assert not list(toxicity.swapped_changes(b"nobody is named"))
+
+
+def test_fit_against_newton():
+    """The minimum of the loss, found by another method on dense matrices."""
+    rng = np.random.default_rng(4)
+    x, change = rng.random((80, 6)).round(1), rng.normal(size=(15, 6)).round(1)
+    toxic = (rng.random(80) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1, -2, 0.5])))).astype(float)
+
+    def sparse(m):
+        row, column = np.nonzero(m)
+        return toxicity.Sparse(row, column, m[row, column], m.shape)
+
+    b, w = toxicity.fit(sparse(x), toxic, sparse(change), steps=4000)
+    full, at = np.hstack([np.ones((80, 1)), x]), np.zeros(7)
+    penalty = np.zeros((7, 7))
+    penalty[1:, 1:] = toxicity.RIDGE * np.eye(6) / 80
+    penalty[1:, 1:] += toxicity.COUNTERFACTUAL * change.T @ change / 15
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ at))
+        slope = full.T @ (p - toxic) / 80 + penalty @ at
+        at = at - np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) / 80 + penalty, slope)
+    assert np.allclose([b, *w], at, atol=1e-4)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
