@@ -21,6 +21,9 @@ template of m words a run has m / ``threshold`` words at most. Only texts that
 hold a word of the template's prefix are looked through, and a run is measured
 where it begins with a word of the template: any other holds no more of it.
 
+Short notices of different licences share most of their words, so a template can
+name telling words; after the check of the overlap a block or run must hold them all.
+
 Besides, phrases are looked up as consecutive words. Words are
 runs of ASCII letters, digits and non-ASCII characters; only A-Z are lower-cased.
 Everything is built from DataFrame functions.
@@ -58,6 +61,9 @@ TEMPLATES = {
 
 THRESHOLD = 0.8
 
+#: Words without which a block is another licence's notice, however alike.
+TELLING = {"mit": "mit", "apache-2.0": "apache 2", "gpl-3": "3", "cc-by-nc-4.0": "nc 4"}
+
 
 def template_words(text: str) -> list[str]:
     """Distinct words of an ASCII template, in order."""
@@ -96,7 +102,7 @@ def template_index(templates: dict[str, list[str]], order: list[str], threshold:
     return index
 
 
-def _index_rows(index: dict) -> Column:
+def _index_rows(index: dict, telling: dict[str, str]) -> Column:
     rows = [
         F.struct(
             F.lit(word).alias("word"),
@@ -104,6 +110,7 @@ def _index_rows(index: dict) -> Column:
             F.lit(label).alias("label"),
             F.lit(needed).alias("needed"),
             _strings(words).alias("words"),
+            _strings(telling.get(label, "").split()).alias("telling"),
         )
         for label, (words, needed, prefix) in index.items()
         for i, word in enumerate(words[:prefix])
@@ -116,8 +123,10 @@ def run_length(text: str, threshold: float) -> int:
     return int(len(re.findall(r"[a-z0-9]+", text.lower())) / threshold + 1e-9)
 
 
-def best_run(own: str, template: Column, words: list[str], needed: int, length: int) -> Column:
-    """(label, share) of the fullest run, null below ``needed``.
+def best_run(
+    own: str, template: Column, words: list[str], needed: int, length: int, telling: list[str]
+) -> Column:
+    """(label, share) of the fullest run with all of ``telling``, null below ``needed``.
 
     The column ``own`` has the places and words (at, word) of the template's words.
     """
@@ -125,7 +134,12 @@ def best_run(own: str, template: Column, words: list[str], needed: int, length:
     def held(first: Column, k: Column) -> Column:
         after = F.slice(own, k + 1, F.lit(length))
         inside = F.filter(after, lambda o: o["at"] < first["at"] + length)
-        return F.size(F.array_distinct(F.transform(inside, lambda o: o["word"])))
+        met = F.array_distinct(F.transform(inside, lambda o: o["word"]))
+        if not telling:
+            return F.size(met)
+        # As template words are distinct, so are those of them that are met.
+        told = F.size(F.filter(met, lambda word: word.isin(telling))) == len(telling)
+        return F.when(told, F.size(met)).otherwise(0)
 
     most = F.array_max(F.transform(own, held))
     share = (most / F.lit(len(words))).alias("share")
@@ -155,13 +169,16 @@ def scan(
     templates: dict[str, str] = TEMPLATES,
     threshold: float = THRESHOLD,
     across_lines: bool = False,
+    telling: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_base, first_word,
     last_word, base_labels, labels, score.
 
     ``score`` is the greatest share of a template found in a block, 1 where a
-    phrase occurs, and 0 where nothing does.
+    phrase occurs, and 0 where nothing does. ``telling`` has, by label, words of
+    the template that a block must hold whatever its share.
     """
+    telling = telling or {}
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     sets = {label: template_words(text) for label, text in templates.items()}
@@ -206,7 +223,8 @@ def scan(
             own = F.filter("hits", lambda h: h["word"].isin(words))
             read = read.withColumn(f"own{n}", F.when(F.size(own) >= needed, own))
             length = run_length(templates[label], threshold)
-            made.append(best_run(f"own{n}", F.lit(label), words, needed, length))
+            told = telling.get(label, "").split()
+            made.append(best_run(f"own{n}", F.lit(label), words, needed, length, told))
         runs = F.filter(F.array(*made), lambda run: run.isNotNull())
     places = {phrase: phrase_places(phrase) for phrase in phrases}
     based = read.select(
@@ -243,7 +261,7 @@ def scan(
     )
     prefix = F.slice("block", 1, F.greatest(F.size("block") - least + 1, F.lit(0)))
     probes = based.select("*", F.posexplode_outer(prefix).alias("j", "probe"))
-    rows = spark.range(1).select(_index_rows(index))
+    rows = spark.range(1).select(_index_rows(index, telling))
     left = F.size("block") - F.col("j") - 1
     common = F.array_intersect("block", "words")
     match = (
@@ -253,6 +271,7 @@ def scan(
         & (1 + F.least(left, F.size("words") - F.col("i") - 1) >= F.col("needed"))
         & (F.get(common, F.lit(0)) == F.col("probe"))
         & (F.size(common) >= F.col("needed"))
+        & (F.size(F.array_except("telling", "block")) == 0)
     )
     found = probes.join(F.broadcast(rows), match, "left").select(
         "row",

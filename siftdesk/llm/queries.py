@@ -46,7 +46,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read_table(spark, sf_dir, "documents"), across_lines=True)
+    docs = read_table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, across_lines=True, telling=license_scan.TELLING)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,18 +171,21 @@ _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
 
 def _license_sql() -> str:
-    """Phrases word by word; every line against every template by brute force."""
+    """Phrases word by word; every line and every run against every template by
+    brute force."""
     phrases = ", ".join(
         f"({phrase.split()!r}, '{label}')" for phrase, label in license_scan.PHRASES.items()
     )
     templates = ", ".join(
-        f"({license_scan.template_words(text)!r}, '{label}')"
+        f"({license_scan.template_words(text)!r}, '{label}', "
+        f"{license_scan.TELLING.get(label, '').split()!r}::VARCHAR[], "
+        f"{license_scan.run_length(text, license_scan.THRESHOLD)})"
         for label, text in license_scan.TEMPLATES.items()
     )
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
         WITH phrases(p, label) AS (VALUES {phrases}),
-        templates(t, label) AS (VALUES {templates}),
+        templates(t, label, telling, size) AS (VALUES {templates}),
         d AS (SELECT doc_id, {_LOWER} AS low FROM documents),
         w AS (SELECT doc_id, low, regexp_extract_all(low, '{pattern}') AS words FROM d),
         places AS (
@@ -194,9 +198,25 @@ def _license_sql() -> str:
         lines AS (
           SELECT doc_id, list_distinct(regexp_extract_all(line, '{pattern}')) AS ws
           FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+        hits AS (
+          SELECT doc_id, place, word FROM (
+            SELECT doc_id, unnest(range(len(words))) AS place, unnest(words) AS word FROM w)
+          WHERE word IN (SELECT unnest(t) FROM templates)),
+        runs AS (
+          SELECT doc_id, label, t,
+            count(DISTINCT word) OVER run AS held,
+            count(DISTINCT CASE WHEN list_contains(telling, word) THEN word END) OVER run
+              = len(telling) AS told
+          FROM hits JOIN templates ON list_contains(t, word)
+          WINDOW run AS (PARTITION BY doc_id, label ORDER BY place
+            RANGE BETWEEN CURRENT ROW AND (size - 1) FOLLOWING)),
         matched AS (
           SELECT doc_id, label, len(list_intersect(t, ws)) / len(t) AS share
-          FROM lines, templates WHERE len(list_intersect(t, ws)) >= 0.8 * len(t)),
+          FROM lines, templates
+          WHERE len(list_intersect(t, ws)) >= 0.8 * len(t) AND list_has_all(ws, telling)
+          UNION ALL
+          SELECT doc_id, label, max(held) / len(any_value(t)) AS share
+          FROM runs WHERE told AND held >= 0.8 * len(t) GROUP BY doc_id, label),
         shares AS (SELECT doc_id, max(share) AS share FROM matched GROUP BY doc_id),
         own AS (
           SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels

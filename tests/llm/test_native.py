@@ -138,6 +138,39 @@ def test_query_finds_wrapped_notices(spark, tmp_path):
     assert {r.doc_id: r.labels for r in found.collect()} == {1: "mit-grant", 2: "bsd"}
 
 
+ALIKE = [
+    ("Released under the BSD License", ""),
+    ("Released under the\nBSD License", ""),
+    ("Released under the MIT License", "mit"),
+    ("Licensed under CC BY-SA 4.0", "cc-by"),
+    ("Licensed under\nCC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2", "gpl"),
+    ("This work is licensed under the GNU\nGeneral Public License, version 3", "gpl,gpl-3"),
+    ("MIT\nRedistribution of notes\nReleased under the BSD License", "mit"),
+]
+
+
+def test_telling_words_and_the_sql(spark, tmp_path):
+    import duckdb
+
+    texts = [t for t, _ in ALIKE] + [MIT_HEADER, BSD_HEADER, *licence_texts()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op4_license_scan"](spark, str(tmp_path))
+    got = {r.doc_id: tuple(r)[1:] for r in found.collect()}
+    for i, (text, labels) in enumerate(ALIKE[:-1]):
+        assert got[i][5] == labels, text
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ", ".join(found.columns)
+    want = base.execute(f"SELECT {names} FROM ({queries.ORACLE['op4_license_scan']})").fetchall()
+    assert len(want) == len(got) == len(texts)
+    for doc_id, *row in want:
+        assert got[doc_id][:-1] == tuple(row[:-1]), texts[doc_id]
+        assert got[doc_id][-1] == pytest.approx(row[-1])
+    assert sum("mit" in r[5] for r in got.values()) > 10
+
+
 DAY = dt.date(2024, 1, 1)
 
 
