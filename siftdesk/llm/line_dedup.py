@@ -15,13 +15,20 @@ document id that holds them. Lines with a large share of all occurrences are
 broadcast (their counts sum to the occurrences, so at most ``1 / HOT_SHARE`` of
 them exist); all others are joined by shuffle, split by adaptive execution.
 
-Hashes are MD5 over the line's key, 128 bits. Documents reach a batch by a hash
+The runs outlive the session: ``save`` writes down which runs lie in which
+level, and ``open`` takes them up again for further batches.
+
+Hashes are MD5 over the line's key, 128 bits. The lines that a row loses depend
+on its id and text alone, so they are gathered by id and MD5 of the text: however
+many rows share an id, the null one included, no list is longer than the lines of
+one text. Documents reach a batch by a hash
 of their id, so rows that share an id are one document and meet in one batch;
 all null ids are one document, smaller than any other. Null and empty texts
 have one empty line. Empty tables give empty results.
 """
 
 import hashlib
+import json
 import uuid
 import zlib
 
@@ -49,20 +56,22 @@ def line_key(line: bytes, min_code_points: int) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame, batches: int, min_code_points: int) -> DataFrame:
-    """(batch, doc_id, key): each long enough line of a row once."""
+    """(batch, doc_id, digest, key): each long enough line of a row once; the
+    digest is that of the whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(rows):
         for doc_id, text in rows:
             batch = zlib.crc32(str(doc_id).encode()) % batches
-            keys = {line_key(line, min_code_points) for line in text.split(b"\n")}
-            for key in keys - {None}:
-                yield batch, doc_id, key
+            keys = {line_key(line, min_code_points) for line in text.split(b"\n")} - {None}
+            digest = hashlib.md5(text).digest() if keys else None
+            for key in keys:
+                yield batch, doc_id, digest, key
 
     return map_texts(
         docs.select("doc_id", "text"),
         work,
-        f"batch int, doc_id {kind}, key binary",
+        f"batch int, doc_id {kind}, digest binary, key binary",
         rows=20_000,
     )
 
@@ -95,6 +104,40 @@ class LineStore:
             remove(self.spark, folder)
         self.folders.clear()
 
+    def save(self, path: str) -> None:
+        """Write down the levels and runs; the runs' own files stay where they are."""
+        fields = self.spark.table(self.repeats[0]).schema if self.repeats else []
+        made = {
+            "buckets": self.buckets,
+            "fan": self.fan,
+            "levels": self.levels,
+            "repeats": self.repeats,
+            "folders": self.folders,
+            "columns": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields),
+        }
+        row = self.spark.range(1).select(F.lit(json.dumps(made)).alias("manifest"))
+        row.coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "LineStore":
+        """The store that was saved at ``path``, its runs known to this session."""
+        made = json.loads(spark.read.schema("manifest string").json(path).first()["manifest"])
+        store = cls(spark, made["fan"], made["buckets"])
+        store.levels, store.repeats = made["levels"], made["repeats"]
+        store.folders = made["folders"]
+        for name, folder in store.folders.items():
+            if not spark.catalog.tableExists(name):
+                spark.sql(
+                    f"CREATE TABLE {name} ({made['columns']}) USING parquet CLUSTERED BY (key) "
+                    f"SORTED BY (key) INTO {store.buckets} BUCKETS LOCATION '{folder}'"
+                )
+        return store
+
+    def forget(self) -> None:
+        """Take the runs out of this session's catalog; their files stay."""
+        for name in self.folders:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name).where("fresh") for level in self.levels for name in level]
 
@@ -156,26 +199,35 @@ def dropped_lines(
     batches: int = BATCHES,
     fan: int = FAN,
 ) -> DataFrame:
-    """(doc_id, drops): for documents that lose lines, the hashes they lose."""
+    """(doc_id, digest, drops): for texts that lose lines, the hashes they lose."""
     spark = docs.sparkSession
     folder = work_dir(spark, "line-hashes")
-    made = line_hashes(docs, batches, min_code_points)
-    made.write.partitionBy("batch").parquet(folder)
-    lines = spark.read.schema(made.schema).parquet(folder)
-    store = LineStore(spark, fan)
-    for batch in range(batches):
-        store.add(lines.where(F.col("batch") == batch).drop("batch"))
-    repeated = pinned(store.totals().where(F.col("n_docs") >= min_documents))
-    store.close()
+    try:
+        made = line_hashes(docs, batches, min_code_points)
+        made.write.partitionBy("batch").parquet(folder)
+        lines = spark.read.schema(made.schema).parquet(folder)
+        store = LineStore(spark, fan)
+        try:
+            for batch in range(batches):
+                store.add(lines.where(F.col("batch") == batch).drop("batch", "digest"))
+            repeated = pinned(store.totals().where(F.col("n_docs") >= min_documents))
+        finally:
+            store.close()
+        return pinned(_drops(lines, repeated))
+    finally:
+        remove(spark, folder)
+
+
+def _drops(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     total = lines.count()
     is_hot = F.col("n_docs") * HOT_SHARE >= total
     hot, rest = repeated.where(is_hot), repeated.where(~is_hot)
     lost = ~F.col("doc_id").eqNullSafe(F.col("last_doc"))
-    hot_drops = lines.join(F.broadcast(hot), "key").where(lost).select("doc_id", "key")
-    drops = lines.join(rest, "key").where(lost).select("doc_id", "key")
+    hot_drops = lines.join(F.broadcast(hot), "key").where(lost).select("doc_id", "digest", "key")
+    drops = lines.join(rest, "key").where(lost).select("doc_id", "digest", "key")
     return (
         hot_drops.unionByName(drops)
-        .groupBy("doc_id")
+        .groupBy("doc_id", "digest")
         .agg(F.collect_set("key").alias("drops"))
     )
 
@@ -193,11 +245,11 @@ def dedup_documents(
     at, key = names.index(text_col), f"c{names.index(id_col)}"
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = plain.select(F.col(key).alias("doc_id"), F.col(f"c{at}").alias("text"))
-    drops = pinned(dropped_lines(own, **options).withColumnRenamed("doc_id", "in_doc"))
+    drops = dropped_lines(own, **options).toDF("in_doc", "of_text", "drops")
+    digest = F.unhex(F.md5(F.coalesce(plain[f"c{at}"], F.lit("")).cast("binary")))
     # Texts and drops meet by shuffle at every size: the drops grow with the input.
-    joined = plain.join(
-        drops.hint("merge"), plain[key].eqNullSafe(drops["in_doc"]), "left"
-    ).select(*plain.columns, "drops")
+    same = plain[key].eqNullSafe(drops["in_doc"]) & (digest == drops["of_text"])
+    joined = plain.join(drops.hint("merge"), same, "left").select(*plain.columns, "drops")
 
     def work(rows):
         for *row, drop in rows:

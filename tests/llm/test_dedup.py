@@ -119,6 +119,35 @@ def test_store_gives_fresh_lines_and_merges_runs(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_rows_of_one_id_keep_lists_of_their_own(spark):
+    """A third of the rows without an id: no list is that of them all."""
+    lines = [f"shared line {i} " + "x" * 40 for i in range(60)]
+    rows = [(i, lines[i % 60] + "\n" + lines[(i + 1) % 60]) for i in range(400)]
+    rows += [(None, lines[i % 60] + f"\nown {i}") for i in range(200)]
+    drops = line_dedup.dropped_lines(table(spark, rows).select("doc_id", "text"))
+    assert drops.agg(F.max(F.size("drops"))).first()[0] <= 2
+    left = line_dedup.dedup_documents(table(spark, rows)).collect()
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in left]
+    assert sorted(got, key=repr) == sorted(brute_lines(rows), key=repr)
+
+
+def test_store_is_opened_again(spark, tmp_path):
+    def batch(*pairs):
+        return spark.createDataFrame([(i, k.encode()) for i, k in pairs], "doc_id long, key binary")
+
+    store, path = line_dedup.LineStore(spark, fan=2), str(tmp_path / "manifest")
+    store.add(batch((1, "a"), (2, "a")))
+    store.add(batch((3, "b")))
+    store.save(path)
+    store.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    again = line_dedup.LineStore.open(spark, path)
+    assert {bytes(r.key) for r in again.add(batch((4, "a"), (4, "c"))).collect()} == {b"c"}
+    totals = {bytes(r.key).decode(): (r.n_docs, r.last_doc) for r in again.totals().collect()}
+    assert totals == {"a": (3, 4), "b": (1, 3), "c": (1, 4)}
+    again.close()
+
+
 def test_merging_with_runs_does_not_shuffle_them(spark):
     store = line_dedup.LineStore(spark)
     rows = spark.createDataFrame([(1, b"a"), (2, b"b")], "doc_id long, key binary")
