@@ -94,6 +94,12 @@ def dashboard_summary(
         F.count("*").alias("total_tickets"),
         F.count_if(~F.col("status").isin(*FINISHED_STATUSES)).alias("open_tickets"),
     ).select("*", enriched.alias("e"), overrides.alias("overridden"))
+    return summary_row(counted)
+
+
+def summary_row(counted: DataFrame) -> DataFrame:
+    """The dashboard's figures from total_tickets, open_tickets, overridden and
+    ``e`` (n, urgent and cost of the enrichments)."""
     n = F.col("e.n")
     rate = guarded_ratio((n - F.col("overridden")).cast("double"), n, F.lit(0.0))
     # Divided as decimals; only the result is a double, rounded like one.

@@ -297,6 +297,24 @@ FROM (SELECT count(*) AS n FROM tickets) c, unnest(generate_series(1, CAST(ceil(
 """,
 )
 
+_sql(
+    "stored_page",
+    "tickets",
+    """
+SELECT id, status, created_at, r AS row
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r, count(*) OVER () AS n FROM tickets) x
+WHERE (r - 1) // 45 = n * 3 // 4 // 45
+""",
+)
+_sql(
+    "stored_page_after",
+    "tickets",
+    f"""
+SELECT id, status, created_at, CAST(row_number() OVER (ORDER BY created_at, id) AS INT) AS position FROM tickets
+WHERE (created_at, id) > (SELECT (created_at, id) FROM tickets WHERE id = {CURSOR})
+ORDER BY created_at, id LIMIT 60
+""",
+)
 _sql(
     "ticket_pages",
     "tickets",
@@ -673,6 +691,7 @@ WHERE reason IS NOT NULL
     present=_OVERRIDES["present"],
 )
 _sql("dashboard_after_overrides", _OVERRIDE_VIEWS, _summary_body("count(*)", "state", "log"), **_OVERRIDES)
+_sql("dashboard_from_partials", _OVERRIDE_VIEWS, _summary_body("count(*)", "state", "log"), **_OVERRIDES)
 
 _STATUS_VIEWS = "tickets status_requests"
 _STATUS = {
@@ -705,6 +724,14 @@ _sql(
     FROM tickets t LEFT JOIN latest l ON t.id = l.ticket_id""",
     **_STATUS,
 )
+for _name in ("status_from_partials", "stream_status_counts"):
+    _sql(
+        _name,
+        _STATUS_VIEWS,
+        """SELECT coalesce(l.status, t.status) AS label, count(*) AS count
+        FROM tickets t LEFT JOIN latest l ON t.id = l.ticket_id GROUP BY 1""",
+        **_STATUS,
+    )
 _sql(
     "apply_status_log",
     _STATUS_VIEWS,

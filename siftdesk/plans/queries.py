@@ -13,8 +13,8 @@ from siftdesk import schemas
 from siftdesk.functions import display, text
 from siftdesk.functions.replies import Prices, token_cost
 from siftdesk.operators import changes, enrichment, intake, listing, metrics, relations
-from siftdesk.session import work_dir
-from siftdesk.sources import buckets, evolution, tables
+from siftdesk.session import pinned, work_dir
+from siftdesk.sources import buckets, evolution, pages, partials, tables
 from siftdesk.sources.standins import base_table, standin, standin_frame
 from siftdesk.streaming import jobs, requests as request_streams
 
@@ -245,6 +245,29 @@ def page_ranges(spark, sf_dir):
     return listing.page_ranges(_tickets(spark, sf_dir), 45)
 
 
+def _paged(spark, sf_dir):
+    path = work_dir(spark, "paged")
+    keys = _tickets(spark, sf_dir).select("id", "status", "created_at")
+    pages.save_paged(keys, path, 16)
+    return path, keys.schema
+
+
+@query
+def stored_page(spark, sf_dir):
+    """A page far down of tickets stored with fences."""
+    path, schema = _paged(spark, sf_dir)
+    page = pages.total(spark, path) * 3 // 4 // 45 + 1
+    return pages.read_page(spark, path, schema, page, 45)
+
+
+@query
+def stored_page_after(spark, sf_dir):
+    """The rows after a key of tickets stored with fences."""
+    path, schema = _paged(spark, sf_dir)
+    at = _tickets(spark, sf_dir).where(F.col("id") == CURSOR).select("created_at").first()[0]
+    return _placed(pages.read_after(spark, path, schema, at, CURSOR, 60, "asc"))
+
+
 @query
 def ticket_pages(spark, sf_dir):
     keys = _tickets(spark, sf_dir).select("id", "created_at")
@@ -322,12 +345,15 @@ def json_details(spark, sf_dir):
     return tables.to_json_records(detail.select("id", "status", "created_at", "enrichment"))
 
 
+def _typed(rows, schema):
+    rows = rows.withColumns({n: F.lit(None) for n in schema.fieldNames() if n not in rows.columns})
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def _stored(spark, sf_dir, name, schema, by_day=None):
     """A stand-in written as a table, half of it appended later."""
     path = work_dir(spark, name)
-    rows = standin(spark, sf_dir, name)
-    rows = rows.withColumns({n: F.lit(None) for n in schema.fieldNames() if n not in rows.columns})
-    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    typed = _typed(standin(spark, sf_dir, name), schema)
     half = F.xxhash64("id") % 2 == 0
     tables.replace_table(typed.where(half), path, by_day=by_day)
     tables.append_rows(typed.where(~half), path)
@@ -537,6 +563,45 @@ def dashboard_after_overrides(spark, sf_dir):
     return metrics.dashboard_summary(_tickets(spark, sf_dir), applied.table, applied.actions)
 
 
+def _counted(spark, sf_dir, **frames) -> str:
+    """Tables in day folders and their figures; what came last is appended.
+
+    The stand-in tickets lie six to a day; here thirty days hold all of them.
+    """
+    root = work_dir(spark, "counted")
+    day = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(pmod(unix_date(to_date(created_at)), 30))")
+    for name, rows in frames.items():
+        typed = _typed(rows, partials.MEASURES[name][0]).withColumn("created_at", day)
+        late = F.col("created_at") >= F.lit("2024-01-20").cast("timestamp_ntz")
+        tables.replace_table(typed.where(~late), f"{root}/{name}", by_day="created_at")
+        partials.refresh(spark, name, f"{root}/{name}", f"{root}/figures")
+        partials.append_counted(typed.where(late), name, f"{root}/{name}", f"{root}/figures")
+    return f"{root}/figures"
+
+
+@query
+def dashboard_from_partials(spark, sf_dir):
+    """The summary after overrides, folded from figures per day and moves."""
+    applied = pinned(_overrides(spark, sf_dir).actions)
+    figures = _counted(
+        spark,
+        sf_dir,
+        tickets=_tickets(spark, sf_dir),
+        ai_enrichments=_enrichments(spark, sf_dir),
+        agent_actions=applied,
+    )
+    partials.record_moves(applied, figures, "first")
+    return partials.dashboard_summary(spark, figures)
+
+
+@query
+def status_from_partials(spark, sf_dir):
+    """Tickets by status after the status changes, from figures per day and moves."""
+    figures = _counted(spark, sf_dir, tickets=_tickets(spark, sf_dir))
+    partials.record_moves(_status_changes(spark, sf_dir).actions, figures, "first")
+    return partials.counts(spark, figures, "status")
+
+
 def _status_changes(spark, sf_dir):
     return changes.apply_status_changes(
         _tickets(spark, sf_dir), standin(spark, sf_dir, "status_requests")
@@ -705,14 +770,7 @@ def stream_counts(spark, sf_dir):
 def _override_stream(spark, sf_dir) -> str:
     """Override requests in three micro-batches, cut by time."""
     out = work_dir(spark, "overrides")
-    asked = standin(spark, sf_dir, "override_requests")
-    span = asked.agg(F.expr("percentile(unix_seconds(requested_at::timestamp), array(0.3, 0.7))")).first()[0]
-    second = F.expr("unix_seconds(requested_at::timestamp)")
-    for low, high in zip([None, *span], [*span, None]):
-        part = asked.where(F.lit(low is None) | (second >= F.lit(low)))
-        part = part.where(F.lit(high is None) | (second < F.lit(high)))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/inbox")
-    stream = jobs.read_stream(spark, f"{out}/inbox", asked.schema, "parquet", files_per_batch=1)
+    stream = _cut_by_time(spark, standin(spark, sf_dir, "override_requests"), f"{out}/inbox")
     present = _tickets(spark, sf_dir).where(F.col("id") % 16 != 3)
     _finish(
         request_streams.stream_overrides(present, _enrichments(spark, sf_dir), stream, f"{out}/rows", f"{out}/state")
@@ -720,6 +778,32 @@ def _override_stream(spark, sf_dir) -> str:
     return f"{out}/rows"
 
 
+def _cut_by_time(spark, asked, inbox):
+    """Requests as a stream of three files, one per micro-batch, in order of time."""
+    span = asked.agg(F.expr("percentile(unix_seconds(requested_at::timestamp), array(0.3, 0.7))")).first()[0]
+    second = F.expr("unix_seconds(requested_at::timestamp)")
+    for low, high in zip([None, *span], [*span, None]):
+        part = asked.where(F.lit(low is None) | (second >= F.lit(low)))
+        part = part.where(F.lit(high is None) | (second < F.lit(high)))
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    return jobs.read_stream(spark, inbox, asked.schema, "parquet", files_per_batch=1)
+
+
 @query
 def stream_overrides_log(spark, sf_dir):
     return request_streams.override_actions(spark, _override_stream(spark, sf_dir)).drop("id")
+
+
+@query
+def stream_status_counts(spark, sf_dir):
+    """Tickets per status, kept by a stream while status changes move them."""
+    out = work_dir(spark, "status-counts")
+    asked = _cut_by_time(spark, standin(spark, sf_dir, "status_requests"), f"{out}/inbox")
+    rows = f"{out}/rows"
+    _finish(request_streams.stream_status_changes(_tickets(spark, sf_dir), asked, rows, f"{out}/state"))
+    labels = _tickets(spark, sf_dir).select(F.col("status").alias("label"))
+    labels.write.parquet(f"{out}/arrivals")
+    arrivals = jobs.read_stream(spark, f"{out}/arrivals", labels.schema, "parquet")
+    moves = request_streams.stream_status_moves(spark, rows)
+    _finish(jobs.stream_label_counts(arrivals, moves, f"{out}/counts", f"{out}/count-state"))
+    return jobs.read_counts(spark, f"{out}/counts")

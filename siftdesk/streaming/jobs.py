@@ -224,8 +224,13 @@ def status_changes(enrichments: DataFrame) -> DataFrame:
     )
 
 
+#: Folders in which batches take turns: a reader's counts stay until so many
+#: batches later.
+SLOTS = 16
+
+
 def _replace_counts(df: DataFrame, batch_id: int, out: str) -> None:
-    slot = batch_id % 2
+    slot = batch_id % SLOTS
     numbered = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     numbered.write.mode("overwrite").parquet(f"{out}/counts/slot={slot}")
     # The mark is written last; readers trust a slot only with its mark.
@@ -238,10 +243,39 @@ def stream_counts(
 ) -> StreamingQuery:
     """Running counts per value; each batch writes the counts so far.
 
-    The state has one row per value of ``column``. Batches take turns in two
+    The state has one row per value of ``column``. Batches take turns in a few
     folders, so one always holds complete counts and no more pile up.
     """
     counts = rows.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("count"))
+    return _write_counts(counts, out, checkpoint, every)
+
+
+def stream_label_counts(
+    arrivals: DataFrame,
+    moves: DataFrame,
+    out: str,
+    checkpoint: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Running counts of tickets per label that follow their moves.
+
+    ``arrivals`` has the ``label`` of each new ticket. ``moves`` has the
+    ``old_value`` and ``new_value`` of each applied change, as a stream of status
+    changes writes them: a move takes one from the old label and adds one to the new,
+    so a ticket is counted under one label, whatever the order of the two streams.
+    """
+    steps = F.array(
+        F.struct(F.col("old_value").alias("label"), F.lit(-1).alias("step")),
+        F.struct(F.col("new_value").alias("label"), F.lit(1).alias("step")),
+    )
+    moved = moves.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    moved = moved.select(F.explode(steps).alias("s")).select("s.label", "s.step")
+    rows = arrivals.select("label", F.lit(1).alias("step")).unionByName(moved)
+    counts = rows.groupBy("label").agg(F.sum("step").alias("count"))
+    return _write_counts(counts.where(F.col("count") != 0), out, checkpoint, every)
+
+
+def _write_counts(counts: DataFrame, out: str, checkpoint: str, every: str | None) -> StreamingQuery:
     writer = counts.writeStream.outputMode("complete").foreachBatch(
         lambda df, n: _replace_counts(df, n, out)
     )
@@ -251,5 +285,5 @@ def stream_counts(
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
     """The counts of the newest batch that is complete."""
     newest = spark.read.parquet(f"{out}/marks").agg(F.max("batch_id")).first()[0]
-    slot = spark.read.parquet(f"{out}/counts/slot={newest % 2}")
+    slot = spark.read.parquet(f"{out}/counts/slot={newest % SLOTS}")
     return slot.where(F.col("batch_id") == newest).drop("batch_id")

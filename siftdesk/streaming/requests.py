@@ -115,5 +115,13 @@ def status_actions(spark: SparkSession, out: str) -> DataFrame:
     return changes.audit_rows(moved, "status_change", text.agent_or_system(F.col("agent_id"), SYSTEM_AGENT))
 
 
+def stream_status_moves(spark: SparkSession, out: str) -> DataFrame:
+    """The status moves that a stream of status changes writes, as a stream of their own
+    for ``jobs.stream_label_counts``."""
+    schema = spark.read.parquet(out).schema
+    rows = spark.readStream.schema(schema).parquet(out)
+    return rows.where((F.col("kind") == APPLIED) & (F.col("field") == "status")).select("old_value", "new_value")
+
+
 def read_refused(spark: SparkSession, out: str) -> DataFrame:
     return _rows(spark, out, REFUSED).drop("old_value")
