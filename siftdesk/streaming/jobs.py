@@ -224,13 +224,8 @@ def status_changes(enrichments: DataFrame) -> DataFrame:
     )
 
 
-#: Folders in which batches take turns: a reader's counts stay until so many
-#: batches later.
-SLOTS = 16
-
-
 def _replace_counts(df: DataFrame, batch_id: int, out: str) -> None:
-    slot = batch_id % SLOTS
+    slot = batch_id % 2
     numbered = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     numbered.write.mode("overwrite").parquet(f"{out}/counts/slot={slot}")
     # The mark is written last; readers trust a slot only with its mark.
@@ -243,7 +238,7 @@ def stream_counts(
 ) -> StreamingQuery:
     """Running counts per value; each batch writes the counts so far.
 
-    The state has one row per value of ``column``. Batches take turns in a few
+    The state has one row per value of ``column``. Batches take turns in two
     folders, so one always holds complete counts and no more pile up.
     """
     counts = rows.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("count"))
@@ -283,7 +278,19 @@ def _write_counts(counts: DataFrame, out: str, checkpoint: str, every: str | Non
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The counts of the newest batch that is complete."""
-    newest = spark.read.parquet(f"{out}/marks").agg(F.max("batch_id")).first()[0]
-    slot = spark.read.parquet(f"{out}/counts/slot={newest % SLOTS}")
-    return slot.where(F.col("batch_id") == newest).drop("batch_id")
+    """The counts of the newest batch that is complete, as they are now.
+
+    They are copied, a row per label, as a later batch takes over their folder; if
+    another batch ended meanwhile they are read again.
+    """
+
+    def newest_batch() -> int:
+        return spark.read.parquet(f"{out}/marks").agg(F.max("batch_id")).first()[0]
+
+    newest = newest_batch()
+    while True:
+        slot = spark.read.parquet(f"{out}/counts/slot={newest % 2}")
+        copied = pinned(slot.where(F.col("batch_id") == newest).drop("batch_id"))
+        before, newest = newest, newest_batch()
+        if newest == before:
+            return copied
