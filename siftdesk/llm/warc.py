@@ -1,43 +1,58 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Writing: page ids are cut into a few thousand equal cells; the bytes per cell,
-summed over all pages, place the borders of the shards, so shards are ranges of
-page ids of about equal size and depend on the pages alone. A task writes its
-shards in order of page id, a gzip member per record, and rolls to the next file
+Writing: shards are ranges of (page id, payload digest) of about equal size. The
+bytes of every such pair are added up along their order: inside range partitions,
+plus what lies before each of them. Where the sum passes a multiple of the shard
+size a shard begins, so the borders depend on the pages alone, however the ids are
+spread. Rows that share both id and payload and outweigh a shard get shards of
+their own and are dealt to them by row number. There are some thousands of shards
+at most, as their size grows with the table. A task writes its shard in order, a
+gzip member per record, and rolls to the next file
 when the compressed size is reached. Every file is written under a temporary
 name of its own attempt. Spark's commit of the manifest rows decides which
 attempt counts; then the files of the manifest get their final names, which can
 be repeated safely, and the manifest is stored beside them. Files that no
 manifest names are leftovers of lost attempts and are removed.
 
+The pages are read twice, for their digests and for the records, and payloads are
+shuffled once: which pages are revisits is worked out from the digests, and reaches
+the writer as a note sorted before the page.
+
 Records: of pages with equal payloads the one with the largest id is a response,
 the others are revisits that refer to it; payloads below ``min_payload`` bytes
 are always responses. Payload and block digests are SHA-1 in base32, computed
 from the bytes written. Reading recomputes them and fails if one differs.
 
 Files are reached through ``pyarrow.fs``, so the folder may be in any store that
-it knows. Memory: one record at a time when writing, one file when reading.
+it knows. Memory: one record at a time when writing, one file of 256 MB at most
+when reading.
 
 Defined results: a null html is an empty payload; a null url is written as
 ``about:blank``; rows that repeat an id and a payload are responses all; a null
 page id is smaller than any other and is read back as null; an empty table makes
-an empty archive. Other columns are not read.
+an empty archive. Equal pages give equal files however they are partitioned, but
+for rows of one id and payload that outweigh a shard: which of these lies in which
+of their shards follows their place in the input. Other columns are not read.
 """
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
+from collections.abc import Callable
 from urllib.parse import quote
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import map_texts, pinned, work_dir
+from .common import map_texts, pinned, ship_package, work_dir
 
-CELLS = 4096
-SHARD_BYTES = 64 << 20
-FILE_BYTES = 16 << 20
+#: The size of a shard grows with the table once there would be more than these.
+SHARDS = 16384
+LEAST_SHARD_BYTES = 64 << 20
+LEAST_FILE_BYTES, MOST_FILE_BYTES = 16 << 20, 256 << 20
 RECORD_OVERHEAD = 1024
 MIN_PAYLOAD = 0
 #: The table has no capture times; records need one, and it must not vary.
@@ -99,57 +114,129 @@ def gzip_member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def with_targets(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """(page_id, url, html, target, revisit): which record each page refers to."""
-    pages = pages.select(
+def digested(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, digest), null payloads as empty ones."""
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         F.coalesce("html", F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha1("html"))
-    shared = pinned(
-        pages.where(F.octet_length("html") >= min_payload)
-        .groupBy(F.col("digest").alias("of"))
-        .agg(F.max("page_id").alias("target"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
+    ).withColumn("digest", F.unhex(F.sha1("html")))
+
+
+def weighed_pairs(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, size, n, bytes, slice): one row per id and payload.
+
+    Slices are ranges of (page_id, digest); they are written once, as the borders
+    between them come from a sample.
+    """
+    size = F.octet_length("html")
+    pairs = pages.groupBy("page_id", "digest").agg(
+        F.max(size).cast("long").alias("size"),
+        F.count("*").alias("n"),
+        F.sum(size + RECORD_OVERHEAD).alias("bytes"),
+    )
+    sliced = pairs.repartitionByRange(F.col("page_id").asc_nulls_first(), "digest")
+    return pinned(sliced.withColumn("slice", F.spark_partition_id()))
+
+
+def revisits(pairs: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
+    """(page_id, digest, target): the pairs that refer to another page's record."""
+    shared = (
+        pairs.where(F.col("size") >= min_payload)
+        .groupBy("digest")
+        .agg(F.max("page_id").alias("target"), F.count("*").alias("ids"))
+        .where("ids > 1")
+        .select("digest", "target")
     )
-    joined = pages.join(shared, pages["digest"] == shared["of"], "left")
-    other = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
-    return joined.select("page_id", "url", "html", "target", other.alias("revisit"))
+    other = ~F.col("page_id").eqNullSafe(F.col("target"))
+    return pairs.join(shared, "digest").where(other).select("page_id", "digest", "target")
 
 
-def place_shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``pages`` with a shard number, and the number of shards.
+def _key(page_id: int | None, digest: bytes) -> tuple:
+    return page_id is not None, page_id or 0, digest
 
-    A cell above the shard size is dealt to several shards by a hash of the
-    page; null ids have a cell of their own in front.
+
+def shard_borders(
+    pairs: DataFrame, shard_bytes: int | None = None
+) -> tuple[list[tuple], int, int]:
+    """[(key, shard, parts)] in order of the key, the number of shards, their size.
+
+    A shard holds the pairs from its key to the next one; a pair that outweighs
+    a shard has ``parts`` shards.
     """
-    ends = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, high = ends["low"] or 0, ends["high"] or 0
-    width = (high - low) // CELLS + 1
-    cell = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("int") + 1, F.lit(0))
-    weights = {
-        r["cell"]: r["bytes"]
-        for r in pages.groupBy(cell.alias("cell"))
-        .agg(F.sum(F.octet_length("html") + RECORD_OVERHEAD).alias("bytes"))
-        .collect()  # CELLS + 1 rows at most
-    }
-    first, split, shard, filled = [], [], 0, 0
-    for number in range(CELLS + 1):
-        weight = weights.get(number, 0)
-        parts = max(1, -(-weight // shard_bytes))
-        if filled and (parts > 1 or filled + weight > shard_bytes):
-            shard, filled = shard + 1, 0
-        first.append(shard)
-        split.append(parts)
-        filled += weight
-        if parts > 1:
-            shard, filled = shard + parts, 0
-    numbers = F.array(*[F.lit(x) for x in first])
-    parts = F.array(*[F.lit(x) for x in split])
-    dealt = F.pmod(F.xxhash64("url", "html"), F.element_at(parts, cell + 1)).cast("int")
-    placed = pages.withColumn("shard", F.element_at(numbers, cell + 1) + dealt)
-    return placed, shard + 1
+    slices = pairs.groupBy("slice").agg(F.sum("bytes").alias("bytes")).orderBy("slice").collect()
+    total = sum(r["bytes"] for r in slices)  # a row per shuffle partition
+    shard_bytes = shard_bytes or max(LEAST_SHARD_BYTES, -(-total // SHARDS))
+    offsets, before = [], 0
+    for r in slices:
+        offsets.append((r["slice"], before))
+        before += r["bytes"]
+    spark = pairs.sparkSession
+    offset = F.broadcast(spark.createDataFrame(offsets, "slice int, offset long"))
+    order = Window.partitionBy("slice").orderBy(F.col("page_id").asc_nulls_first(), "digest")
+    until = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    summed = pairs.withColumn("until", until).join(offset, "slice")
+    based = summed.select(
+        F.struct("page_id", "digest").alias("key"),
+        F.floor((F.col("offset") + F.col("until") - F.col("bytes")) / shard_bytes).alias("base"),
+        F.when(F.col("bytes") > shard_bytes, F.least("n", F.ceil(F.col("bytes") / shard_bytes)))
+        .otherwise(0)
+        .alias("parts"),
+    )
+    # Sums pass a multiple of the size, and pairs outweigh it, SHARDS times at most.
+    first = (
+        based.groupBy("base", F.when(F.col("parts") > 0, F.col("key")).alias("heavy"))
+        .agg(F.min("key").alias("key"), F.max("parts").alias("parts"))
+        .collect()
+    )
+    borders, shards = [], 0
+    for key, parts in sorted((_key(*r["key"]), max(r["parts"], 1)) for r in first):
+        borders.append((key, shards, parts))
+        shards += parts
+    return borders, max(shards, 1), shard_bytes
+
+
+def finder(spark: SparkSession, borders: list[tuple]) -> Callable[[str, str], Column]:
+    """A function of (page_id, digest): the first shard of a pair and how many it has."""
+    ship_package(spark)
+    keys = [key for key, _, _ in borders]
+    kind = pa.struct([("shard", pa.int32()), ("parts", pa.int32())])
+
+    @F.arrow_udf("shard int, parts int")
+    def find(page_ids: pa.Array, digests: pa.Array) -> pa.Array:
+        found = []
+        for page_id, digest in zip(page_ids.to_pylist(), digests.to_pylist()):
+            _, shard, parts = borders[bisect.bisect_right(keys, _key(page_id, digest)) - 1]
+            found.append({"shard": shard, "parts": parts})
+        return pa.array(found, kind)
+
+    return find
+
+
+def place(pages: DataFrame, notes: DataFrame, borders: list[tuple]) -> DataFrame:
+    """(shard, page_id, digest, kind, url, html, target): notes (kind 0) and pages (1)."""
+    find = finder(pages.sparkSession, borders)
+    at = find("page_id", "digest")
+    placed = pages.withColumn("at", at)
+    names = ("page_id", "digest", "kind", "url", "html", "target")
+    page = placed.withColumns({"kind": F.lit(1), "target": F.lit(None).cast("long")})
+    one = page.where("at.parts = 1").select(F.col("at.shard").alias("shard"), *names)
+    parts = [one]
+    if any(n > 1 for _, _, n in borders):
+        # The rows of heavy pairs are written once, so that their numbers stay.
+        many = pinned(
+            page.where("at.parts > 1").withColumn("row", F.monotonically_increasing_id())
+        )
+        dealt = F.pmod(F.xxhash64("row"), F.col("at.parts")).cast("int")
+        parts.append(many.select((F.col("at.shard") + dealt).alias("shard"), *names))
+    everywhere = F.expr("explode(sequence(at.shard, at.shard + at.parts - 1))")
+    empty = {"kind": F.lit(0), "url": F.lit(None).cast("string"), "html": F.lit(None).cast("string")}
+    noted = notes.withColumn("at", at).withColumns({**empty, "shard": everywhere})
+    parts.append(noted.select("shard", *names))
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -160,30 +247,42 @@ def write_archives(
     pages: DataFrame,
     folder: str,
     min_payload: int = MIN_PAYLOAD,
-    shard_bytes: int = SHARD_BYTES,
-    file_bytes: int = FILE_BYTES,
+    shard_bytes: int | None = None,
+    file_bytes: int | None = None,
 ) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) below ``folder``; the manifest."""
+    """Write ``pages`` (page_id, url, html) below ``folder``; the manifest.
+
+    Sizes that are not given follow from the size of the table.
+    """
     spark = pages.sparkSession
-    placed, shards = place_shards(with_targets(pages, min_payload), shard_bytes)
-    names = ("shard", "page_id", "url", "html", "target", "revisit")
-    order = ["shard", F.col("page_id").asc_nulls_first(), "url", F.xxhash64("html")]
+    pages = digested(pages)
+    pairs = weighed_pairs(pages)
+    borders, shards, shard_bytes = shard_borders(pairs, shard_bytes)
+    if file_bytes is None:
+        file_bytes = min(max(LEAST_FILE_BYTES, shard_bytes // 4), MOST_FILE_BYTES)
+    order = ["shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url"]
     sorted_ = (
-        placed.select(*names).repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
+        place(pages, revisits(pairs, min_payload), borders)
+        .repartitionById(shards, F.col("shard"))
+        .sortWithinPartitions(*order)
     )
 
     def write(rows):
         store, root = _store(folder)
         store.create_dir(f"{root}/_temporary", recursive=True)
         attempt = uuid.uuid4().hex
-        out, at = None, None
+        out, at, noted = None, None, None
 
         def close():
             out.close()
             name = f"pages-{at[0]:06d}-{at[1]:04d}.warc.gz"
             return (*at, temporary, name, records, size, digest.hexdigest())
 
-        for shard, page_id, url, html, target, revisit in rows:
+        for shard, page_id, sha1, kind, url, html, target in rows:
+            if kind == 0:
+                noted = (shard, page_id, sha1), target
+                continue
+            revisit = noted is not None and noted[0] == (shard, page_id, sha1)
             if out is not None and (shard != at[0] or size >= file_bytes):
                 yield close()
                 out = None
@@ -192,7 +291,7 @@ def write_archives(
                 temporary = f"_temporary/{attempt}-{at[0]}-{at[1]}"
                 out = store.open_output_stream(f"{root}/{temporary}", compression=None)
                 records, size, digest = 0, 0, hashlib.sha1()
-            member = gzip_member(record(page_id, url, html, target, revisit))
+            member = gzip_member(record(page_id, url, html, noted[1] if revisit else None, revisit))
             out.write(member)
             digest.update(member)
             records, size = records + 1, size + len(member)

@@ -327,3 +327,38 @@ def test_records_are_in_order_of_the_page(spark, tmp_path):
     for path in sorted((tmp_path / "a").glob("*.warc.gz")):
         ids += [warc.parse(m)[0] for m in warc.members(path.read_bytes())]
     assert ids == list(range(100))
+
+
+@pytest.mark.parametrize("same", ["page", "null id", "id"])
+def test_a_third_of_the_rows_under_one_id(spark, tmp_path, same):
+    """Heavy ids and payloads are split, far ids do not matter, shards do not overlap."""
+    hot = {
+        "page": lambda i: (5, "u", ""),
+        "null id": lambda i: (None, "u", f"{i % 7}"),
+        "id": lambda i: (5, "u", "x" * i),
+    }[same]
+    rows = [(i * 3, "v", f"{i % 40}") for i in range(400)]
+    rows += [hot(i) for i in range(200)] + [(10**17, "far", "a"), (-(10**17), "far", "b")]
+    folder = tmp_path / "a"
+    shard = 20 * warc.RECORD_OVERHEAD
+    manifest = warc.write_archives(pages_of(spark, rows).repartition(3), str(folder), shard_bytes=shard).collect()
+    records = warc.read_archives(spark, str(folder)).collect()
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records]
+    assert sorted(got, key=repr) == sorted(brute_records(rows, 0), key=repr)
+    sizes, last = {}, None
+    for m in manifest:
+        sizes[m.shard] = sizes.get(m.shard, 0) + m.records
+    assert len(sizes) >= len(rows) // 40 and max(sizes.values()) <= 60
+    for path in sorted(folder.glob("*.warc.gz")):
+        ids = [warc.parse(m)[0] for m in warc.members(path.read_bytes())]
+        ids = [-(10**18) if i is None else i for i in ids]
+        assert ids == sorted(ids) and (last is None or last <= ids[0])
+        last = ids[-1]
+
+
+def test_sizes_follow_the_table(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_SHARD_BYTES", 1)
+    monkeypatch.setattr(warc, "SHARDS", 10)
+    pairs = warc.weighed_pairs(warc.digested(pages_of(spark, [(i, "u", f"{i}") for i in range(500)])))
+    borders, shards, _ = warc.shard_borders(pairs)
+    assert 10 <= shards <= 11 and len(borders) == shards
