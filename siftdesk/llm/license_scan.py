@@ -17,9 +17,13 @@ index is broadcast: its size is that of the templates given.
 
 With ``across_lines`` runs of consecutive words are blocks too, whatever line
 breaks they hold, so a notice that is wrapped is measured as a whole. For a
-template of m words a run has m / ``threshold`` words at most. Only texts that
-hold a word of the template's prefix are looked through, and a run is measured
-where it begins with a word of the template: any other holds no more of it.
+template of m words a run has m / ``threshold`` words at most. It is a block of the
+same join, for that template alone, if it begins with a word of the template (any
+other holds no more of it) and as many of the template's words as the overlap needs
+lie within it. Runs of a text with the same words are one block.
+
+The texts are read once: the words of templates and phrases and their places are
+written to the shared folder, a row number beside them, and all else works on those.
 
 Short notices of different licences share most of their words, so a template can
 name telling words; after the check of the overlap a block or run must hold them all.
@@ -39,6 +43,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import pinned
+
 #: Runs of word characters before A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -65,16 +71,15 @@ THRESHOLD = 0.8
 TELLING = {"mit": "mit", "apache-2.0": "apache 2", "gpl-3": "3", "cc-by-nc-4.0": "nc 4"}
 
 
+#: A block that any template may match; others name theirs.
+ANY = "-"
+
+
 def template_words(text: str) -> list[str]:
     """Distinct words of an ASCII template, in order."""
     return list(dict.fromkeys(re.findall(r"[a-z0-9]+", text.lower())))
 
 
-def _is(word: Column, other: str) -> Column:
-    # Equal length in bytes keeps letters out that only lower-case to ASCII.
-    return (F.lower(word) == other) & (F.octet_length(word) == len(other))
-
-
 def _one_of(word: Column, words: list[str]) -> Column:
     return F.lower(word).isin(words) & (F.octet_length(word) == F.char_length(word))
 
@@ -83,11 +88,9 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
-    """In how many documents each of ``words`` occurs."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    held = F.array_distinct(F.transform(F.filter(found, lambda w: _one_of(w, words)), F.lower))
-    counted = docs.select(F.explode(held).alias("word")).groupBy("word").count()
+def word_frequencies(read: DataFrame) -> dict[str, int]:
+    """In how many documents each word of ``held`` occurs."""
+    counted = read.select(F.explode("held").alias("word")).groupBy("word").count()
     return {r["word"]: r["count"] for r in counted.collect()}  # as many rows as words
 
 
@@ -105,6 +108,7 @@ def template_index(templates: dict[str, list[str]], order: list[str], threshold:
 def _index_rows(index: dict, telling: dict[str, str]) -> Column:
     rows = [
         F.struct(
+            F.lit(str(number)).alias("number"),
             F.lit(word).alias("word"),
             F.lit(i).alias("i"),
             F.lit(label).alias("label"),
@@ -112,7 +116,7 @@ def _index_rows(index: dict, telling: dict[str, str]) -> Column:
             _strings(words).alias("words"),
             _strings(telling.get(label, "").split()).alias("telling"),
         )
-        for label, (words, needed, prefix) in index.items()
+        for number, (label, (words, needed, prefix)) in enumerate(index.items())
         for i, word in enumerate(words[:prefix])
     ]
     return F.inline(F.array(*rows))
@@ -123,46 +127,80 @@ def run_length(text: str, threshold: float) -> int:
     return int(len(re.findall(r"[a-z0-9]+", text.lower())) / threshold + 1e-9)
 
 
-def best_run(
-    own: str, template: Column, words: list[str], needed: int, length: int, telling: list[str]
-) -> Column:
-    """(label, share) of the fullest run with all of ``telling``, null below ``needed``.
+def run_blocks(own: str, number: int, needed: int, length: int) -> Column:
+    """The runs that hold ``needed`` places of a template's words, as "number words".
 
     The column ``own`` has the places and words (at, word) of the template's words.
     """
 
-    def held(first: Column, k: Column) -> Column:
-        after = F.slice(own, k + 1, F.lit(length))
-        inside = F.filter(after, lambda o: o["at"] < first["at"] + length)
-        met = F.array_distinct(F.transform(inside, lambda o: o["word"]))
-        if not telling:
-            return F.size(met)
-        # As template words are distinct, so are those of them that are met.
-        told = F.size(F.filter(met, lambda word: word.isin(telling))) == len(telling)
-        return F.when(told, F.size(met)).otherwise(0)
+    def block(first: Column, k: Column) -> Column:
+        inside = F.filter(
+            F.slice(own, k + 1, F.lit(length)), lambda o: o["at"] < first["at"] + length
+        )
+        met = F.array_sort(F.array_distinct(F.transform(inside, lambda o: o["word"])))
+        long_enough = F.get(own, k + (needed - 1))["at"] < first["at"] + length
+        return F.when(long_enough, F.concat_ws(" ", F.lit(str(number)), met))
 
-    most = F.array_max(F.transform(own, held))
-    share = (most / F.lit(len(words))).alias("share")
-    return F.when(most >= needed, F.struct(template.alias("label"), share))
+    return F.array_compact(F.transform(own, block))
 
 
 def phrase_places(phrase: str) -> Column:
     """Where the words of the phrase stand consecutively, from 0."""
     parts = phrase.split()
-    count, words = len(parts), F.col("words")
+    count, words = len(parts), F.col("flat")
 
     def here(i: Column) -> Column:
-        found = _is(F.get(words, i), parts[0])
+        found = F.get(words, i) == parts[0]
         for k in range(1, count):
-            found = found & _is(F.get(words, i + k), parts[k])
+            found = found & (F.get(words, i + k) == parts[k])
         return found
 
     # Few texts hold the longest word; only they are walked through.
-    possible = F.col("lowered").contains(max(parts, key=len)) & (F.size("words") >= count)
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - count), here)
+    possible = F.array_contains("held", max(parts, key=len)) & (F.size("flat") >= count)
+    at = F.filter(F.sequence(F.lit(0), F.size("flat") - count), here)
     return F.when(possible, at).otherwise(F.array().cast("array<int>"))
 
 
+def read_texts(docs: DataFrame, marked: list[str], phrases: dict[str, str], least: int) -> DataFrame:
+    """What the scan needs of the texts, written once: doc_id, row, n_words, the
+    ``places`` of the phrases, the distinct marked words ``held``, those of each
+    line with ``least`` of them, and their places in texts with ``least``."""
+    by_line = F.transform(
+        F.split(F.coalesce("text", F.lit("")), "\n", -1),
+        lambda line: F.transform(
+            F.regexp_extract_all(line, F.lit(WORD), F.lit(0)),
+            lambda w: F.when(_one_of(w, marked), F.lower(w)),
+        ),
+    )
+    # Lower-cased marked words, null for any other. The row number also keeps
+    # them from being worked out again per use.
+    read = (
+        docs.select(
+            "doc_id", F.monotonically_increasing_id().alias("row"), by_line.alias("by_line")
+        )
+        .withColumn("flat", F.flatten("by_line"))
+        .withColumn("held", F.array_distinct(F.array_compact("flat")))
+    )
+    lines = F.transform("by_line", lambda ws: F.array_distinct(F.array_compact(ws)))
+    hits = F.array_compact(
+        F.transform(
+            "flat",
+            lambda w, i: F.when(w.isNotNull(), F.struct(i.alias("at"), w.alias("word"))),
+        )
+    )
+    return pinned(
+        read.select(
+            "doc_id",
+            "row",
+            F.size("flat").cast("long").alias("n_words"),
+            F.array(*[phrase_places(phrase) for phrase in phrases]).alias("places"),
+            "held",
+            F.filter(lines, lambda line: F.size(line) >= least).alias("lines"),
+            F.when(F.size("held") >= least, hits).alias("hits"),
+        )
+    )
+
+
 def scan(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
@@ -183,57 +221,23 @@ def scan(
     spark = docs.sparkSession
     sets = {label: template_words(text) for label, text in templates.items()}
     vocabulary = sorted({word for words in sets.values() for word in words})
-    frequency = word_frequencies(docs, vocabulary)
+    marked = sorted({*vocabulary, *(word for phrase in phrases for word in phrase.split())})
+    least = min(max(1, math.ceil(threshold * len(words) - 1e-9)) for words in sets.values())
+    read = read_texts(docs, marked, phrases, least)
+    frequency = word_frequencies(read)
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     index = template_index(sets, order, threshold)
-    rare = sorted({w for words, _, prefix in index.values() for w in words[:prefix]})
-    least = min(needed for _, needed, _ in index.values())
 
-    text = F.coalesce("text", F.lit(""))
-    by_line = F.transform(
-        F.split(text, "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
-    )
-    # The row number also keeps the words from being worked out again per use.
-    read = docs.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row"),
-        F.lower(text).alias("lowered"),
-        by_line.alias("by_line"),
-    ).withColumn("words", F.flatten("by_line"))
-
-    near = F.filter("by_line", lambda ws: F.exists(ws, lambda w: _one_of(w, rare)))
-    ordered = F.transform(
-        near,
-        lambda ws: F.array_intersect(
-            _strings(order),
-            F.transform(F.filter(ws, lambda w: _one_of(w, vocabulary)), F.lower),
-        ),
-    )
-    blocks = F.filter(ordered, lambda block: F.size(block) >= least)
-    runs = F.array().cast("array<struct<label:string,share:double>>")
-    if across_lines and index:
+    made = [F.transform("lines", lambda line: F.concat_ws(" ", F.lit(ANY), line))]
+    if across_lines:
         # Written out as columns: inside a lambda they would be worked out per word.
-        placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-        hits = F.filter(placed, lambda h: _one_of(h["word"], vocabulary))
-        low = F.transform(hits, lambda h: F.struct(h["at"], F.lower(h["word"]).alias("word")))
-        possible = F.exists("words", lambda w: _one_of(w, rare))
-        read = read.withColumn("hits", F.when(possible, low))
-        made = []
         for n, (label, (words, needed, _)) in enumerate(index.items()):
             own = F.filter("hits", lambda h: h["word"].isin(words))
             read = read.withColumn(f"own{n}", F.when(F.size(own) >= needed, own))
-            length = run_length(templates[label], threshold)
-            told = telling.get(label, "").split()
-            made.append(best_run(f"own{n}", F.lit(label), words, needed, length, told))
-        runs = F.filter(F.array(*made), lambda run: run.isNotNull())
-    places = {phrase: phrase_places(phrase) for phrase in phrases}
+            runs = run_blocks(f"own{n}", n, needed, run_length(templates[label], threshold))
+            made.append(F.coalesce(runs, F.array().cast("array<string>")))
     based = read.select(
-        "doc_id",
-        "row",
-        F.size("words").cast("long").alias("n_words"),
-        F.array(*places.values()).alias("places"),
-        blocks.alias("blocks"),
-        runs.alias("runs"),
+        "doc_id", "row", "n_words", "places", F.array_distinct(F.concat(*made)).alias("blocks")
     )
     labels = list(phrases.values())
     base = F.array_sort(
@@ -256,8 +260,13 @@ def scan(
         F.array_min(everywhere).cast("long").alias("first_word"),
         F.array_max(everywhere).cast("long").alias("last_word"),
         base.alias("base"),
-        "runs",
-        F.explode_outer("blocks").alias("block"),
+        F.explode_outer("blocks").alias("spelled"),
+    )
+    based = based.withColumn("parts", F.split("spelled", " ")).withColumns(
+        {
+            "of": F.get("parts", F.lit(0)),
+            "block": F.array_intersect(_strings(order), F.slice("parts", 2, len(marked))),
+        }
     )
     prefix = F.slice("block", 1, F.greatest(F.size("block") - least + 1, F.lit(0)))
     probes = based.select("*", F.posexplode_outer(prefix).alias("j", "probe"))
@@ -266,6 +275,7 @@ def scan(
     common = F.array_intersect("block", "words")
     match = (
         (F.col("probe") == F.col("word"))
+        & F.col("of").isin(F.lit(ANY), F.col("number"))
         & (F.size("block") >= F.col("needed"))
         & (F.col("j") <= F.size("block") - F.col("needed"))
         & (1 + F.least(left, F.size("words") - F.col("i") - 1) >= F.col("needed"))
@@ -281,21 +291,12 @@ def scan(
         "first_word",
         "last_word",
         "base",
-        "runs",
         "label",
         (F.size(common) / F.size("words")).alias("share"),
     )
     per_row = found.groupBy(
-        "row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "runs"
+        "row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"
     ).agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    per_row = per_row.withColumns(
-        {
-            "more": F.array_union("more", F.transform("runs", lambda run: run["label"])),
-            "share": F.greatest(
-                "share", F.array_max(F.transform("runs", lambda run: run["share"]))
-            ),
-        }
-    )
     return per_row.select(
         "doc_id",
         "n_words",
