@@ -4,8 +4,8 @@ Texts are equal when their SHA-256 over UTF-8 after lower-casing A-Z is equal.
 One Misra-Gries summary per task finds the digests that can hold more than a
 small share of all rows. A second pass counts these candidates exactly and
 picks their winners, which are broadcast: rows of frequent digests are decided
-map-side and never meet in one task. All other digests hold few rows each and
-take an ordinary shuffle.
+map-side and never meet in one task. All other digests take
+an ordinary shuffle: they are summed by task and by digest, and joined back.
 
 The summaries keep ``counters`` entries per task. An entry's count is below the
 true one by n / (counters + 1) at most, n being all rows, and the counts of all
@@ -24,7 +24,7 @@ import string
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import pinned, ship_package, utf8
 
@@ -96,14 +96,10 @@ def mark(
         .agg(best.alias("best"), F.count("*").alias("group_size"))
     )
     frequent = rows.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest",
-        "doc_id",
-        "row",
-        best.over(group).alias("best"),
-        F.count("*").over(group).alias("group_size"),
-    )
+    others = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # Summed by task first: a digest just too rare for the summaries still has many rows.
+    groups = others.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
+    rest = others.join(groups, "digest")
     return frequent.select(rest.columns).unionByName(rest).select(
         "doc_id",
         "digest",
