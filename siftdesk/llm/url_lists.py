@@ -130,11 +130,14 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.size(F.split(F.get(listed, F.lit(0)), r"\."))
     # Keys that no pattern can have are not made.
     deepest, shortest = history.agg(F.max(F.size(listed) - 1), F.min(labels)).first()
-    rows = captures.select(
-        F.monotonically_increasing_id().alias("row"),
-        "page_id",
-        "url",
-        F.col("fetched_on").cast("date").alias("fetched_on"),
+    # Written once, so that a task computed again finds the same row numbers.
+    rows = pinned(
+        captures.select(
+            F.monotonically_increasing_id().alias("row"),
+            "page_id",
+            "url",
+            F.col("fetched_on").cast("date").alias("fetched_on"),
+        )
     )
     keyed = rows.select("*", F.explode_outer(url_keys(F.col("url"), deepest or 0, shortest or 1)).alias("own"))
     active = F.filter(
