@@ -13,7 +13,7 @@ from siftdesk import schemas
 from siftdesk.functions import display, text
 from siftdesk.functions.replies import Prices, token_cost
 from siftdesk.operators import changes, enrichment, intake, listing, metrics, relations
-from siftdesk.session import pinned, work_dir
+from siftdesk.session import is_folder, pinned, work_dir
 from siftdesk.sources import buckets, evolution, pages, partials, tables
 from siftdesk.sources.standins import base_table, standin, standin_frame
 from siftdesk.streaming import jobs, requests as request_streams
@@ -673,13 +673,19 @@ def apply_enrichments(spark, sf_dir):
 # Streams
 
 
-def _document_stream(spark, sf_dir):
-    schema = base_table(spark, sf_dir, "documents").schema
-    return jobs.read_stream(spark, sf_dir, schema, "parquet", "documents.parquet")
+def _table_stream(spark, sf_dir, name):
+    """A base table as a stream, be it one file or a folder of them.
+
+    A name filter holds for files alone, and a stream's path must be a folder.
+    """
+    schema, path = base_table(spark, sf_dir, name).schema, f"{sf_dir}/{name}.parquet"
+    if is_folder(spark, path):
+        return jobs.read_stream(spark, path, schema, "parquet")
+    return jobs.read_stream(spark, sf_dir, schema, "parquet", f"{name}.parquet")
 
 
 def _submission_stream(spark, sf_dir):
-    return standin_frame("submissions", documents=_document_stream(spark, sf_dir))
+    return standin_frame("submissions", documents=_table_stream(spark, sf_dir, "documents"))
 
 
 def _finish(streaming_query) -> None:
@@ -760,9 +766,7 @@ def stream_triaged(spark, sf_dir):
 @query
 def stream_counts(spark, sf_dir):
     out = work_dir(spark, "counts")
-    schema = base_table(spark, sf_dir, "events").schema
-    events = jobs.read_stream(spark, sf_dir, schema, "parquet", "events.parquet")
-    actions = standin_frame("agent_actions", events=events)
+    actions = standin_frame("agent_actions", events=_table_stream(spark, sf_dir, "events"))
     _finish(jobs.stream_counts(actions, "action_type", f"{out}/rows", f"{out}/state"))
     return jobs.read_counts(spark, f"{out}/rows")
 
