@@ -774,23 +774,26 @@ def stream_counts(spark, sf_dir):
 def _override_stream(spark, sf_dir) -> str:
     """Override requests in three micro-batches, cut by time."""
     out = work_dir(spark, "overrides")
-    stream = _cut_by_time(spark, standin(spark, sf_dir, "override_requests"), f"{out}/inbox")
     present = _tickets(spark, sf_dir).where(F.col("id") % 16 != 3)
-    _finish(
-        request_streams.stream_overrides(present, _enrichments(spark, sf_dir), stream, f"{out}/rows", f"{out}/state")
-    )
+    asked = standin(spark, sf_dir, "override_requests")
+    for stream in _cut_by_time(spark, asked, f"{out}/inbox"):
+        _finish(
+            request_streams.stream_overrides(
+                present, _enrichments(spark, sf_dir), stream, f"{out}/rows", f"{out}/state"
+            )
+        )
     return f"{out}/rows"
 
 
 def _cut_by_time(spark, asked, inbox):
-    """Requests as a stream of three files, one per micro-batch, in order of time."""
-    span = asked.agg(F.expr("percentile(unix_seconds(requested_at::timestamp), array(0.3, 0.7))")).first()[0]
+    """Requests as a stream of three runs, in order of time; each run's files are one micro-batch."""
     second = F.expr("unix_seconds(requested_at::timestamp)")
+    span = asked.agg(F.percentile_approx(second, [0.3, 0.7])).first()[0]
     for low, high in zip([None, *span], [*span, None]):
         part = asked.where(F.lit(low is None) | (second >= F.lit(low)))
         part = part.where(F.lit(high is None) | (second < F.lit(high)))
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    return jobs.read_stream(spark, inbox, asked.schema, "parquet", files_per_batch=1)
+        part.write.mode("append").parquet(inbox)
+        yield jobs.read_stream(spark, inbox, asked.schema, "parquet", files_per_batch=1_000_000)
 
 
 @query
@@ -802,9 +805,9 @@ def stream_overrides_log(spark, sf_dir):
 def stream_status_counts(spark, sf_dir):
     """Tickets per status, kept by a stream while status changes move them."""
     out = work_dir(spark, "status-counts")
-    asked = _cut_by_time(spark, standin(spark, sf_dir, "status_requests"), f"{out}/inbox")
-    rows = f"{out}/rows"
-    _finish(request_streams.stream_status_changes(_tickets(spark, sf_dir), asked, rows, f"{out}/state"))
+    rows, asked = f"{out}/rows", standin(spark, sf_dir, "status_requests")
+    for stream in _cut_by_time(spark, asked, f"{out}/inbox"):
+        _finish(request_streams.stream_status_changes(_tickets(spark, sf_dir), stream, rows, f"{out}/state"))
     labels = _tickets(spark, sf_dir).select(F.col("status").alias("label"))
     labels.write.parquet(f"{out}/arrivals")
     arrivals = jobs.read_stream(spark, f"{out}/arrivals", labels.schema, "parquet")

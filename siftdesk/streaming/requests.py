@@ -2,10 +2,17 @@
 
 The state of a (ticket, field) is the value that the last request left; before
 the first request it is the table's value. Requests are checked against the
-tables as in a batch, and what is applied and what is refused is written by one
-sink, so a restarted batch is there once. Requests of a micro-batch take effect
-in the order of (requested_at, seq) and micro-batches one after the other: if
-they are cut in that order, the outcome is that of one batch.
+tables as in a batch. Requests of a micro-batch take effect in the order of
+(requested_at, seq) and micro-batches one after the other: if they are cut in
+that order, the outcome is that of one batch.
+
+Inside a micro-batch the value before a request is that of the row before it.
+What earlier micro-batches have left lies in a ledger, a run of the last values
+per micro-batch, merged by tiers: a micro-batch reads the folders of its own
+tickets, and no row leaves the JVM. What a micro-batch has applied and refused is
+written aside and gets its final name at the end, so readers see all of it or
+nothing, and one that is run again finds it there. A stream that began with
+Spark's keyed state must begin anew.
 
 The tables are those of the start of the stream, read by every micro-batch; the
 audit trail and the current table follow from the written rows. All requests of
@@ -13,55 +20,95 @@ a micro-batch for one field of one ticket meet in a task, so a micro-batch is
 bounded by the files it takes.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siftdesk.constants import OVERRIDABLE_FIELDS, SYSTEM_AGENT
 from siftdesk.functions import text
 from siftdesk.operators import changes
 from siftdesk.operators.sequences import HotKeys
-from siftdesk.session import setting
-from siftdesk.streaming.jobs import start, state_store
+from siftdesk.session import exists, move, pinned, remove
+from siftdesk.streaming import ledger
+from siftdesk.streaming.jobs import start
 
 APPLIED, REFUSED = "applied", "refused"
 
-#: On a stream keys cannot be counted ahead.
+#: On a stream keys are not counted ahead.
 _NONE_HOT = HotKeys("ticket_id", None, 0)
 
+_STRING = T.StringType()
+_HELD = T.StructType([T.StructField("field", _STRING), T.StructField("value", _STRING)])
 
-def _carrier():
-    """The function of one (ticket, field); it travels to the workers by value."""
-    import pandas as pd
+#: (valid requests with ``now_value``, refused ones) of a written micro-batch; the
+#: second argument is a folder for frames that are used twice.
+Split = Callable[[DataFrame, str], tuple[DataFrame, DataFrame]]
 
-    def carry(key, frames, state):
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["requested_at", "seq"], kind="stable")
-        current = state.get[0] if state.exists else rows["now_value"].iloc[0]
-        new = rows["new_value"].tolist()
-        state.update((new[-1],))
-        yield rows.drop(columns=["now_value"]).assign(old_value=[current, *new[:-1]])
 
-    return carry
+def _newest(held: DataFrame) -> DataFrame:
+    """Of the values of a (ticket, field) the one of the last micro-batch."""
+    value = F.max_by("value", "batch_id").alias("value")
+    newest = held.groupBy("ticket_id", "field").agg(F.max("batch_id").alias("batch_id"), value)
+    return newest.select("ticket_id", "batch_id", *_HELD.fieldNames())
 
 
-def with_old_values(requests: DataFrame) -> DataFrame:
+def with_old_values(requests: DataFrame, held: DataFrame | None) -> DataFrame:
     """Valid requests (ticket_id, field, new_value, requested_at, seq, agent_id,
-    now_value) with ``old_value``, on a stream or a batch of it."""
-    key = requests.schema["ticket_id"].dataType.simpleString()
-    columns = ["ticket_id", "field", "new_value", "agent_id", "requested_at", "seq"]
-    out = f"ticket_id {key}, field string, new_value string, agent_id string, requested_at timestamp_ntz, seq long, old_value string"
-    given = requests.select(*columns, "now_value")
-    return given.groupBy("ticket_id", "field").applyInPandasWithState(
-        _carrier(), out, "current string", "append", "NoTimeout"
+    now_value) of a micro-batch with ``old_value``, and ``latest`` on the last one of
+    each (ticket, field). ``held`` has the ``value`` that earlier requests left."""
+    keys, columns = ["ticket_id", "field"], ["new_value", "agent_id", "requested_at", "seq"]
+    window = Window.partitionBy(*keys).orderBy(*[F.col(name).asc_nulls_last() for name in changes.ORDER])
+    chained = requests.select(
+        *keys,
+        *columns,
+        "now_value",
+        F.lag("new_value").over(window).alias("_before"),
+        F.lead(F.lit(True)).over(window).isNull().alias("latest"),
     )
-
-
-def _write(applied: DataFrame, refused: DataFrame, out: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    kinds = [applied.withColumn("kind", F.lit(APPLIED)), refused.withColumn("kind", F.lit(REFUSED))]
-    rows = kinds[0].unionByName(kinds[1], allowMissingColumns=True)
-    writer = rows.writeStream.format("parquet").partitionBy("kind").option("path", out)
-    with setting(rows.sparkSession, *state_store()):
-        return start(writer, checkpoint, every)
+    if held is not None:
+        chained = chained.join(held.select(*keys, F.col("value").alias("_held")), keys, "left")
+    else:
+        chained = chained.withColumn("_held", F.lit(None).cast("string"))
+    old = F.coalesce("_before", "_held", "now_value")
+    return chained.select(*keys, *columns, old.alias("old_value"), "latest")
+
+
+def apply_batch(batch: DataFrame, batch_id: int, *, out: str, split: Split) -> None:
+    """Apply one micro-batch into a folder of its own and list the values it leaves.
+
+    One that is run again keeps the folder it finds, and does not read what it has
+    listed itself.
+    """
+    spark, key = batch.sparkSession, batch.schema["ticket_id"].dataType
+    values, done, scratch = f"{out}/_values", f"{out}/batch_id={batch_id}", f"{out}/_batch-{batch_id}"
+    try:
+        with ledger.pushing(spark):
+            ledger.merge(spark, values, key, batch_id, _HELD, _newest)
+            if not exists(spark, done):
+                remove(spark, scratch)
+                asked = pinned(batch, scratch)
+                valid, refused = split(asked, scratch)
+                ids = asked.select("ticket_id").where("ticket_id is not null").distinct()
+                held = ledger.listed(ids, batch_id, values, _HELD)
+                applied = with_old_values(valid, None if held is None else _newest(held))
+                kinds = [applied.withColumn("kind", F.lit(APPLIED)), refused.withColumn("kind", F.lit(REFUSED))]
+                rows = kinds[0].unionByName(kinds[1], allowMissingColumns=True)
+                rows.write.partitionBy("kind").parquet(f"{scratch}/rows")
+                move(spark, f"{scratch}/rows", done)
+        written = f"ticket_id {key.simpleString()}, field string, new_value string, latest boolean, kind string"
+        left = spark.read.schema(written).parquet(done).where((F.col("kind") == APPLIED) & F.col("latest"))
+        # Listed last: the ledger names only what is there.
+        ledger.add(left.withColumnRenamed("new_value", "value"), batch_id, values, _HELD)
+    finally:
+        remove(spark, scratch)
+
+
+def _stream(requests: DataFrame, split: Split, out: str, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = requests.writeStream.foreachBatch(lambda df, n: apply_batch(df, n, out=out, split=split))
+    return start(writer, checkpoint, every)
 
 
 def stream_overrides(
@@ -73,24 +120,27 @@ def stream_overrides(
     every: str | None = None,
 ) -> StreamingQuery:
     """Apply a stream of override requests; see ``changes.apply_overrides``."""
-    checked = changes.checked_overrides(tickets, enrichments, requests, _NONE_HOT)
-    valid = checked.where(F.col("reason").isNull()).drop("reason")
-    applied = with_old_values(
-        changes.with_table_value(valid, enrichments, "ticket_id", OVERRIDABLE_FIELDS, _NONE_HOT)
-    )
-    return _write(applied, checked.where(F.col("reason").isNotNull()), out, checkpoint, every)
+
+    def split(asked: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+        checked = pinned(changes.checked_overrides(tickets, enrichments, asked, _NONE_HOT), folder)
+        valid = checked.where(F.col("reason").isNull()).drop("reason")
+        valued = changes.with_table_value(valid, enrichments, "ticket_id", OVERRIDABLE_FIELDS, _NONE_HOT)
+        return valued, checked.where(F.col("reason").isNotNull())
+
+    return _stream(requests, split, out, checkpoint, every)
 
 
 def stream_status_changes(
     tickets: DataFrame, requests: DataFrame, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Apply a stream of status and assignment requests; see ``changes.apply_status_changes``."""
-    asked = changes.requested_values(requests)
-    applied = with_old_values(
-        changes.with_table_value(asked, tickets, "id", changes.STATUS_FIELDS, _NONE_HOT)
-    )
-    refused = changes.status_rejects(tickets, requests, _NONE_HOT).drop("valid_values")
-    return _write(applied, refused, out, checkpoint, every)
+
+    def split(asked: DataFrame, _: str) -> tuple[DataFrame, DataFrame]:
+        values = changes.requested_values(asked)
+        valued = changes.with_table_value(values, tickets, "id", changes.STATUS_FIELDS, _NONE_HOT)
+        return valued, changes.status_rejects(tickets, asked, _NONE_HOT).drop("valid_values")
+
+    return _stream(requests, split, out, checkpoint, every)
 
 
 def _rows(spark: SparkSession, out: str, kind: str) -> DataFrame:
@@ -124,4 +174,4 @@ def stream_status_moves(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_refused(spark: SparkSession, out: str) -> DataFrame:
-    return _rows(spark, out, REFUSED).drop("old_value")
+    return _rows(spark, out, REFUSED).drop("old_value", "latest", "batch_id")

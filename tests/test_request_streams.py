@@ -86,3 +86,35 @@ def test_status_changes(spark, tmp_path, frame, tickets, cuts):
     assert rows(requests.read_refused(spark, out), *names) == rows(batch.rejects, *names)
     now = changes.current_state(table, requests.read_applied(spark, out), changes.STATUS_FIELDS)
     assert rows(now) == rows(batch.table)
+
+
+def test_old_values_are_worked_out_without_python(spark, frame, enrichments):
+    valid = frame(schemas.OVERRIDE_REQUESTS, OVERRIDES).selectExpr("*", "'low' AS now_value")
+    held = spark.createDataFrame([("a", "severity", "medium")], "ticket_id string, field string, value string")
+    chained = requests.with_old_values(valid, held)
+    plan = chained._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+    found = {r.seq: (r.old_value, r.latest) for r in chained.collect()}
+    assert len(found) == len(OVERRIDES) and found[1] == ("medium", False) and found[2] == ("high", False)
+    assert found[7] == ("urgent", True) and found[6] == ("low", True)
+
+
+def test_values_outlast_merged_runs_and_repeated_batches(spark, tmp_path, frame, tickets, enrichments, monkeypatch):
+    monkeypatch.setattr(requests.ledger, "RUNS", 2)
+    table, labels = tickets(ticket("a"), ticket("b")), enrichments(enrichment("a"), enrichment("b"))
+    out = str(tmp_path / "out")
+
+    def split(asked, folder):
+        checked = changes.checked_overrides(table, labels, asked, requests._NONE_HOT)
+        valid = checked.where("reason is null").drop("reason")
+        fields = changes.OVERRIDABLE_FIELDS
+        return changes.with_table_value(valid, labels, "ticket_id", fields, requests._NONE_HOT), checked.where("reason is not null")
+
+    made = [override("a", "severity", ["high", "critical"][n % 2], n) for n in range(1, 7)]
+    made.append(override("b", "category", "billing", 7))
+    for n, row in enumerate(made):
+        for _ in range(2):
+            requests.apply_batch(frame(schemas.OVERRIDE_REQUESTS, [row]), n, out=out, split=split)
+    batch = changes.apply_overrides(table, labels, frame(schemas.OVERRIDE_REQUESTS, made))
+    assert rows(requests.override_actions(spark, out)) == rows(batch.actions)
+    assert not list((tmp_path / "out").glob("_batch-*"))
