@@ -199,32 +199,43 @@ def _valid_status_request() -> Column:
     return F.col("status").isNull() | rules.valid_status(F.col("status"))
 
 
-def requested_values(requests: DataFrame) -> DataFrame:
-    """Valid status requests as one row per field that they set."""
+def requested_values(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Valid status requests as one row per field that they set; ``keep`` are columns to go along."""
     per_field = F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f).alias("new_value")) for f in STATUS_FIELDS]
     )
     return (
         requests.where(_valid_status_request())
-        .select("ticket_id", "agent_id", *ORDER, F.explode(per_field).alias("change"))
-        .select("ticket_id", "agent_id", *ORDER, "change.field", "change.new_value")
+        .select("ticket_id", "agent_id", *ORDER, *keep, F.explode(per_field).alias("change"))
+        .select("ticket_id", "agent_id", *ORDER, *keep, "change.field", "change.new_value")
         .where(F.col("new_value").isNotNull())
     )
 
 
-def status_rejects(tickets: DataFrame, requests: DataFrame, hot: HotKeys) -> DataFrame:
+def checked_statuses(tickets: DataFrame, requests: DataFrame, hot: HotKeys) -> DataFrame:
+    """Status requests with the first ``reason`` to refuse them, null if there is none,
+    and the ``now_`` values of their ticket's fields."""
     c = F.col
-    known = tickets.select(c("id").alias("ticket_id"), F.lit(True).alias("_ticket"))
+    known = _now_values(tickets, "id", STATUS_FIELDS).withColumn("_ticket", F.lit(True))
     reason = F.when(c("_ticket").isNull(), "ticket_not_found").when(
         ~_valid_status_request(), "invalid_status"
     )
-    allowed = F.when(c("reason") == "invalid_status", rules.text_list(STATUSES))
-    return (
-        lookup(requests, known, hot)
-        .withColumn("reason", reason)
-        .where(c("reason").isNotNull())
-        .select(*requests.columns, "reason", allowed.alias("valid_values"))
-    )
+    return lookup(requests, known, hot).withColumn("reason", reason).drop("_ticket")
+
+
+def split_statuses(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Checked status requests as (rows per field that valid ones set, with ``now_value``;
+    refused ones)."""
+    now = tuple(f"now_{name}" for name in STATUS_FIELDS)
+    values = requested_values(checked.where(F.col("reason").isNull()), keep=now)
+    valued = values.withColumn("now_value", _current_of(F.col("field"), STATUS_FIELDS))
+    return valued.drop(*now), checked.where(F.col("reason").isNotNull()).drop(*now)
+
+
+def status_rejects(tickets: DataFrame, requests: DataFrame, hot: HotKeys) -> DataFrame:
+    allowed = F.when(F.col("reason") == "invalid_status", rules.text_list(STATUSES))
+    refused = checked_statuses(tickets, requests, hot).where(F.col("reason").isNotNull())
+    return refused.select(*requests.columns, "reason", allowed.alias("valid_values"))
 
 
 def apply_status_changes(

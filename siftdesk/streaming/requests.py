@@ -91,7 +91,7 @@ def apply_batch(batch: DataFrame, batch_id: int, *, out: str, split: Split) -> N
                 remove(spark, scratch)
                 asked = pinned(batch, scratch)
                 valid, refused = split(asked, scratch)
-                ids = asked.select("ticket_id").where("ticket_id is not null").distinct()
+                ids = asked.select("ticket_id").where("ticket_id is not null")
                 held = ledger.listed(ids, batch_id, values, _HELD)
                 applied = with_old_values(valid, None if held is None else _newest(held))
                 kinds = [applied.withColumn("kind", F.lit(APPLIED)), refused.withColumn("kind", F.lit(REFUSED))]
@@ -135,10 +135,9 @@ def stream_status_changes(
 ) -> StreamingQuery:
     """Apply a stream of status and assignment requests; see ``changes.apply_status_changes``."""
 
-    def split(asked: DataFrame, _: str) -> tuple[DataFrame, DataFrame]:
-        values = changes.requested_values(asked)
-        valued = changes.with_table_value(values, tickets, "id", changes.STATUS_FIELDS, _NONE_HOT)
-        return valued, changes.status_rejects(tickets, asked, _NONE_HOT).drop("valid_values")
+    def split(asked: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+        # The tickets are joined once, for the checks and the values of both outcomes.
+        return changes.split_statuses(pinned(changes.checked_statuses(tickets, asked, _NONE_HOT), folder))
 
     return _stream(requests, split, out, checkpoint, every)
 

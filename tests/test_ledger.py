@@ -137,3 +137,13 @@ def test_large_ids_beside_a_null_one(spark):
     assert found == {
         2**60 + 1: (1, None), 2**60 + 3: (3, "not_an_object"), 5: (1, None), None: (0, NO_ID),
     }
+
+
+def test_ids_are_not_worked_out_while_nothing_is_listed(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    ids = ids_of(spark, 1, 2).selectExpr("CAST(raise_error('read') AS BIGINT) AS ticket_id")
+    assert ledger.listed(ids, 0, folder) is None
+    ledger.add(ids_of(spark, 1, 2), 0, folder)
+    # A batch that is run again finds its own run alone.
+    assert ledger.listed(ids, 0, folder) is None
+    assert ledger.listed(ids_of(spark, 2, 2, 3), 1, folder).count() == 1

@@ -118,3 +118,17 @@ def test_values_outlast_merged_runs_and_repeated_batches(spark, tmp_path, frame,
     batch = changes.apply_overrides(table, labels, frame(schemas.OVERRIDE_REQUESTS, made))
     assert rows(requests.override_actions(spark, out)) == rows(batch.actions)
     assert not list((tmp_path / "out").glob("_batch-*"))
+
+
+def test_a_batch_of_status_requests_joins_the_tickets_once(spark, tmp_path, frame, tickets, monkeypatch):
+    made, joins = frame(schemas.STATUS_REQUESTS, STATUSES).coalesce(1), []
+    made.write.parquet(str(tmp_path / "in"))
+    lookup = changes.lookup
+    monkeypatch.setattr(changes, "lookup", lambda *given: joins.append(1) or lookup(*given))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), schemas.STATUS_REQUESTS, "parquet")
+    out = str(tmp_path / "out")
+    query = requests.stream_status_changes(tickets(ticket("a"), ticket("b")), stream, out, str(tmp_path / "state"))
+    query.awaitTermination(180)
+    assert query.exception() is None and len(joins) == 1
+    refused = {(r.seq, r.reason) for r in requests.read_refused(spark, out).collect()}
+    assert refused == {(4, "invalid_status"), (7, "ticket_not_found")}
