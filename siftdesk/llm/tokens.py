@@ -13,7 +13,6 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -49,7 +48,7 @@ LONGEST = 64
 
 
 class Cache:
-    """A dictionary of at most twice ``limit`` short entries; old ones leave first."""
+    """A dictionary of some twice ``limit`` short entries; old ones leave first."""
 
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
@@ -69,6 +68,27 @@ class Cache:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def missing(self, keys: set) -> set:
+        """Those of a batch's keys that are not here; the others are in ``young`` now.
+
+        The caller puts the missing ones into ``young`` itself, past the limit if need
+        be, reads all of the batch there and lets go of the long ones by ``shorten``.
+        """
+        if len(self.young) >= self.limit:
+            # What one very large batch has blown up is not kept.
+            self.old, self.young = self.young if len(self.young) < 2 * self.limit else {}, {}
+        young, old = self.young, self.old
+        new = keys.difference(young)
+        if old:
+            young.update([(key, old[key]) for key in new if key in old])
+            new = new.difference(old)
+        return new
+
+    def shorten(self, keys: set) -> None:
+        for key in keys:
+            if len(key) > LONGEST:
+                del self.young[key]
+
 
 #: Letters below this point lower-case one by one and are composed already.
 _PLAIN = "\u0180"
@@ -120,26 +140,19 @@ class ChunkEncoder:
                 pieces += self._words(part)
         return pieces
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that are not in the cache."""
-        pieces = [self._pieces(chunk) for chunk in new]
-        ids: dict[str, bytes] = {}
-        unseen = []
-        for word in {p for many in pieces for p in many if type(p) is str}:
-            known = self.words.get(word)
-            if known is None:
-                unseen.append(word)
-            else:
-                ids[word] = known
-        for word, made in zip(unseen, self.encode_words(unseen)):
-            ids[word] = packed = made if type(made) is bytes else pack(made)
-            self.words.put(word, packed)
-        found = {}
-        for chunk, many in zip(new, pieces):
-            made = b"".join([ids[p] if type(p) is str else p for p in many])
-            found[chunk] = made
-            self.chunks.put(chunk, made)
-        return found
+    def _learn(self, new: set[bytes]) -> None:
+        """Put the ids of chunks that are not in the cache there."""
+        pieces = list(map(self._pieces, new))
+        unseen = self.words.missing(set().union(*pieces))
+        ids = self.words.young
+        words = [word for word in unseen if type(word) is str]
+        if len(words) < len(unseen):
+            ids.update([(packed, packed) for packed in unseen if type(packed) is bytes])
+        made = self.encode_words(words)
+        ids.update(zip(words, [x if type(x) is bytes else pack(x) for x in made]))
+        ids_of = ids.__getitem__
+        self.chunks.young.update(zip(new, [b"".join(map(ids_of, many)) for many in pieces]))
+        self.words.shorten(unseen)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each UTF-8 text."""
@@ -152,21 +165,13 @@ class ChunkEncoder:
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
-        young, old = self.chunks.young, self.chunks.old
-        ids: dict[bytes, bytes] = {}
-        new = []
-        for chunk in set().union(*split):
-            known = young.get(chunk)
-            if known is None:
-                known = old.get(chunk)
-                if known is None:
-                    new.append(chunk)
-                    continue
-                self.chunks.put(chunk, known)
-            ids[chunk] = known
+        new = self.chunks.missing(set().union(*split))
         if new:
-            ids.update(self._learn(new))
-        return [b"".join([ids[chunk] for chunk in chunks]) for chunks in split]
+            self._learn(new)
+        ids_of = self.chunks.young.__getitem__
+        made = [b"".join(map(ids_of, chunks)) for chunks in split]
+        self.chunks.shorten(new)
+        return made
 
 
 def pack(ids: list[int]) -> bytes:
@@ -197,35 +202,19 @@ def byte_letters() -> list[str]:
 def library_words(path: str) -> Callable[[list[str]], list[bytes]]:
     """Packed ids of words by the tokenizers library.
 
-    Words of ASCII letters are their own normal form and one word of the pattern
-    each, so thousands of them go through the library as one text; the others go
-    word by word to its model, past its normaliser and word pattern, which have
-    done their work by then.
+    Words go one by one to the library's model, past its normaliser and word
+    pattern, which have done their work by then. Printable ASCII stands for itself in
+    a byte-level vocabulary.
     """
-    tokenizer = load(path)
-    tokenize = tokenizer.model.tokenize
+    tokenize = load(path).model.tokenize
     letters = dict(enumerate(byte_letters()))
 
-    def one(word: str) -> bytes:
-        spelled = word.encode("utf-8").decode("latin-1").translate(letters)
-        return pack([token.id for token in tokenize(spelled)])
-
-    def together(words: list[str]) -> list[bytes] | None:
-        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, numbers = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        starts = np.flatnonzero(np.diff(numbers, prepend=-1))
-        if len(starts) != len(words):
-            return None
-        packed, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
-
     def words(new: list[str]) -> list[bytes]:
-        plain = [word for word in new if word.isascii() and word.isalpha()]
-        known: dict[str, bytes] = {}
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            known.update(zip(some, together(some) or map(one, some)))
-        return [known[word] if word in known else one(word) for word in new]
+        spelled = [
+            word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(letters)
+            for word in new
+        ]
+        return [pack([token.id for token in tokenize(word)]) for word in spelled]
 
     return words
 

@@ -192,3 +192,31 @@ def test_words_together_are_the_words_one_by_one():
     assert [list(tokens.unpack(x)) for x in words(some)] == [
         library.encode(w, add_special_tokens=False).ids for w in some
     ]
+
+
+def test_words_go_to_the_model_alone(monkeypatch):
+    path = tokens.word_bpe_path()
+    library = tokens.load(path)
+    want = [library.encode(w, add_special_tokens=False).ids for w in ("plain", "été", "'s")]
+
+    class ModelOnly:
+        model = library.model
+
+    monkeypatch.setattr(tokens, "load", lambda _: ModelOnly)
+    assert [list(tokens.unpack(x)) for x in tokens.library_words(path)(["plain", "été", "'s"])] == want
+
+
+def test_caches_stay_bounded_and_let_long_chunks_go(library):
+    path = tokens.word_bpe_path()
+    small = tokens.ChunkEncoder(path, tokens.library_words(path), chunks=20, words=20)
+    for n in range(40):
+        texts = [f"w{n} common {'x' * 100} <|endoftext|> q{n}", f"common v{n}!"]
+        want = [tokens.pack(library_ids(library, t)) for t in texts]
+        assert small.encode([t.encode() for t in texts]) == want
+        halves = [small.chunks.young, small.chunks.old, small.words.young, small.words.old]
+        assert max(map(len, halves)) <= 20 + 10
+        assert all(len(key) <= tokens.LONGEST for half in halves for key in half)
+    # A batch far beyond the limit is let go as a whole when the next one comes.
+    small.encode([" ".join(f"z{n}" for n in range(500)).encode()])
+    small.encode([b"one"])
+    assert len(small.chunks.old) <= 30
