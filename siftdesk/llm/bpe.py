@@ -194,5 +194,5 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 def encoded(rows, path: str):
     """(doc_id, packed ids) of (doc_id, UTF-8 text); texts are encoded some at a time."""
     encode = encoder(path, "prefix", dp_words).encode
-    for some in batches(rows):
+    for some in batches(rows, texts=4096):
         yield from zip([r[0] for r in some], encode([r[1] for r in some]))

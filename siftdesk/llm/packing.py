@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, groups: int, path: str, length: int, end_id: int) ->
     def work(rows):
         encode = encoder(path, "library", library_words).encode
         place, number, end = TaskContext.get().partitionId(), 0, packed_ids([end_id])
-        for some in batches(rows):
+        for some in batches(rows, texts=4096):
             for (doc_id, _), ids in zip(some, encode([text for _, text in some])):
                 ids += end
                 size = len(ids) // 4

@@ -9,10 +9,13 @@ chunk that a task has met before needs no second look.
 
 import gc
 import json
+import string
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -92,7 +95,10 @@ class Cache:
 
 #: Letters below this point lower-case one by one and are composed already.
 _PLAIN = "\u0180"
-_TAIL = b".,;:!?*%$&#)\"|/-"
+#: Of these one run is one word, whatever stands before or behind it.
+_TAIL = ".,;:!?*%$&#)\"|/-"
+#: Latin-1 letters whose lower case is one letter; a run of them is one word.
+_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(192, 256) if c not in (215, 247))
 
 
 class ChunkEncoder:
@@ -101,14 +107,18 @@ class ChunkEncoder:
     Words are what the pattern finds in normalised chunks; special tokens are
     cut out of the raw chunk first, as the library does. Ids are kept and given
     as packed little-endian unsigned 32-bit integers.
+
+    The distinct chunks of some texts are found and put back in place by Arrow.
+    Most are one word of plain letters with punctuation behind it, and Arrow takes
+    them apart, too; Python sees their distinct words and the other chunks alone.
     """
 
     def __init__(
         self,
         path: str,
         encode_words: Callable[[list[str]], list],
-        chunks: int = 200_000,
-        words: int = 200_000,
+        chunks: int = 100_000,
+        words: int = 300_000,
     ):
         tokenizer = load(path)
         self.normalize = tokenizer.normalizer.normalize_str
@@ -123,13 +133,8 @@ class ChunkEncoder:
         plain = text.lower() if max(text) < _PLAIN else self.normalize(text)
         return [plain] if plain.isalpha() else self.words_of(plain)
 
-    def _pieces(self, chunk: bytes) -> list:
+    def _pieces(self, text: str) -> list:
         """Words as strings, special tokens as packed ids."""
-        core = chunk.rstrip(_TAIL)
-        if core.isalpha():  # of ASCII letters; what follows them is one word
-            word = core.decode("ascii").lower()
-            return [word] if len(core) == len(chunk) else [word, chunk[len(core) :].decode("ascii")]
-        text = chunk.decode("utf-8", "replace")
         if "<|" not in text:
             return self._words(text)
         pieces: list = []
@@ -140,20 +145,59 @@ class ChunkEncoder:
                 pieces += self._words(part)
         return pieces
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Put the ids of chunks that are not in the cache there."""
-        pieces = list(map(self._pieces, new))
-        unseen = self.words.missing(set().union(*pieces))
+    def _meet(self, pieces: set) -> set:
+        """Put the ids of words that are not in the cache there; ``shorten`` takes the result."""
+        unseen = self.words.missing(pieces)
         ids = self.words.young
-        words = [word for word in unseen if type(word) is str]
+        words = [word for word in unseen if word and type(word) is str]
         if len(words) < len(unseen):
             ids.update([(packed, packed) for packed in unseen if type(packed) is bytes])
+            if "" in unseen:
+                ids[""] = b""
         made = self.encode_words(words)
         ids.update(zip(words, [x if type(x) is bytes else pack(x) for x in made]))
-        ids_of = ids.__getitem__
+        return unseen
+
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of chunks that are not in the cache there."""
+        pieces = list(map(self._pieces, new))
+        unseen = self._meet(set().union(*pieces))
+        ids_of = self.words.young.__getitem__
         self.chunks.young.update(zip(new, [b"".join(map(ids_of, many)) for many in pieces]))
         self.words.shorten(unseen)
 
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """The packed ids of each word."""
+        coded = words.dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        unseen = self._meet(set(distinct))
+        ids = pa.array(list(map(self.words.young.__getitem__, distinct)), pa.large_binary())
+        self.words.shorten(unseen)
+        return ids.take(coded.indices)
+
+    def _of_odd(self, chunks: list[str]) -> pa.Array:
+        """The packed ids of each chunk, whatever it holds."""
+        new = self.chunks.missing(set(chunks))
+        if new:
+            self._learn(new)
+        ids = pa.array(list(map(self.chunks.young.__getitem__, chunks)), pa.large_binary())
+        self.chunks.shorten(new)
+        return ids
+
+    def _of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """The packed ids of each of some distinct chunks."""
+        tails = pc.utf8_ltrim(chunks, _LETTERS)
+        plain = pc.equal(pc.ascii_rtrim(tails, _TAIL), "")
+        words = pc.utf8_lower(pc.ascii_rtrim(chunks.filter(plain), _TAIL))
+        nothing = pa.scalar(b"", pa.large_binary())
+        made = pc.binary_join_element_wise(
+            self._of_words(words), self._of_words(tails.filter(plain)), nothing
+        )
+        odd = pc.invert(plain)
+        made = pa.concat_arrays([made, self._of_odd(_strings(chunks.filter(odd)))])
+        # Where each chunk has gone: the plain ones first, then the others.
+        return made.take(pc.sort_indices(pa.concat_arrays([pc.indices_nonzero(x) for x in (plain, odd)])))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each UTF-8 text."""
         # Very many small objects are made here and none in cycles.
@@ -164,14 +208,23 @@ class ChunkEncoder:
             gc.enable()
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        new = self.chunks.missing(set().union(*split))
-        if new:
-            self._learn(new)
-        ids_of = self.chunks.young.__getitem__
-        made = [b"".join(map(ids_of, chunks)) for chunks in split]
-        self.chunks.shorten(new)
-        return made
+        try:
+            column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        except pa.ArrowInvalid:  # not UTF-8
+            column = pa.array([text.decode("utf-8", "replace") for text in texts], pa.large_string())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.values.dictionary_encode()
+        ids = self._of_chunks(coded.dictionary).take(coded.indices)
+        # The chunks' ids lie one after the other, so a text's are one stretch of them.
+        _, ends, data = ids.buffers()
+        ends = pa.Array.from_buffers(pa.int64(), len(ids) + 1, [None, ends])
+        places = [None, ends.take(split.offsets).buffers()[1], data]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), places).to_pylist()
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """What to_pylist() gives, much faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def pack(ids: list[int]) -> bytes:

@@ -220,3 +220,31 @@ def test_caches_stay_bounded_and_let_long_chunks_go(library):
     small.encode([" ".join(f"z{n}" for n in range(500)).encode()])
     small.encode([b"one"])
     assert len(small.chunks.old) <= 30
+
+
+def test_plain_words_are_taken_apart_without_python(library, monkeypatch):
+    coder = tokens.ChunkEncoder(tokens.word_bpe_path(), tokens.library_words(tokens.word_bpe_path()))
+    seen, pieces = [], coder._pieces
+    monkeypatch.setattr(coder, "_pieces", lambda chunk: seen.append(chunk) or pieces(chunk))
+    texts = ["Plain ÉTÉ, straße... \t über!?)", ".,; Zaubergarten plain\nplain. it's x1 ¿que? Ωm éa\u0301"]
+    want = [tokens.pack(library_ids(library, t)) for t in texts]
+    for _ in range(2):
+        assert coder.encode([t.encode() for t in texts]) == want
+    assert sorted(seen) == sorted(["it's", "x1", "¿que?", "Ωm", "éa\u0301"]) == sorted(coder.chunks.young)
+
+
+def test_texts_of_nothing_and_of_broken_utf8(library):
+    coder = tokens.ChunkEncoder(tokens.word_bpe_path(), tokens.library_words(tokens.word_bpe_path()))
+    assert coder.encode([b"", b" \t\n", b""]) == [b""] * 3
+    broken = [b"one \xe2\x82 two\xff", b"\xed\xa0\x80", b"", b"caf\xc3 caf\xc3\xa9"]
+    want = [tokens.pack(library_ids(library, t.decode("utf-8", "replace"))) for t in broken]
+    assert coder.encode(broken) == want
+
+
+def test_plain_letters_are_words_of_the_library(library):
+    coder = tokens.ChunkEncoder(tokens.word_bpe_path(), tokens.library_words(tokens.word_bpe_path()))
+    letters, tail = tokens._LETTERS, tokens._TAIL
+    texts = [c + "a" + c + t for c in letters for t in ("", *tail)] + [t + u for t in tail for u in tail]
+    texts += [chr(c) * 2 + chr(c + 1) for c in range(1, 0x250)]
+    want = [tokens.pack(library_ids(library, t)) for t in texts]
+    assert coder.encode([t.encode() for t in texts]) == want
